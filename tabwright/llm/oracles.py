@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tabwright.llm.quality_rules import STOP_WORDS
+from tabwright.llm.secrets import BASE, RULES
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
 
@@ -56,6 +57,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 O
 FROM f
 """
 
+
+
+def _span_sql(rule) -> str:
+    """List of (start, rank, end, kind) of a rule's matches: lengths of gaps and matches, summed."""
+    rank = [r.kind for r in RULES].index(rule.kind)
+    pattern = rule.pattern.replace("'", "''")
+    return f"""list_transform(list_filter(range(1, len(regexp_extract_all(t, '{pattern}')) + 1),
+      lambda i: length(regexp_extract_all(t, '{pattern}', {rule.group})[i]) >= {rule.least}),
+      lambda i: {{'s': list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x)))
+                  + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i - 1], lambda x: length(x))), 0),
+        'r': {rank}, 'e': list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x)))
+                  + list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i], lambda x: length(x))), 'k': '{rule.kind}'}})"""
+
+
+def _join_sql(spans: str) -> str:
+    return f"coalesce(array_to_string(list_transform({spans}, lambda x: concat_ws(':', x.k, x.s::BIGINT, x.e::BIGINT)), ','), '')"
+
+
+_BASE_KINDS = ", ".join(f"'{r.kind}'" for r in BASE)
+OP8 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, list_sort(list_concat({", ".join(_span_sql(r) for r in RULES)})) AS found FROM d),
+b AS (SELECT *, list_filter(found, lambda x: x.k IN ({_BASE_KINDS})) AS base FROM f)
+SELECT doc_id, {", ".join(f"len(list_filter(found, lambda x: x.k = '{r.kind}'))::BIGINT AS n_{r.kind}" for r in BASE)},
+  sha256({_join_sql("base")}) AS base_sha256, {_join_sql("found")} AS spans
+FROM b
+"""
+
 ORACLES = {
+    "op8_secret_scan": OP8,
     "op10_quality_rules": OP10,
 }
