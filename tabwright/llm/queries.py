@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import quality_rules, secrets, sharding
+from tabwright.llm import quality_rules, secrets, sharding, token_binary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.encode_and_read(table(spark, sf_dir, "documents"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id",
@@ -46,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_binary": op1_token_binary,
     "op3_feistel_shards": op3_feistel_shards,
     "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
