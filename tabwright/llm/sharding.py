@@ -88,10 +88,13 @@ def feistel(x: Column, n: int, seed: int = SEED) -> Column:
 def longest_walk(spark, n: int, seed: int = SEED) -> int:
     """How many further steps any number needs at most until it lies inside [0, n)."""
     a, b = grid(n)
-    steps, outside = 0, spark.range(n, a * b).select(F.col("id").alias("x"))
-    while outside.limit(1).count():
-        steps += 1
+    outside, left, steps = spark.range(n, a * b).select(F.col("id").alias("x")), a * b - n, 0
+    while left:
         outside = outside.select(feistel(F.col("x"), n, seed).alias("x")).filter(F.col("x") >= n)
+        after = outside.count()
+        if after == left:  # whole cycles outside: no inner number leads there
+            break
+        left, steps = after, steps + 1
     return steps
 
 
