@@ -15,7 +15,7 @@ texts are cut there and the pieces looked up in a bounded memo per worker; the t
 encodes what the memo lacks. Texts with a special token's string go to the library whole.
 
 Defined results: a null or empty text gives just the end id; null ids come first and read back as
-null; equal ids are ordered by text; repeated rows are written repeatedly; extra columns are
+null; equal ids are ordered by a hash of the text; repeated rows are written repeatedly; extra columns are
 ignored; an empty table gives a data set without partitions.
 """
 
@@ -39,8 +39,8 @@ from tabwright.llm.common import local_path, materialize, new_scratch, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Entries of each memo of a worker; about 200 bytes each.
-MEMO_ENTRIES = 300_000
+#: Entries of a worker's memo of pieces, about 200 bytes each; a quarter as many for other pre-tokens.
+MEMO_ENTRIES = 800_000
 #: Stands for a null id in the .doc files.
 NULL_ID = -(2**63)
 
@@ -68,26 +68,43 @@ class Encoder:
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True,
         }
         self.pieces: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Encodings of pieces, a piece being what follows a blank that was cut off."""
-        cut = {p: _PRETOKEN.findall(" " + p) for p in missing}
-        known = self.pretokens
-        fresh = list({t for tokens in cut.values() for t in tokens if t not in known})
-        encoded = dict(zip(fresh, self._direct(fresh)))
-        if len(known) + len(encoded) <= MEMO_ENTRIES:
-            known.update(encoded)
-            new = {p: b"".join([known[t] for t in tokens]) for p, tokens in cut.items()}
-        else:
-            new = {p: b"".join([known[t] if t in known else encoded[t] for t in tokens]) for p, tokens in cut.items()}
-        if len(self.pieces) + len(new) <= MEMO_ENTRIES:
-            self.pieces.update(new)
-        return new
+        """Encodings of pieces, a piece being what follows a blank that was cut off.
+
+        A piece of letters only is one pre-token together with its blank. Others are cut into
+        pre-tokens, which repeat more often than the pieces do.
+        """
+        led, bare = self.pieces, self.bare
+        cut = {p: _PRETOKEN.findall(" " + p) for p in missing if not p.isalpha()}
+        new_led = {p for p in missing if p.isalpha()}
+        new_bare = set()
+        for tokens in cut.values():
+            for t in tokens:
+                if t[0] == " ":
+                    if t[1:] not in led:
+                        new_led.add(t[1:])
+                elif t not in bare:
+                    new_bare.add(t)
+        led_now, bare_now = list(new_led), list(new_bare)
+        got_led = dict(zip(led_now, self._direct([" " + t for t in led_now])))
+        got_bare = dict(zip(bare_now, self._direct(bare_now)))
+        for p, tokens in cut.items():
+            ids = [
+                (led[t[1:]] if t[1:] in led else got_led[t[1:]]) if t[0] == " " else (bare[t] if t in bare else got_bare[t])
+                for t in tokens
+            ]
+            got_led[p] = b"".join(ids)
+        if len(led) + len(got_led) <= MEMO_ENTRIES:
+            led.update(got_led)
+        if len(bare) + len(got_bare) <= MEMO_ENTRIES // 4:
+            bare.update(got_bare)
+        return got_led
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
@@ -130,8 +147,9 @@ def write_tokens(docs: DataFrame, out_uri: str, tokenizer: str = TOKENIZER, end_
     tokenizer_path = tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer)
     rows = (
         docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of().alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc())
+        # Range bounds are sampled to the driver: ids and hashes, never texts.
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +167,9 @@ def write_tokens(docs: DataFrame, out_uri: str, tokenizer: str = TOKENIZER, end_
                 doc.write(numbers.astype("<i8").tobytes())
                 at = 0
                 while at < len(texts):
-                    # A slice of about a million characters, so that memory does not hang on batch size.
+                    # A slice of about four million characters, so that memory does not hang on batch size.
                     to, size = at, 0
-                    while to < len(texts) and (to == at or size + len(texts[to]) <= 1_000_000):
+                    while to < len(texts) and (to == at or size + len(texts[to]) <= 4_000_000):
                         size += len(texts[to])
                         to += 1
                     found = [x + end for x in enc.encode(texts[at:to])]
