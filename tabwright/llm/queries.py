@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import mixing, quality_rules, secrets, sharding, token_binary
+from tabwright.llm import mixing, neardup, quality_rules, secrets, sharding, token_binary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.taken_words(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -57,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_binary": op1_token_binary,
     "op3_feistel_shards": op3_feistel_shards,
+    "op4_lsh_forest": op4_lsh_forest,
     "op7_source_mix": op7_source_mix,
     "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
