@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import mixing, neardup, quality_rules, secrets, sharding, token_binary
+from tabwright.llm import decontaminate, mixing, neardup, quality_rules, secrets, sharding, token_binary, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,15 @@ def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "contaminated", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), "n_same")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.taken_words(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -62,6 +71,8 @@ QUERIES = {
     "op1_token_binary": op1_token_binary,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_lsh_forest": op4_lsh_forest,
+    "op5_trie_token_counts": op5_trie_token_counts,
+    "op6_spaced_seeds": op6_spaced_seeds,
     "op7_source_mix": op7_source_mix,
     "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
