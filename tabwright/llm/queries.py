@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, mixing, neardup, quality_rules, secrets, sharding, token_binary, token_counts
+from tabwright.llm import cotraining, decontaminate, language_mix, mixing, neardup, quality_rules, secrets, sharding, token_binary, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.encode_and_read(table(spark, sf_dir, "documents"))
 
 
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_text", "p_meta", "score", "label", (F.col("label") == 1).alias("kept"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id",
@@ -61,6 +66,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mix.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -69,11 +78,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_binary": op1_token_binary,
+    "op2_cotraining": op2_cotraining,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_lsh_forest": op4_lsh_forest,
     "op5_trie_token_counts": op5_trie_token_counts,
     "op6_spaced_seeds": op6_spaced_seeds,
     "op7_source_mix": op7_source_mix,
     "op8_secret_scan": op8_secret_scan,
+    "op9_language_mixture": op9_language_mixture,
     "op10_quality_rules": op10_quality_rules,
 }
