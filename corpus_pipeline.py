@@ -1,3 +1,73 @@
-STAGES=[]
-ORACLE_SQL=None
-run=None
+"""A corpus pipeline: each stage is one operator over all that the stage before it has kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. ``run`` writes each stage's result as Parquet into the shared folder and reads it again,
+so a lost executor costs the tasks of one stage only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tabwright.llm import decontaminate, mixing, neardup, quality_rules, token_binary
+from tabwright.llm.common import drop_scratch, new_scratch, scratch_paths
+
+#: Words of a block that the mix takes or leaves as a whole.
+MIX_BLOCK_WORDS = 512
+
+
+def _begin(spark: SparkSession, docs: DataFrame) -> None:
+    """Drop intermediate tables of earlier stages: what they returned has been written and read again."""
+    if scratch_paths():
+        drop_scratch(spark, keep=docs.inputFiles())
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality_rules.keep_good(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
+    _begin(spark, docs)
+    return neardup.keep_one(docs, k=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with the benchmark."""
+    _begin(spark, docs)
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: a source below its target repeats documents, one above it loses blocks."""
+    _begin(spark, docs)
+    return mixing.mixed_documents(docs, block_words=MIX_BLOCK_WORDS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token data set, as read back: a row for each document of the mix."""
+    _begin(spark, docs)
+    return token_binary.encode_and_read(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near-duplicates", deduplicate),
+    ("decontamination", decontaminated),
+    ("source mix", mix),
+    ("token binary", tokens),
+]
+
+#: MinHash candidates, keyed permutations and byte-pair encoding are not expressible in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        path = new_scratch(spark, "stage-" + name.replace(" ", "-"))
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
