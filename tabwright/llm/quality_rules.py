@@ -166,5 +166,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = METHOD_RULES, base: tuple[R
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass every rule, with the columns of ``docs``."""
-    return judge(docs).filter("_q_kept").select(*docs.columns)
+    """The documents that pass every rule, with the columns of ``docs``.
+
+    A filter on the verdict would be pushed below the projections, and every measure be spelled out
+    anew for each of its uses. A row id, which no filter passes, keeps the filter above them.
+    """
+    pinned = judge(docs).withColumn("_q_row", F.monotonically_increasing_id())
+    return pinned.filter("_q_kept AND _q_row >= 0").select(*docs.columns)
