@@ -14,7 +14,8 @@ and a rest of less than a pass, so that no block, and hence no document, is take
 Scale: only (source, id, size) rows are shuffled. Positions inside a source come from two levels of
 running sums: documents fall into hash buckets of about ``BUCKET_ROWS`` rows, whose totals are summed
 per source; thus a source with a third of all rows is spread over as many tasks as any other rows.
-Slots are generated in ranges, blocks are joined on an index within the source. Only statistics per
+Slots are generated in ranges, blocks are joined on an index within the source, by sort and merge: both
+sides grow with the input, however small they look compressed. Only statistics per
 source reach the driver, which refuses more than ``MAX_SOURCES`` sources.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its
@@ -194,7 +195,7 @@ def positions(sizes: DataFrame, table: DataFrame) -> DataFrame:
     before = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("_s", "_bucket").agg(F.sum("size").alias("_total"))
     totals = totals.select("_s", "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    rows = rows.join(totals, ["_s", "_bucket"])
+    rows = rows.join(totals.hint("merge"), ["_s", "_bucket"])
     return rows.withColumn("_from", F.col("_before") + F.coalesce("_inside", F.lit(0))).drop("_bucket", "_inside", "_before", "_name", "_rows")
 
 
@@ -246,7 +247,7 @@ def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = S
     plan = plan_sources(source_stats(sizes), block_words)
     placed = positions(sizes, source_table(spark, plan)).select("doc_id", "source", "size", "source_size", "target", "_s", "_from")
     times = slots(spark, plan, shards, seed).groupBy("_s", "block").agg(F.count(F.lit(1)).alias("_times"))
-    parts = pieces(placed, block_words).join(times, ["_s", "block"], "left")
+    parts = pieces(placed, block_words).join(times.hint("merge"), ["_s", "block"], "left")
     some = parts.groupBy("doc_id", "source", "size", "source_size", "target", "_s", "_from").agg(
         F.sum((F.col("high") - F.col("low")) * F.coalesce("_times", F.lit(0))).alias("taken")
     )
@@ -266,7 +267,7 @@ def mixed_documents(docs: DataFrame, block_words: int, shards: int = SHARDS, see
     plan = plan_sources(source_stats(sizes), block_words)
     placed = positions(sizes, source_table(spark, plan)).select("_uid", "doc_id", "size", "_s", "_from")
     drawn = slots(spark, plan, shards, seed).select("_s", "block", "pass")
-    got = pieces(placed, block_words).join(drawn, ["_s", "block"])
+    got = pieces(placed, block_words).join(drawn.hint("merge"), ["_s", "block"])
     ranges = got.groupBy("_uid", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_r"))
     empty = F.array().cast("array<struct<low:bigint,high:bigint>>")
 
@@ -278,7 +279,7 @@ def mixed_documents(docs: DataFrame, block_words: int, shards: int = SHARDS, see
 
     runs = ranges.select("_uid", "size", F.explode(F.aggregate("_r", empty, join)).alias("_run"))
     per_row = runs.groupBy("_uid", "size").agg(F.collect_list("_run").alias("_runs")).withColumnsRenamed({"size": "_size"})
-    rows = keyed.join(per_row, "_uid").withColumn("_run", F.explode("_runs"))
+    rows = keyed.join(per_row.hint("merge"), "_uid").withColumn("_run", F.explode("_runs"))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.slice(words, (F.col("_run")["low"] + 1).cast("int"), (F.col("_run")["high"] - F.col("_run")["low"]).cast("int")), "")
     whole = (F.col("_run")["low"] == 0) & (F.col("_run")["high"] == F.col("_size"))
