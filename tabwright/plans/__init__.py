@@ -1 +1 @@
-
+"""Registered queries, each with an SQL oracle where SQL can express it."""

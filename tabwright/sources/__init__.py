@@ -1 +1 @@
-
+"""Readers and writers of statements, tables, predictions and reports."""

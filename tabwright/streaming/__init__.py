@@ -1 +1 @@
-
+"""Structured Streaming variants of the file readers."""
