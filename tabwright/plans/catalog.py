@@ -1,4 +1,9 @@
-"""Registered queries and their SQL oracles."""
+"""All registered queries of the engine proper, and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from tabwright.plans import template_queries
+from tabwright.plans.template_queries import flagship
+
+QUERIES = {"flagship_region_ratio": flagship, **template_queries.registered()[0]}
+ORACLES = {"flagship_region_ratio": template_queries.FLAGSHIP_SQL, **template_queries.registered()[1]}
