@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tabwright.plans import template_queries
+from tabwright.plans import cell_queries, relational_queries, template_queries
 from tabwright.plans.template_queries import flagship
 
-QUERIES = {"flagship_region_ratio": flagship, **template_queries.registered()[0]}
-ORACLES = {"flagship_region_ratio": template_queries.FLAGSHIP_SQL, **template_queries.registered()[1]}
+_TEMPLATES, _TEMPLATE_SQL = template_queries.registered()
+
+QUERIES = {"flagship_region_ratio": flagship, **_TEMPLATES, **relational_queries.QUERIES, **cell_queries.QUERIES}
+ORACLES = {"flagship_region_ratio": template_queries.FLAGSHIP_SQL, **_TEMPLATE_SQL, **relational_queries.ORACLES, **cell_queries.ORACLES}

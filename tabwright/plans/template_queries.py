@@ -216,7 +216,7 @@ def _pair(rows: str, expression: str) -> str:
 
 
 def _pct(a: str, b: str) -> str:
-    return f"round(100 * (CAST({a} AS DOUBLE) - {b}) / nullif(CAST({b} AS DOUBLE), 0), 1)"
+    return f"round(100 * (CAST({a} AS DOUBLE) - {b}) / nullif(CAST({b} AS DOUBLE), 0), 1) + 0.0"
 
 
 def _top(rows: str, by: str, what: str = "k") -> str:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 CLAIMS = (
     "id string, claim string, label string, "
@@ -97,8 +99,8 @@ def serialize_tables(claims: DataFrame) -> DataFrame:
     return claims.select("id", F.array_join(F.transform("tables", block), "\n\n").alias("text"))
 
 
-@pandas_udf("string")
-def input_hash(payload):
+@pandas_udf(StringType())
+def input_hash(payload: pd.Series) -> pd.Series:
     """SHA-256 of a JSON object with sorted keys and Python's separators, non-ASCII kept."""
     return payload.map(lambda x: hashlib.sha256(json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True).encode()).hexdigest())
 
