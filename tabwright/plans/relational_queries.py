@@ -170,13 +170,13 @@ _THETA = "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n
 
 
 def sql_read_only_guard(spark, sf_dir):
-    tried = ["SELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a", "DROP TABLE x", "select replace('a','b','c')", "INSERT INTO t SELECT 1", "", "EXPLAIN SELECT 1", "SELECT FROM WHERE"]
+    tried = ["SELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a", "DROP TABLE x", "select replace('a','b','c')", "INSERT INTO t SELECT 1", "", "EXPLAIN SELECT 1", "SELECT (1"]
     return spark.createDataFrame([(q, (S.guard(spark, q) or "ok").split(":")[0]) for q in tried], "q string, result string")
 
 
 GUARD_SQL = """SELECT * FROM (VALUES ('SELECT 1', 'ok'), ('WITH a AS (SELECT 1) SELECT * FROM a', 'ok'), ('DROP TABLE x', 'not_read_only_select'),
  ('select replace(''a'',''b'',''c'')', 'not_read_only_select'), ('INSERT INTO t SELECT 1', 'not_read_only_select'), ('', 'empty_sql'),
- ('EXPLAIN SELECT 1', 'not_read_only_select'), ('SELECT FROM WHERE', 'sql_error')) AS t(q, result)"""
+ ('EXPLAIN SELECT 1', 'not_read_only_select'), ('SELECT (1', 'sql_error')) AS t(q, result)"""
 
 QUERIES = {
     **{f.__name__: f for f in (alg_select_rows, alg_select_columns, alg_sort_numeric_desc_stable, alg_sort_text, alg_group_count, alg_join, alg_chain_3step)},
