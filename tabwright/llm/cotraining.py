@@ -1,6 +1,6 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-The text view sees hashed words and word pairs, the metadata view page facts only: source, language,
+The text view sees hashed words and word endings, the metadata view page facts only: source, language,
 length, line and character make-up. Both are naive Bayes models over binary features, which are fitted
 by sums. In each round every unlabelled document is scored by both views; those on which a view is
 confident give that view's label to the other view's next fit, with a weight below that of real labels.
@@ -13,7 +13,7 @@ part in every round, none is sampled. Only per-feature sums, of fixed number, re
 Calibration uses a histogram of log odds, also of fixed size.
 
 Defined results: null and empty texts have the features of an empty page and are scored by them; a
-document with several labels counts each; labels other than 0 and 1, labels of unknown ids and null ids
+document with several labels has the highest; labels other than 0 and 1, labels of unknown ids and null ids
 train nothing; if one class has no label at all, every score is 0.5; repeated rows are scored each; extra
 columns are ignored.
 """
@@ -31,10 +31,14 @@ from tabwright.llm.common import Words, materialize, mix64, text_chunks, text_of
 
 TEXT_FEATURES = 1 << 15
 META_FEATURES = 1 << 10
+#: The first features of the text view are levels of repetition.
+FIXED = 32
 ROUNDS = 3
 #: A view passes a label on where its calibrated probability is beyond this, with this weight.
 CONFIDENT = 0.95
 PSEUDO_WEIGHT = 0.3
+#: Labels (16 bytes a row) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 BINS = 401
 SPREAD = 40.0
 
@@ -50,14 +54,24 @@ def _level(x: np.ndarray) -> np.ndarray:
 
 
 def text_features(words: Words) -> list[np.ndarray]:
-    """Distinct hashed words and word pairs of each text."""
+    """Distinct hashed words and three-byte word endings of each text, and levels of its repetition.
+
+    The first FIXED features are levels: how many words, and how many word pairs, are repeats, and
+    how many words equal the one before.
+    """
     h, out = words.hashes(), []
-    pair = mix64(h[:-1] * np.uint64(3) + h[1:]) if len(h) else h
-    one, two = (h % np.uint64(TEXT_FEATURES)).astype(np.int32), (pair % np.uint64(TEXT_FEATURES)).astype(np.int32)
+    ends = np.zeros(len(h), np.uint64)
+    for back in range(1, 4):
+        at = np.maximum(words.end - back, words.start)
+        ends = mix64(ends * np.uint64(257) + words.data[at])
+    pairs = mix64(h[:-1] * np.uint64(3) + h[1:]) if len(h) else h
+    one, two = ((FIXED + x % np.uint64(TEXT_FEATURES - FIXED)).astype(np.int32) for x in (h, ends))
     same = np.concatenate([h[1:] == h[:-1], [False]]) if len(h) else np.zeros(0, bool)
     for a, b in zip(words.bounds[:-1], words.bounds[1:]):
-        extra = [0] if b - a > 1 and same[a : b - 1].mean() > 0.2 else []
-        out.append(np.unique(np.concatenate([one[a:b], two[a : max(a, b - 1)], np.array(extra, np.int32)])))
+        n, m = b - a, max(1, b - a - 1)
+        shares = [1 - len(np.unique(h[a:b])) / n, 1 - max(1, len(np.unique(pairs[a : b - 1]))) / m, same[a : b - 1].sum() / m] if n else [0.0] * 3
+        levels = _level(np.array(shares)) + np.array([0, 10, 20])
+        out.append(np.unique(np.concatenate([one[a:b], two[a:b], levels.astype(np.int32)])))
     return out
 
 
@@ -114,10 +128,11 @@ VIEWS = {"text": TEXT_FEATURES, "meta": META_FEATURES}
 
 
 class Model:
-    """Naive Bayes over the features that occur; log odds are averaged over the root of their number."""
+    """Naive Bayes over the features that occur; the sum of log odds is divided by the root of their number."""
 
     def __init__(self, counts: np.ndarray, totals: np.ndarray):
-        rate = (counts + 0.5) / (totals[:, None] + 1.0)
+        # Smoothed towards the rate over both classes: a feature that was never seen has no weight.
+        rate = (counts + 2.0 * (counts.sum(0) + 0.5) / (totals.sum() + 1.0)) / (totals[:, None] + 2.0)
         self.weights = (np.log(rate[1]) - np.log(rate[0])).astype(np.float32)
         self.prior = float(np.log((totals[1] + 1) / (totals[0] + 1)))
         self.curve = (1.0, 0.0)
@@ -218,10 +233,18 @@ def _calibrate(rows: DataFrame, models: dict) -> None:
         m.trust = m.trust / whole
 
 
-def train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> dict | None:
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features of every row and its label or null; written down once, for all rounds and the scoring."""
+    good = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)")
+    known = good.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    if labels.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    features = featurize(docs)
+    return materialize(features.join(known, features["doc_id"] == known["_id"], "left").drop("_id"), "views")
+
+
+def train(rows: DataFrame, rounds: int = ROUNDS) -> dict | None:
     """Models of both views after the given rounds of co-training; None if a class has no label."""
-    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    rows = materialize(features.join(known, features["doc_id"] == known["_id"], "left").drop("_id"), "views")
     models = None
     for _ in range(rounds + 1):
         sums = _sums(rows, models)
@@ -254,5 +277,5 @@ def score(features: DataFrame, models: dict | None) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    features = materialize(featurize(docs), "features")
-    return score(features, train(features, labels))
+    rows = labelled(docs, labels)
+    return score(rows, train(rows))
