@@ -7,6 +7,7 @@ all rows and finds key and rank columns, the second types what is left without t
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,9 +151,14 @@ def drop_total_rows(cells: DataFrame, profiled: DataFrame) -> DataFrame:
 
 
 def profile_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Surviving cells and the final column profile of raw tables."""
-    cells = with_values(explode_tables(tables))
-    kept = drop_total_rows(cells, profile(cells))
+    """Surviving cells and the final column profile of raw tables.
+
+    Cell values and the first profile are used several times, so they are persisted (and spill to
+    disk where memory is short) instead of being worked out anew for each use.
+    """
+    cells = with_values(explode_tables(tables)).persist(StorageLevel.MEMORY_AND_DISK)
+    first = profile(cells).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = drop_total_rows(cells, first).persist(StorageLevel.MEMORY_AND_DISK)
     return kept, profile(kept)
 
 
