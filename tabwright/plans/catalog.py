@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tabwright.plans import cell_queries, relational_queries, template_queries
+from tabwright.plans import cell_queries, relational_queries, source_queries, template_queries
 from tabwright.plans.template_queries import flagship
 
 _TEMPLATES, _TEMPLATE_SQL = template_queries.registered()
+_FAMILIES = (relational_queries, cell_queries, source_queries)
 
-QUERIES = {"flagship_region_ratio": flagship, **_TEMPLATES, **relational_queries.QUERIES, **cell_queries.QUERIES}
-ORACLES = {"flagship_region_ratio": template_queries.FLAGSHIP_SQL, **_TEMPLATE_SQL, **relational_queries.ORACLES, **cell_queries.ORACLES}
+QUERIES = {"flagship_region_ratio": flagship, **_TEMPLATES}
+ORACLES = {"flagship_region_ratio": template_queries.FLAGSHIP_SQL, **_TEMPLATE_SQL}
+for _family in _FAMILIES:
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES
