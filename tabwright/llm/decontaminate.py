@@ -13,8 +13,9 @@ are bounded; a larger benchmark is processed block after block, and hits are uni
 
 Words: lower-cased A-Z, split at ASCII white space, cleaned of nothing else. Defined results: null and
 empty texts have no hits; an item of fewer than ``SPAN`` words (or a null one) is looked for as a whole,
-exactly; items without words never hit; repeated items each hit; repeated rows each get a row; extra
-columns are ignored; an empty benchmark leaves every document clean.
+exactly; items without words never hit; repeated items each hit; repeated rows each get a row; rows of
+equal or null ids are judged each by its own text; extra columns are ignored; an empty benchmark leaves
+every document clean.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import Words, mix64, text_chunks, text_of
@@ -137,26 +138,29 @@ def _blocks(benchmark: DataFrame) -> Iterator[list]:
         yield held
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A row for each document and item that overlap: key, item_id, n_same (agreeing words)."""
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row for each document and item that overlap: doc_id, text_hash, item_id, n_same (agreeing words)."""
     spark = docs.sparkSession
     out = None
-    schema = "doc_id long, item_id long, n_same long"
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of().alias("text"))
+    schema = "doc_id long, text_hash long, item_id long, n_same long"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     for block in _blocks(benchmark):
         sent = spark.sparkContext.broadcast(([-1 if r[0] is None else r[0] for r in block], [r[1] for r in block]))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(*sent.value)
             for batch in batches:
-                ids, got = batch.column(0), ([], [], [])
-                for first, _, data, offsets in text_chunks(batch.column(1)):
+                at, items, same = [], [], []
+                for first, _, data, offsets in text_chunks(batch.column(2)):
                     words = Words(data, offsets)
                     for text, item, n in sorted(index.hits(words.hashes(), words.owner())):
-                        got[0].append(ids[first + text].as_py())
-                        got[1].append(int(index.ids[item]))
-                        got[2].append(n)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["doc_id", "item_id", "n_same"])
+                        at.append(first + text)
+                        items.append(int(index.ids[item]))
+                        same.append(n)
+                own = [batch.column(i).take(pa.array(at, pa.int64())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(items, pa.int64()), pa.array(same, pa.int64())], names=["doc_id", "text_hash", "item_id", "n_same"]
+                )
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -164,19 +168,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Data
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """For each contaminated document: doc_id, its items in order, and the longest overlap in words."""
-    return overlaps(docs, benchmark).groupBy("doc_id").agg(
+    """For each contaminated document: doc_id, text_hash, its items in order, and the longest overlap in words."""
+    return overlaps(docs, benchmark).groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("n_same").alias("n_same")
     )
 
 
+def _same_document(rows: DataFrame, found: DataFrame) -> Column:
+    """The id and the text agree: a row is never judged by another row's text."""
+    return rows["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == found["_h"])
+
+
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For each row: doc_id, contaminated, item_ids (empty if clean) and n_same (0 if clean)."""
-    found = report(docs, benchmark).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    out = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]), "left")
+    found = report(docs, benchmark).withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
+    rows = docs.select("doc_id", "text")
+    out = rows.join(found, _same_document(rows, found), "left")
     return out.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.col("n_same").isNotNull().alias("contaminated"),
         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
         F.coalesce("n_same", F.lit(0).cast("long")).alias("n_same"),
@@ -184,6 +193,6 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without overlap, with the columns of ``docs``; rows with a null id are judged by id too."""
-    found = report(docs, benchmark).select(F.col("doc_id").alias("_id"))
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]), "left_anti")
+    """The documents without overlap, with the columns of ``docs``."""
+    found = report(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
+    return docs.join(found, _same_document(docs, found), "left_anti")

@@ -302,6 +302,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with the columns of ``docs``: the one of the least id."""
+    """One document of each group, with the columns of ``docs``: the one of the least id.
+
+    Rows are told apart by their ids: a row with a null id stays, and so do repeats of the kept id.
+    """
     dropped = near_duplicates(docs, k, percent).filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")

@@ -271,6 +271,17 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.judge(none, bench).collect() == []
 
 
+def test_rows_of_equal_or_null_ids_are_judged_by_their_own_text(spark):
+    item = prose(40, 11)
+    data = [(None, item, 1), (None, prose(60, 20), 2), (None, None, 3), (5, item, 4), (5, prose(60, 21), 5), (5, item, 6)]
+    df = spark.createDataFrame(data, "doc_id long, text string, `_h` int")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r["_h"] for r in decontaminate.keep_clean(df, bench).collect()) == [2, 3, 5]
+    assert decontaminate.keep_clean(df, bench).columns == df.columns
+    judged = decontaminate.judge(df, bench)
+    assert judged.count() == len(data) and judged.filter("contaminated").count() == 3
+
+
 def test_blocks_of_a_large_benchmark_agree(spark, monkeypatch):
     bench = spark.createDataFrame([(i, prose(30, 100 + i)) for i in range(6)], "item_id long, text string")
     df = spark.createDataFrame([(i, prose(20, i) + " " + prose(30, 100 + i)) for i in range(6)], "doc_id long, text string")
