@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import Words, mix64, text_chunks, text_of
@@ -174,18 +174,14 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _same_document(rows: DataFrame, found: DataFrame) -> Column:
-    """The id and the text agree: a row is never judged by another row's text."""
-    return rows["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == found["_h"])
-
-
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For each row: doc_id, contaminated, item_ids (empty if clean) and n_same (0 if clean)."""
     found = report(docs, benchmark).withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
-    rows = docs.select("doc_id", "text")
-    out = rows.join(found, _same_document(rows, found), "left")
+    # The hash is taken below the join: only ids and hashes are shuffled, no texts.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"))
+    out = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["text_hash"] == found["_h"]), "left")
     return out.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        "doc_id",
         F.col("n_same").isNotNull().alias("contaminated"),
         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
         F.coalesce("n_same", F.lit(0).cast("long")).alias("n_same"),
@@ -195,4 +191,5 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without overlap, with the columns of ``docs``."""
     found = report(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
-    return docs.join(found, _same_document(docs, found), "left_anti")
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (own == found["_h"]), "left_anti")
