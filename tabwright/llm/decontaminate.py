@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over ``SPAN`` consecutive words; it hashes the words at its set positions and
-ignores the others, so a substituted word at an ignored position does not hide a hit. The masks are
-built by rotation so that any two neighbouring substitutions leave some mask whole. Hashes of all
-benchmark windows form an index; each document window that hits is aligned with the item (same
-diagonal) and verified word by word on the item's stretch around the hit: the overlap counts where at
-least ``PERCENT`` of ``WINDOW`` aligned words agree (of the whole item where it is shorter).
+A seed is a fixed mask over up to 13 consecutive words; it hashes the words at its set positions and
+ignores the others, so a substituted word at an ignored position does not hide a hit. The masks are a
+covering set, found by greedy search and checked by enumeration: wherever at least ``PERCENT`` of
+``SPAN`` to ``WINDOW`` aligned words agree, some mask lies among them whole, so no passage that would
+verify goes without a hit. Hashes of all benchmark windows form an index; each document window that
+hits is aligned with the item (same diagonal) and verified word by word around the hit: the overlap
+counts where at least ``PERCENT`` of ``WINDOW`` aligned words agree (of the whole item where it is
+shorter).
 
 Scale: documents are read once, in place: no shuffle, and no window of a document ever leaves its
 task. The benchmark's index goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, whose bytes
@@ -29,30 +31,28 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.common import Words, mix64, text_chunks, text_of
 
-#: Words of a seed, and how many of them each mask reads.
+#: Items of fewer words are looked for as a whole.
 SPAN = 12
-WEIGHT = 7
+#: Positions that each mask reads; the first is 0.
+MASKS = [
+    np.array(m)
+    for m in (
+        (0, 1, 2, 3, 5, 6, 7), (0, 1, 3, 7, 9, 10, 11), (0, 1, 2, 4, 5, 9, 10), (0, 1, 4, 6, 9, 11, 12),
+        (0, 1, 2, 4, 5, 7, 8), (0, 1, 4, 6, 7, 8, 9), (0, 1, 2, 3, 4, 7, 8),
+    )
+]
 #: Verified stretch of aligned words, and the share of them that has to agree.
 WINDOW = 20
 PERCENT = 80
-#: Benchmark words in one broadcast block (about 150 bytes each with all masks).
+#: Benchmark words in one broadcast block (about 180 bytes each with all masks).
 BLOCK_WORDS = 400_000
-
-
-def seed_masks() -> list[np.ndarray]:
-    """Masks of WEIGHT positions: the whole head, the whole tail, and spread ones by rotation."""
-    masks = [list(range(WEIGHT)), list(range(SPAN - WEIGHT, SPAN))]
-    for shift in range(3):
-        masks.append(sorted({(shift + p) % SPAN for p in range(SPAN) if p % 3 != 2})[:WEIGHT])
-    return [np.array(m) for m in masks]
-
-
-MASKS = seed_masks()
+#: Pairs of a document window and a benchmark window that are verified at once.
+PAIRS = 1 << 15
 
 
 def seed_hashes(h: np.ndarray, mask: np.ndarray, salt: int) -> np.ndarray:
-    """Hash of the masked words at each window of SPAN word hashes."""
-    n = len(h) - SPAN + 1
+    """Hash of the masked words at each window of the mask's span."""
+    n = len(h) - int(mask[-1])
     acc = np.full(max(n, 0), salt + 1, np.uint64)
     for p in mask if n > 0 else ():
         acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[p : p + n])
@@ -70,7 +70,7 @@ class Index:
         self.tables = []
         for salt, mask in enumerate(MASKS):
             hashes = seed_hashes(self.h, mask, salt)
-            inside = owner[: len(hashes)] == owner[SPAN - 1 : SPAN - 1 + len(hashes)]
+            inside = owner[: len(hashes)] == owner[mask[-1] : mask[-1] + len(hashes)]
             self._add(hashes[inside], np.flatnonzero(inside), mask, salt)
         self.short = {}
         for item in np.flatnonzero((words.counts > 0) & (words.counts < SPAN)):
@@ -82,33 +82,54 @@ class Index:
         order = np.argsort(hashes, kind="stable")
         self.tables.append((mask, salt, hashes[order], at[order]))
 
+    def _agree(self, h: np.ndarray, text_of_word: np.ndarray, word: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether enough words agree in some window around each pair of a document's and an item's word."""
+        text, item = text_of_word[word], self.owner[place]
+        a, b = self.bounds[item], self.bounds[item + 1]
+        lo, hi = np.searchsorted(text_of_word, text), np.searchsorted(text_of_word, text, "right")
+        width = np.minimum(WINDOW, b - a)
+        sums = np.zeros((len(word), 2 * WINDOW), np.int64)
+        low, high = np.maximum(a - place, lo - word), np.minimum(b - place, hi - word)
+        for i in range(2 * WINDOW - 1):
+            d = i - (WINDOW - 1)
+            inside = (d >= low) & (d < high)
+            same = self.h[np.where(inside, place + d, place)] == h[np.where(inside, word + d, word)]
+            sums[:, i + 1] = sums[:, i] + (same & inside)
+        most, each = np.zeros(len(word), np.int64), np.arange(len(word))
+        for i in range(WINDOW):
+            d = i - (WINDOW - 1)
+            inside = (d >= low) & (d + width <= high)
+            most = np.maximum(most, np.where(inside, sums[each, i + width] - sums[:, i], 0))
+        return 100 * most >= PERCENT * width
+
     def hits(self, h: np.ndarray, text_of_word: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, item, agreeing words) for each verified overlap, h being the words of several texts."""
         found: dict[tuple[int, int], int] = {}
-        pairs: set[tuple[int, int, int]] = set()
+        diagonals: set[tuple[int, int, int]] = set()
         for mask, salt, hashes, at in self.tables:
             if not len(hashes):
                 continue
             own = seed_hashes(h, mask, salt)
             left = np.searchsorted(hashes, own)
             hit = np.flatnonzero(hashes[np.minimum(left, len(hashes) - 1)] == own)
-            hit = hit[text_of_word[hit] == text_of_word[hit + SPAN - 1]] if len(hit) else hit
-            for w in hit:
-                k = left[w]
-                while k < len(hashes) and hashes[k] == own[w]:
-                    place = int(at[k])
-                    pairs.add((int(text_of_word[w]), int(self.owner[place]), int(w) - place))
-                    k += 1
-        for text, item, shift in pairs:
+            hit = hit[text_of_word[hit] == text_of_word[hit + mask[-1]]] if len(hit) else hit
+            if not len(hit):
+                continue
+            left, many = left[hit], np.searchsorted(hashes, own[hit], "right") - left[hit]
+            ends = np.cumsum(many)
+            for low in range(0, int(ends[-1]), PAIRS):
+                k = np.arange(low, min(low + PAIRS, int(ends[-1])))
+                i = np.searchsorted(ends, k, "right")
+                word, place = hit[i], at[left[i] + k - (ends[i] - many[i])]
+                ok = self._agree(h, text_of_word, word, place)
+                word, place = word[ok], place[ok]
+                diagonals.update(zip(text_of_word[word].tolist(), self.owner[place].tolist(), (word - place).tolist()))
+        for text, item, shift in diagonals:
             a, b = self.bounds[item], self.bounds[item + 1]
             lo, hi = np.searchsorted(text_of_word, text), np.searchsorted(text_of_word, text, "right")
             a2, b2 = max(a, lo - shift), min(b, hi - shift)
-            same = self.h[a2:b2] == h[a2 + shift : b2 + shift]
-            width = min(WINDOW, int(b - a))
-            if len(same) >= width:
-                sums = np.concatenate([[0], np.cumsum(same)])
-                if 100 * (sums[width:] - sums[:-width]).max() >= PERCENT * width:
-                    found[text, item] = max(found.get((text, item), 0), int(same.sum()))
+            same = int((self.h[a2:b2] == h[a2 + shift : b2 + shift]).sum())
+            found[text, item] = max(found.get((text, item), 0), same)
         for n, items in self.short.items():
             windows = len(h) - n + 1
             if windows <= 0:

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small fixtures with nulls, ties, repeats and clashing names."""
 
 import hashlib
+import itertools
 import os
 import re
 import zlib
@@ -290,6 +291,44 @@ def test_blocks_of_a_large_benchmark_agree(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.overlaps(df, bench).collect())) == whole and len(whole) == 6
 
 
+def indexed(item):
+    return decontaminate.Index([0], [item])
+
+
+def flagged(index, text):
+    words = common.Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    return bool(index.hits(words.hashes(), words.owner()))
+
+
+@pytest.mark.parametrize("n", range(12, 21))
+def test_seeds_cover_every_pattern_of_substitutions(n):
+    placed = [sum(1 << (int(p) + at) for p in m) for m in decontaminate.MASKS for at in range(n - int(m[-1]))]
+    for spoilt in itertools.combinations(range(n), n * 20 // 100):
+        bits = sum(1 << p for p in spoilt)
+        assert any(not m & bits for m in placed), spoilt
+
+
+def test_passages_that_verify_are_flagged():
+    rng = np.random.default_rng(8)
+    for n in (12, 13, 15, 16, 17, 20):
+        item = [f"i{j}" for j in range(n)]
+        index = indexed(" ".join(item))
+        for _ in range(100):
+            for spoilt in (n * 20 // 100, n * 20 // 100 + 1):
+                own = list(item)
+                for p in rng.choice(n, spoilt, replace=False):
+                    own[p] = "zz"
+                text = " ".join([f"a{j}" for j in range(30)] + own + [f"b{j}" for j in range(30)])
+                assert flagged(index, text) == (100 * (n - spoilt) >= 80 * n), own
+    item = [f"i{j}" for j in range(200)]
+    index = indexed(" ".join(item))
+    for phase in range(5):
+        fifth = " ".join("zz" if j % 5 == phase else w for j, w in enumerate(item))
+        assert flagged(index, f"some words before {fifth} and some after")
+        fourth = " ".join("zz" if j % 4 == phase % 4 else w for j, w in enumerate(item))
+        assert not flagged(index, f"some words before {fourth} and some after")
+
+
 @needs_tables
 def test_language_accuracy_on_held_out_rows(spark):
     got = {r.doc_id: r for r in queries.op9_language_mixture(spark, DIR).collect()}
