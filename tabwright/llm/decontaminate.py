@@ -6,8 +6,9 @@ covering set, found by greedy search and checked by enumeration: wherever at lea
 ``SPAN`` to ``WINDOW`` aligned words agree, some mask lies among them whole, so no passage that would
 verify goes without a hit. Hashes of all benchmark windows form an index; each document window that
 hits is aligned with the item (same diagonal) and verified word by word around the hit: the overlap
-counts where at least ``PERCENT`` of ``WINDOW`` aligned words agree (of the whole item where it is
-shorter).
+counts where at least ``PERCENT`` of ``WINDOW`` aligned words agree (of the whole item or document
+where that is shorter, but of ``SPAN`` at least). Words of an item beyond the document's edge count as
+disagreeing: what a cut document still holds of an item is judged like a passage in its middle.
 
 Scale: documents are read once, in place: no shuffle, and no window of a document ever leaves its
 task. The benchmark's index goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, whose bytes
@@ -87,19 +88,18 @@ class Index:
         text, item = text_of_word[word], self.owner[place]
         a, b = self.bounds[item], self.bounds[item + 1]
         lo, hi = np.searchsorted(text_of_word, text), np.searchsorted(text_of_word, text, "right")
-        width = np.minimum(WINDOW, b - a)
+        width = np.minimum(WINDOW, np.minimum(b - a, np.maximum(hi - lo, SPAN)))
         sums = np.zeros((len(word), 2 * WINDOW), np.int64)
         low, high = np.maximum(a - place, lo - word), np.minimum(b - place, hi - word)
         for i in range(2 * WINDOW - 1):
             d = i - (WINDOW - 1)
             inside = (d >= low) & (d < high)
             same = self.h[np.where(inside, place + d, place)] == h[np.where(inside, word + d, word)]
+            # Beyond an edge of the document or the item, words disagree.
             sums[:, i + 1] = sums[:, i] + (same & inside)
         most, each = np.zeros(len(word), np.int64), np.arange(len(word))
         for i in range(WINDOW):
-            d = i - (WINDOW - 1)
-            inside = (d >= low) & (d + width <= high)
-            most = np.maximum(most, np.where(inside, sums[each, i + width] - sums[:, i], 0))
+            most = np.maximum(most, sums[each, np.minimum(i + width, 2 * WINDOW - 1)] - sums[:, i])
         return 100 * most >= PERCENT * width
 
     def hits(self, h: np.ndarray, text_of_word: np.ndarray) -> set[tuple[int, int, int]]:

@@ -329,6 +329,47 @@ def test_passages_that_verify_are_flagged():
         assert not flagged(index, f"some words before {fourth} and some after")
 
 
+def overlaps_by_brute_force(text, item):
+    """Each diagonal, word by word; what lies beyond the document disagrees."""
+    d, w = text.split(), item.split()
+    width = min(20, len(w), max(len(d), 12))
+    for shift in range(-len(w), len(d) + 1):
+        same = [0 <= j + shift < len(d) and d[j + shift] == x for j, x in enumerate(w)]
+        if any(100 * sum(same[j : j + width]) >= 80 * width for j in range(len(w))):
+            return True
+    return False
+
+
+def test_passages_at_the_edge_of_a_document_are_flagged():
+    item = [f"i{j}" for j in range(40)]
+    index = indexed(" ".join(item))
+    rest = " ".join(f"a{j}" for j in range(50))
+    for n in (15, 16, 17, 19):
+        for text in (f"{rest} {' '.join(item[:n])}", f"{' '.join(item[-n:])} {rest}"):
+            assert flagged(index, text) == (n >= 16)
+    for n in range(12, 20):
+        assert flagged(index, " ".join(item[7 : 7 + n]))
+    assert not flagged(index, " ".join(item[7:16]))
+
+
+def test_overlaps_match_brute_force():
+    rng, seen = np.random.default_rng(9), []
+    for _ in range(1500):
+        item = [f"i{j}" for j in range(rng.integers(12, 32))]
+        at = int(rng.integers(0, len(item)))
+        part = [w if rng.random() > 0.17 else "zz" for w in item[at : at + int(rng.integers(8, 32))]]
+        before, after = ([f"{c}{j}" for j in range(rng.integers(0, 3) * rng.integers(0, 12))] for c in "ab")
+        text = " ".join(before + part + after)
+        seen.append(flagged(indexed(" ".join(item)), text))
+        assert seen[-1] == overlaps_by_brute_force(text, " ".join(item)), (text, item)
+    few = ["a", "b", "c"]
+    for _ in range(300):
+        item, text = (" ".join(rng.choice(few, rng.integers(12, 30), p=[0.6, 0.3, 0.1])) for _ in range(2))
+        seen.append(flagged(indexed(item), text))
+        assert seen[-1] == overlaps_by_brute_force(text, item), (text, item)
+    assert 200 < sum(seen) < len(seen) - 200
+
+
 @needs_tables
 def test_language_accuracy_on_held_out_rows(spark):
     got = {r.doc_id: r for r in queries.op9_language_mixture(spark, DIR).collect()}
