@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabwright.llm import decontaminate, mixing, neardup, quality_rules, token_binary
 from tabwright.llm.common import drop_scratch, new_scratch, scratch_paths
 
-#: Words of a block that the mix takes or leaves as a whole.
+#: Words of a block that the mix takes or leaves as a whole; sources of small targets get shorter ones.
 MIX_BLOCK_WORDS = 512
 
 

@@ -9,7 +9,9 @@ anew for each pass over the source; blocks are then joined by (source, index).
 Targets: the total size is shared by weight; no target exceeds ``MAX_PASSES`` times its source's
 size, and what is cut off is shared again by weight among the others. Quotas consist of whole passes
 and a rest of less than a pass, so that no block, and hence no document, is taken more than
-``MAX_PASSES`` times.
+``MAX_PASSES`` times. Quotas are whole blocks: the rest is rounded by the source's mean block, and a
+source with any words gets one slot at least. Blocks longer than ``BLOCK_WORDS`` are for large sources
+only: none is longer than a ``BLOCK_SHARE``-th of its source's target, if that is over ``BLOCK_WORDS``.
 
 Scale: only (source, id, size) rows are shuffled. Positions inside a source come from two levels of
 running sums: documents fall into hash buckets of about ``BUCKET_ROWS`` rows, whose totals are summed
@@ -38,6 +40,7 @@ from tabwright.llm.sharding import PRIME, round_keys
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 BLOCK_WORDS = 32
+BLOCK_SHARE = 32
 SHARDS = 8
 BUCKET_ROWS = 4096
 MAX_SOURCES = 100_000
@@ -53,6 +56,7 @@ class Source:
     target: float
     blocks: int
     slots: int
+    block_words: int
 
 
 def fill_targets(sizes: list[int], weights: list[float], total: float, cap: float = MAX_PASSES) -> list[float]:
@@ -80,10 +84,11 @@ def plan_sources(stats: list[tuple], block_words: int = BLOCK_WORDS) -> list[Sou
     targets = fill_targets([s[2] for s in order], weights, sum(s[2] for s in order))
     found = []
     for i, ((name, rows, size), target) in enumerate(zip(order, targets)):
-        blocks = -(-size // block_words)
+        words = min(block_words, max(BLOCK_WORDS, int(target) // BLOCK_SHARE))
+        blocks = -(-size // words)
         passes = int(target // size) if size else 0
-        slots = passes * blocks + (min(blocks, round((target - passes * size) / block_words)) if passes < MAX_PASSES else 0)
-        found.append(Source(i, name, rows, size, target, blocks, slots))
+        slots = passes * blocks + (min(blocks, round((target - passes * size) * blocks / size)) if size and passes < MAX_PASSES else 0)
+        found.append(Source(i, name, rows, size, target, blocks, max(slots, 1) if target > 0 else slots, words))
     return found
 
 
@@ -180,8 +185,8 @@ def source_stats(sizes: DataFrame) -> list[tuple]:
 
 
 def source_table(spark: SparkSession, plan: list[Source]) -> DataFrame:
-    rows = [(s.number, s.name, s.rows, s.size, s.target, s.blocks, s.slots) for s in plan]
-    return spark.createDataFrame(rows, "_s int, _name string, _rows long, source_size long, target double, _blocks long, _slots long")
+    rows = [(s.number, s.name, s.rows, s.size, s.target, s.blocks, s.slots, s.block_words) for s in plan]
+    return spark.createDataFrame(rows, "_s int, _name string, _rows long, source_size long, target double, _blocks long, _slots long, _words long")
 
 
 def positions(sizes: DataFrame, table: DataFrame) -> DataFrame:
@@ -230,14 +235,14 @@ def slots(spark: SparkSession, plan: list[Source], shards: int = SHARDS, seed: i
     return each.select("shard", slot.alias("slot"), "_s", "pass", block.alias("block"))
 
 
-def pieces(placed: DataFrame, block_words: int) -> DataFrame:
+def pieces(placed: DataFrame) -> DataFrame:
     """A row for each block that a document touches: block, and the document's words in it, from and to."""
     spread = placed.filter("size > 0").withColumn(
         "block",
-        F.explode(F.sequence(F.call_function("div", F.col("_from"), F.lit(block_words)), F.call_function("div", F.col("_from") + F.col("size") - 1, F.lit(block_words)))),
+        F.explode(F.sequence(F.call_function("div", F.col("_from"), F.col("_words")), F.call_function("div", F.col("_from") + F.col("size") - 1, F.col("_words")))),
     )
-    low = F.greatest(F.col("block") * block_words - F.col("_from"), F.lit(0).cast("long"))
-    high = F.least((F.col("block") + 1) * block_words - F.col("_from"), F.col("size"))
+    low = F.greatest(F.col("block") * F.col("_words") - F.col("_from"), F.lit(0).cast("long"))
+    high = F.least((F.col("block") + 1) * F.col("_words") - F.col("_from"), F.col("size"))
     return spread.withColumns({"low": low, "high": high})
 
 
@@ -245,13 +250,13 @@ def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = S
     """For each row: doc_id, source, size, source_size, target of its source, and taken words."""
     spark, sizes = docs.sparkSession, measure(docs)
     plan = plan_sources(source_stats(sizes), block_words)
-    placed = positions(sizes, source_table(spark, plan)).select("doc_id", "source", "size", "source_size", "target", "_s", "_from")
+    placed = positions(sizes, source_table(spark, plan)).select("doc_id", "source", "size", "source_size", "target", "_s", "_from", "_words")
     times = slots(spark, plan, shards, seed).groupBy("_s", "block").agg(F.count(F.lit(1)).alias("_times"))
-    parts = pieces(placed, block_words).join(times.hint("merge"), ["_s", "block"], "left")
+    parts = pieces(placed).join(times.hint("merge"), ["_s", "block"], "left")
     some = parts.groupBy("doc_id", "source", "size", "source_size", "target", "_s", "_from").agg(
         F.sum((F.col("high") - F.col("low")) * F.coalesce("_times", F.lit(0))).alias("taken")
     )
-    none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    none = placed.filter("size = 0").drop("_words").withColumn("taken", F.lit(0).cast("long"))
     return some.unionByName(none).drop("_s", "_from")
 
 
@@ -265,9 +270,9 @@ def mixed_documents(docs: DataFrame, block_words: int, shards: int = SHARDS, see
     keyed = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-input")
     sizes = measure(keyed)
     plan = plan_sources(source_stats(sizes), block_words)
-    placed = positions(sizes, source_table(spark, plan)).select("_uid", "doc_id", "size", "_s", "_from")
+    placed = positions(sizes, source_table(spark, plan)).select("_uid", "doc_id", "size", "_s", "_from", "_words")
     drawn = slots(spark, plan, shards, seed).select("_s", "block", "pass")
-    got = pieces(placed, block_words).join(drawn.hint("merge"), ["_s", "block"])
+    got = pieces(placed).join(drawn.hint("merge"), ["_s", "block"])
     ranges = got.groupBy("_uid", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_r"))
     empty = F.array().cast("array<struct<low:bigint,high:bigint>>")
 

@@ -246,6 +246,26 @@ def test_mix_takes_near_targets(docs, rows, none):
     assert mixing.taken_words(none).collect() == []
 
 
+def test_small_sources_keep_their_share_of_the_mix(spark):
+    stats = [(f"s{i:04}", 3, 337_500 if i == 0 else (150, 300, 450)[i % 3]) for i in range(3000)]
+    for block_words in (32, 512):
+        for s in mixing.plan_sources(stats, block_words):
+            assert s.slots >= 1 and abs(s.slots * s.size / s.blocks - s.target) <= max(17, s.target / 60), s
+    for size in (1, 10, 40):
+        assert all(s.slots >= 1 for s in mixing.plan_sources([("a", 1, 10**6), ("b", 1, size), ("c", 1, size)], 512))
+    assert [s.slots for s in mixing.plan_sources([("a", 1, 0), (None, 2, 0)], 512)] == [0, 0]
+    rows = [(i, prose(50, i), "en", "hot" if i < 200 else f"s{i // 3}", 0, 1, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken, sizes = {}, {}
+    for r in mixing.mixed_documents(df, block_words=512).collect():
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + 50
+    plan = {s.name: s.target for s in mixing.plan_sources([(k, 1, v) for k, v in sizes.items()], 512)}
+    assert set(taken) == set(sizes)
+    assert all(abs(n - plan[s]) <= max(33, plan[s] / 16) for s, n in taken.items())
+
+
 def test_mixed_documents_are_pieces(docs, rows):
     out = mixing.mixed_documents(docs, block_words=16).collect()
     assert mixing.mixed_documents(docs, 16).columns == docs.columns
