@@ -26,6 +26,8 @@ STOP_WORDS = (
     "der die das und ein eine in zu den von mit ist nicht auf für im dem auch als "
     "el la los las de del y un una en que es por con para se no su al lo"
 ).split()
+#: Languages of these words.
+STOP_LANGUAGES = ("en", "fr", "de", "es")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -168,8 +170,14 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = METHOD_RULES, base: tuple[R
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass every rule, with the columns of ``docs``.
 
+    The rule of stop words is held against a document only where its ``lang`` names a language that the
+    list covers: prose of another or an unknown language has few of them, however clean.
+
     A filter on the verdict would be pushed below the projections, and every measure be spelled out
     anew for each of its uses. A row id, which no filter passes, keeps the filter above them.
     """
     pinned = judge(docs).withColumn("_q_row", F.monotonically_increasing_id())
-    return pinned.filter("_q_kept AND _q_row >= 0").select(*docs.columns)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    listed = F.coalesce(F.lower(F.split(lang, "[-_]")[0]).isin(*STOP_LANGUAGES), F.lit(False))
+    good = F.col("_q_kept") | (~listed & (F.size(F.array_remove("_q_reasons", "stop_words")) == 0))
+    return pinned.filter(good & (F.col("_q_row") >= 0)).select(*docs.columns)

@@ -156,6 +156,14 @@ def test_quality_measures(docs, rows, none):
     assert quality_rules.judge(none).collect() == []
 
 
+def test_clean_prose_without_listed_stop_words_passes_unless_its_language_is_listed(spark):
+    russian = " ".join(f"слово{chr(0x430 + i % 32)}{chr(0x430 + i // 7)} и" for i in range(60))
+    data = [(i, russian, lang) for i, lang in enumerate(["ru", None, "en", "de-AT", "est", "tr"])] + [(9, russian[:60], "ru"), (10, "слово " * 60, "ru")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in quality_rules.keep_good(df).collect()) == [0, 1, 4, 5]
+    assert [r._q_reasons for r in quality_rules.judge(df.filter("doc_id = 0")).collect()] == [["stop_words"]]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{16,}") == frozenset()
     assert secrets.trigram_query("AKIA[A-Z0-9]{14,}") == frozenset({frozenset({frozenset({"aki", "kia"})})})
