@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import re
 import zlib
@@ -95,6 +96,12 @@ def test_near_duplicates_match_brute_force(docs, rows, none):
     assert neardup.near_duplicates(none, 4).collect() == []
 
 
+def test_filter_of_signatures_adds_next_to_nothing_to_the_trees_misses():
+    n = neardup.SIGNATURE
+    lost = sum(math.comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(math.ceil(neardup.SIMILAR * n)))
+    assert lost < 0.1 * (1 - 0.8 ** neardup.DEPTHS[0]) ** neardup.TREES < 1e-8
+
+
 def test_dense_regions_and_large_clusters_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 8)
     monkeypatch.setattr(neardup, "BLOCK_CLASSES", 7)
