@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -34,37 +31,62 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_scratch(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/tabwright-{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
-    return path
+class Scratch:
+    """Intermediate tables of one piece of work, in a folder of their own below the shared one.
+
+    ``drop`` deletes them and nothing else. A lazy result reads its tables until it has been written,
+    so whoever writes it may drop the scope; used as a context manager, a scope ends with its block.
+    """
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.count = spark, 0
+        self.root = f"{shared_dir(spark)}/tabwright-{uuid.uuid4().hex}"
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by writing a table to the shared folder and reading it again.
+    def path(self, name: str) -> str:
+        self.count += 1
+        return f"{self.root}/{self.count}-{name}"
 
-    A later stage that loses an executor rereads these files instead of recomputing, and what
-    was written cannot differ between two reads.
-    """
-    spark = df.sparkSession
-    path = new_scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut the lineage by writing a table to the shared folder and reading it again.
+
+        A later stage that loses an executor rereads these files instead of recomputing, and what
+        was written cannot differ between two reads.
+        """
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def child(self) -> Scratch:
+        """A scope inside this one: it can be dropped earlier, and goes with it at the latest."""
+        inner = Scratch(self.spark)
+        inner.root = self.path("scope")
+        return inner
+
+    def drop(self) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
 
 
-def drop_scratch(spark: SparkSession, paths: list[str] | None = None, keep: list[str] | None = None) -> None:
-    """Delete intermediate tables: those named, or else all but those that hold files in ``keep``."""
-    wanted = [p for _, p in _SCRATCH] if paths is None else paths
-    for path in wanted:
-        if keep and any(path.rsplit("/", 1)[-1] in f for f in keep):
-            continue
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        _SCRATCH[:] = [x for x in _SCRATCH if x[1] != path]
+def quoted(name: str) -> Column:
+    """Column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def scratch_paths() -> list[str]:
-    return [p for _, p in _SCRATCH]
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names for added columns that no column of the input has: those given, lengthened where they clash."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def local_path(uri: str) -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import Words, materialize, mix64, text_chunks, text_of
+from tabwright.llm.common import Scratch, Words, mix64, text_chunks, text_of
 
 TEXT_FEATURES = 1 << 15
 META_FEATURES = 1 << 10
@@ -233,14 +233,14 @@ def _calibrate(rows: DataFrame, models: dict) -> None:
         m.trust = m.trust / whole
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Features of every row and its label or null; written down once, for all rounds and the scoring."""
     good = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)")
     known = good.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
     if labels.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     features = featurize(docs)
-    return materialize(features.join(known, features["doc_id"] == known["_id"], "left").drop("_id"), "views")
+    return scratch.table(features.join(known, features["doc_id"] == known["_id"], "left").drop("_id"), "views")
 
 
 def train(rows: DataFrame, rounds: int = ROUNDS) -> dict | None:
@@ -276,6 +276,6 @@ def score(features: DataFrame, models: dict | None) -> DataFrame:
     return features.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = labelled(docs, labels)
+def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    rows = labelled(docs, labels, scratch or Scratch(docs.sparkSession))
     return score(rows, train(rows))

@@ -4,21 +4,28 @@ A seed is a fixed mask over up to 13 consecutive words; it hashes the words at i
 ignores the others, so a substituted word at an ignored position does not hide a hit. The masks are a
 covering set, found by greedy search and checked by enumeration: wherever at least ``PERCENT`` of
 ``SPAN`` to ``WINDOW`` aligned words agree, some mask lies among them whole, so no passage that would
-verify goes without a hit. Hashes of all benchmark windows form an index; each document window that
-hits is aligned with the item (same diagonal) and verified word by word around the hit: the overlap
-counts where at least ``PERCENT`` of ``WINDOW`` aligned words agree (of the whole item or document
-where that is shorter, but of ``SPAN`` at least). Words of an item beyond the document's edge count as
-disagreeing: what a cut document still holds of an item is judged like a passage in its middle.
+verify goes without a hit.
 
-Scale: documents are read once, in place: no shuffle, and no window of a document ever leaves its
-task. The benchmark's index goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, whose bytes
-are bounded; a larger benchmark is processed block after block, and hits are united per document.
+1. ``seeds``: (hash, item, place) of every window of every benchmark item.
+2. ``hits``: every document window whose hash may be a seed's, told by a bitmap of bounded size that goes
+   to the tasks, leaves the scan as a slim row (document, hash, place); these are joined with the seeds.
+   Only the distinct diagonals (document, item, shift) of the join go on.
+3. ``verified``: each diagonal is compared word by word. The overlap counts where at least ``PERCENT`` of
+   ``WINDOW`` aligned words agree (of the whole item or document where that is shorter, but of ``SPAN`` at
+   least). Words of an item beyond the document's edge count as disagreeing: what a cut document still
+   holds of an item is judged like a passage in its middle.
+
+Scale: the benchmark is a table like any other, of any size; nothing of it but the bitmap passes the
+driver. Documents are read twice in place, and no text is shuffled while the rows to join (seeds,
+documents with a diagonal) are few enough to be broadcast; beyond that the joins shuffle. A bitmap too
+full for a huge benchmark lets more windows through to the join and loses none.
 
 Words: lower-cased A-Z, split at ASCII white space, cleaned of nothing else. Defined results: null and
-empty texts have no hits; an item of fewer than ``SPAN`` words (or a null one) is looked for as a whole,
-exactly; items without words never hit; repeated items each hit; repeated rows each get a row; rows of
-equal or null ids are judged each by its own text; extra columns are ignored; an empty benchmark leaves
-every document clean.
+empty texts have no hits; an item of fewer than ``SPAN`` words is looked for as a whole, exactly; items
+without words (or null ones) never hit; repeated items each hit; an item with a null id contaminates,
+and is on no list of ids; repeated rows each get a row; rows of equal or null ids are judged each by
+its own text; extra columns are kept or ignored, whatever their names; an empty benchmark leaves every
+document clean.
 """
 
 from __future__ import annotations
@@ -27,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import Words, mix64, text_chunks, text_of
+from tabwright.llm.common import Scratch, Words, mix64, text_chunks, text_of
 
 #: Items of fewer words are looked for as a whole.
 SPAN = 12
@@ -45,10 +52,12 @@ MASKS = [
 #: Verified stretch of aligned words, and the share of them that has to agree.
 WINDOW = 20
 PERCENT = 80
-#: Benchmark words in one broadcast block (about 180 bytes each with all masks).
-BLOCK_WORDS = 400_000
-#: Pairs of a document window and a benchmark window that are verified at once.
-PAIRS = 1 << 15
+#: Bits of the bitmap for each seed, and for all of them at most (16 MB).
+BITS_EACH, BITS = 32, 1 << 27
+#: Rows (seeds of 24 bytes, keys of 16 bytes with their diagonals) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+KEY = ("doc_id", "text_hash")
 
 
 def seed_hashes(h: np.ndarray, mask: np.ndarray, salt: int) -> np.ndarray:
@@ -60,144 +69,173 @@ def seed_hashes(h: np.ndarray, mask: np.ndarray, salt: int) -> np.ndarray:
     return acc
 
 
-class Index:
-    """Word hashes of benchmark items and, per mask, the sorted window hashes with their places."""
-
-    def __init__(self, ids: list[int], texts: list[str]):
-        data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
-        words = Words(data, offsets)
-        self.ids, self.h, self.bounds = np.array(ids, np.int64), words.hashes(), words.bounds
-        owner = np.repeat(np.arange(len(ids)), words.counts)
-        self.tables = []
-        for salt, mask in enumerate(MASKS):
-            hashes = seed_hashes(self.h, mask, salt)
-            inside = owner[: len(hashes)] == owner[mask[-1] : mask[-1] + len(hashes)]
-            self._add(hashes[inside], np.flatnonzero(inside), mask, salt)
-        self.short = {}
-        for item in np.flatnonzero((words.counts > 0) & (words.counts < SPAN)):
-            a, b = self.bounds[item], self.bounds[item + 1]
-            self.short.setdefault(int(b - a), []).append((item, self.h[a:b]))
-        self.owner = owner
-
-    def _add(self, hashes: np.ndarray, at: np.ndarray, mask: np.ndarray, salt: int) -> None:
-        order = np.argsort(hashes, kind="stable")
-        self.tables.append((mask, salt, hashes[order], at[order]))
-
-    def _agree(self, h: np.ndarray, text_of_word: np.ndarray, word: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Whether enough words agree in some window around each pair of a document's and an item's word."""
-        text, item = text_of_word[word], self.owner[place]
-        a, b = self.bounds[item], self.bounds[item + 1]
-        lo, hi = np.searchsorted(text_of_word, text), np.searchsorted(text_of_word, text, "right")
-        width = np.minimum(WINDOW, np.minimum(b - a, np.maximum(hi - lo, SPAN)))
-        sums = np.zeros((len(word), 2 * WINDOW), np.int64)
-        low, high = np.maximum(a - place, lo - word), np.minimum(b - place, hi - word)
-        for i in range(2 * WINDOW - 1):
-            d = i - (WINDOW - 1)
-            inside = (d >= low) & (d < high)
-            same = self.h[np.where(inside, place + d, place)] == h[np.where(inside, word + d, word)]
-            # Beyond an edge of the document or the item, words disagree.
-            sums[:, i + 1] = sums[:, i] + (same & inside)
-        most, each = np.zeros(len(word), np.int64), np.arange(len(word))
-        for i in range(WINDOW):
-            most = np.maximum(most, sums[each, np.minimum(i + width, 2 * WINDOW - 1)] - sums[:, i])
-        return 100 * most >= PERCENT * width
-
-    def hits(self, h: np.ndarray, text_of_word: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, item, agreeing words) for each verified overlap, h being the words of several texts."""
-        found: dict[tuple[int, int], int] = {}
-        diagonals: set[tuple[int, int, int]] = set()
-        for mask, salt, hashes, at in self.tables:
-            if not len(hashes):
-                continue
-            own = seed_hashes(h, mask, salt)
-            left = np.searchsorted(hashes, own)
-            hit = np.flatnonzero(hashes[np.minimum(left, len(hashes) - 1)] == own)
-            hit = hit[text_of_word[hit] == text_of_word[hit + mask[-1]]] if len(hit) else hit
-            if not len(hit):
-                continue
-            left, many = left[hit], np.searchsorted(hashes, own[hit], "right") - left[hit]
-            ends = np.cumsum(many)
-            for low in range(0, int(ends[-1]), PAIRS):
-                k = np.arange(low, min(low + PAIRS, int(ends[-1])))
-                i = np.searchsorted(ends, k, "right")
-                word, place = hit[i], at[left[i] + k - (ends[i] - many[i])]
-                ok = self._agree(h, text_of_word, word, place)
-                word, place = word[ok], place[ok]
-                diagonals.update(zip(text_of_word[word].tolist(), self.owner[place].tolist(), (word - place).tolist()))
-        for text, item, shift in diagonals:
-            a, b = self.bounds[item], self.bounds[item + 1]
-            lo, hi = np.searchsorted(text_of_word, text), np.searchsorted(text_of_word, text, "right")
-            a2, b2 = max(a, lo - shift), min(b, hi - shift)
-            same = int((self.h[a2:b2] == h[a2 + shift : b2 + shift]).sum())
-            found[text, item] = max(found.get((text, item), 0), same)
-        for n, items in self.short.items():
-            windows = len(h) - n + 1
-            if windows <= 0:
-                continue
-            for item, want in items:
-                ok = np.ones(windows, bool)
-                for p in range(n):
-                    ok &= h[p : p + windows] == want[p]
-                for w in np.flatnonzero(ok):
-                    if text_of_word[w] == text_of_word[w + n - 1]:
-                        found[int(text_of_word[w]), int(item)] = n
-        return {(t, i, n) for (t, i), n in found.items()}
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list]:
-    """Benchmark rows in blocks of bounded size, without collecting all of them at once."""
-    rows = benchmark.select(F.col("item_id").cast("long"), text_of().alias("text")).orderBy("item_id", "text")
-    held, words = [], 0
-    for row in rows.toLocalIterator():
-        n = row.text.count(" ") + 1
-        if held and words + n > BLOCK_WORDS:
-            yield held
-            held, words = [], 0
-        held.append(row)
-        words += n
-    if held:
-        yield held
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and item that overlap: doc_id, text_hash, item_id, n_same (agreeing words)."""
-    spark = docs.sparkSession
-    out = None
-    schema = "doc_id long, text_hash long, item_id long, n_same long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    for block in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast(([-1 if r[0] is None else r[0] for r in block], [r[1] for r in block]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(*sent.value)
-            for batch in batches:
-                at, items, same = [], [], []
-                for first, _, data, offsets in text_chunks(batch.column(2)):
-                    words = Words(data, offsets)
-                    for text, item, n in sorted(index.hits(words.hashes(), words.owner())):
-                        at.append(first + text)
-                        items.append(int(index.ids[item]))
-                        same.append(n)
-                own = [batch.column(i).take(pa.array(at, pa.int64())) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(items, pa.int64()), pa.array(same, pa.int64())], names=["doc_id", "text_hash", "item_id", "n_same"]
-                )
-
-        found = rows.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def masks_for(words: int) -> list[tuple[np.ndarray, int]]:
+    """Masks and salts by which an item of so many words is looked for."""
+    if words >= SPAN:
+        return [(m, salt) for salt, m in enumerate(MASKS)]
+    return [(np.arange(words), len(MASKS) + words)] if words else []
+
+
+def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    again = mix64(h)
+    for x in (h, h >> np.uint64(32), again, again >> np.uint64(32)):
+        yield x & np.uint64(bits - 1)
+
+
+def items_of(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """A row for each item with words: key, item_id, n_words and word hashes, written down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, hashes = [], []
+            for _, _, data, offsets in text_chunks(batch.column(2)):
+                words = Words(data, offsets)
+                h = words.hashes()
+                counts += words.counts.tolist()
+                hashes += [h[a:b].tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hashes, pa.binary())], names=["item", "item_id", "n_words", "words"])
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
+    return scratch.table(rows.mapInArrow(run, "item long, item_id long, n_words long, words binary").filter("n_words > 0"), "items")
+
+
+def seeds_of(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """hash, item and place of every window of the items, written down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = np.frombuffer(packed, "<u8")
+                for mask, salt in masks_for(len(h)):
+                    own = seed_hashes(h, mask, salt).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), item)), pa.array(np.arange(len(own)))], names=["hash", "item", "place"])
+
+    return scratch.table(items.select("item", "words").mapInArrow(run, "hash long, item long, place long"), "seeds")
+
+
+def bitmap_of(seeds: DataFrame, n: int) -> np.ndarray:
+    """Bytes of a bitmap in which each seed's hash has set its probes; or-ed before it reaches the driver."""
+    bits = 1 << min(BITS.bit_length() - 1, max(10, (BITS_EACH * n - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.unique(np.concatenate(list(_probes(h, bits))))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "bits"])
+
+    got = seeds.select("hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return out.view(np.uint8)
+
+
+def maybe_seeds(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Places of the hashes whose probes are all set."""
+    at = np.arange(len(h))
+    for i in range(4):
+        p = list(_probes(h[at], 8 * len(bitmap)))[i] if i else h & np.uint64(8 * len(bitmap) - 1)
+        at = at[(bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)]
+    return at
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+
+
+def hits(docs: DataFrame, bitmap: np.ndarray, masks: list[tuple[np.ndarray, int]]) -> DataFrame:
+    """doc_id, text_hash, hash and place (word number) of every document window that may be a seed."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, data, offsets in text_chunks(batch.column(2)):
+                words = Words(data, offsets)
+                h, owner = words.hashes(), words.owner()
+                for mask, salt in masks:
+                    own = seed_hashes(h, mask, salt)
+                    at = maybe_seeds(own, sent.value)
+                    at = at[owner[at] == owner[at + int(mask[-1])]]
+                    if len(at):
+                        rows = pa.array(first + owner[at])
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(own[at].view(np.int64)), pa.array((at - words.bounds[owner[at]]).astype(np.int64))],
+                            names=[*KEY, "hash", "place"],
+                        )
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, hash long, place long")
+
+
+def agreement(h: np.ndarray, item: np.ndarray, shift: int) -> int:
+    """Agreeing words of a diagonal if it verifies, else 0: word j of the item lies on word j + shift."""
+    n, m = len(h), len(item)
+    same = np.zeros(m + 1, np.int64)
+    a, b = max(0, -shift), min(m, n - shift)
+    if b > a:
+        same[a + 1 : b + 1] = h[a + shift : b + shift] == item[a:b]
+    sums = np.cumsum(same)
+    width = min(WINDOW, m, max(n, SPAN)) if m >= SPAN else m
+    most = int((sums[width:] - sums[: m + 1 - width]).max())
+    return int(sums[-1]) if (100 * most >= PERCENT * width if m >= SPAN else most == m) else 0
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """A row for each document and item that overlap: doc_id, text_hash, item, item_id, n_same (agreeing words)."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    items = items_of(benchmark, scratch)
+    seeds = seeds_of(items, scratch)
+    n = seeds.count()
+    lengths = [r[0] for r in items.select(F.least("n_words", F.lit(SPAN))).distinct().collect()]  # SPAN rows at most
+    found = hits(docs, bitmap_of(seeds, n), [m for length in sorted(lengths) for m in masks_for(length)])
+    found = found.withColumnRenamed("place", "_at").join(F.broadcast(seeds) if n <= BROADCAST_ROWS else seeds, "hash")
+    diagonals = scratch.table(found.select(*KEY, "item", (F.col("_at") - F.col("place")).alias("shift")).distinct(), "diagonals")
+    full = diagonals.join(items.select("item", "item_id", "words"), "item")
+    wanted = full.groupBy(*[F.col(k).alias("_" + k) for k in KEY]).agg(F.collect_list(F.struct("item", "item_id", "shift", "words")).alias("_to"))
+    small = diagonals.count() <= BROADCAST_ROWS // 4
+    if small:
+        wanted = F.broadcast(wanted)
+    texts = _keyed(docs)
+    own = texts["doc_id"].eqNullSafe(F.col("_doc_id")) & (texts["text_hash"] == F.col("_text_hash"))
+    rows = texts.join(wanted, own).select(*KEY, "text", *[F.col(f"_to.{c}").alias(c) for c in ("item", "item_id", "shift", "words")])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names, ids, same = [], [], [], []
+            lists = [batch.column(c).to_pylist() for c in ("item", "item_id", "shift", "words")]
+            for first, last, data, offsets in text_chunks(batch.column("text")):
+                words = Words(data, offsets)
+                h = words.hashes()
+                for i in range(first, last):
+                    own = h[words.bounds[i - first] : words.bounds[i - first + 1]]
+                    best: dict[int, tuple] = {}
+                    for item, item_id, shift, packed in zip(*(x[i] for x in lists)):
+                        n = agreement(own, np.frombuffer(packed, "<u8"), shift)
+                        if n > best.get(item, (0,))[0]:
+                            best[item] = (n, item_id)
+                    at += [i] * len(best)
+                    names += best
+                    ids += [v[1] for v in best.values()]
+                    same += [v[0] for v in best.values()]
+            keys = [batch.column(k).take(pa.array(at, pa.int64())) for k in KEY]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(names, pa.int64()), pa.array(ids, pa.int64()), pa.array(same, pa.int64())], names=[*KEY, "item", "item_id", "n_same"])
+
+    return rows.mapInArrow(verify, "doc_id long, text_hash long, item long, item_id long, n_same long")
+
+
+def report(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """For each contaminated document: doc_id, text_hash, its items in order, and the longest overlap in words."""
-    return overlaps(docs, benchmark).groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("n_same").alias("n_same")
-    )
+    return overlaps(docs, benchmark, scratch).groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("n_same").alias("n_same"))
 
 
-def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _same_row(docs: DataFrame, found: DataFrame) -> Column:
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (own == found["_h"])
+
+
+def judge(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """For each row: doc_id, contaminated, item_ids (empty if clean) and n_same (0 if clean)."""
-    found = report(docs, benchmark).withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
+    found = report(docs, benchmark, scratch).withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
     # The hash is taken below the join: only ids and hashes are shuffled, no texts.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"))
     out = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["text_hash"] == found["_h"]), "left")
@@ -209,8 +247,11 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without overlap, with the columns of ``docs``."""
-    found = report(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (own == found["_h"]), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The documents without overlap, with the columns of ``docs``.
+
+    The keys to drop are written down and counted: while they can be broadcast, no text is shuffled.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    found = scratch.table(report(docs, benchmark, scratch).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")), "contaminated")
+    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, _same_row(docs, found), "left_anti")

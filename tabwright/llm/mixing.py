@@ -10,94 +10,84 @@ Targets: the total size is shared by weight; no target exceeds ``MAX_PASSES`` ti
 size, and what is cut off is shared again by weight among the others. Quotas consist of whole passes
 and a rest of less than a pass, so that no block, and hence no document, is taken more than
 ``MAX_PASSES`` times. Quotas are whole blocks: the rest is rounded by the source's mean block, and a
-source with any words gets one slot at least. Blocks longer than ``BLOCK_WORDS`` are for large sources
-only: none is longer than a ``BLOCK_SHARE``-th of its source's target, if that is over ``BLOCK_WORDS``.
+source with any words gets one slot at least. Blocks longer than ``LEAST_WORDS`` are for large sources
+only: none is longer than a ``BLOCK_SHARE``-th of its source's target, if that is over ``LEAST_WORDS``.
 
 Scale: only (source, id, size) rows are shuffled. Positions inside a source come from two levels of
 running sums: documents fall into hash buckets of about ``BUCKET_ROWS`` rows, whose totals are summed
-per source; thus a source with a third of all rows is spread over as many tasks as any other rows.
-Slots are generated in ranges, blocks are joined on an index within the source, by sort and merge: both
-sides grow with the input, however small they look compressed. Only statistics per
-source reach the driver, which refuses more than ``MAX_SOURCES`` sources.
+per source; thus a source with a third of all rows is spread over as many tasks as any other rows, and
+repeated rows are one row with a count until the end. Sources are a table like any other, of any
+number: they are ordered, weighted and given targets in Spark (each round of sharing returns two sums),
+and slot counts are drawn in two levels, over chunks of ``CHUNK`` sources on the driver and over the
+sources of a chunk in its task. Slots are generated in ranges; blocks are joined on an index within the
+source, by sort and merge: both sides grow with the input, however small they look compressed.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its
-own, last in order; repeated rows count each; an empty table gives an empty result; extra columns and
-clashing names are kept apart by reserved prefixes.
+own, last in order; repeated rows count each; rows of null ids are placed by their text like others;
+an empty table gives an empty result; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import WORD, materialize, text_of
-from tabwright.llm.sharding import PRIME, round_keys
+from tabwright.llm.common import WORD, Scratch, quoted, text_of, unused
+from tabwright.llm.sharding import PRIME, number_rows, round_keys
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-BLOCK_WORDS = 32
-BLOCK_SHARE = 32
+BLOCK_WORDS = 512
+LEAST_WORDS = 32
+BLOCK_SHARE = 64
 SHARDS = 8
 BUCKET_ROWS = 4096
-MAX_SOURCES = 100_000
+#: Sources in one draw of slot counts.
+CHUNK = 4096
+#: Sources (under 100 bytes a row) that may be broadcast.
+BROADCAST_ROWS = 500_000
 SEED = 7919
 
 
-@dataclass(frozen=True)
-class Source:
-    number: int
-    name: str | None
-    rows: int
-    size: int
-    target: float
-    blocks: int
-    slots: int
-    block_words: int
-
-
-def fill_targets(sizes: list[int], weights: list[float], total: float, cap: float = MAX_PASSES) -> list[float]:
-    """Targets proportional to weights, none above cap times its size; the excess is shared again."""
-    target, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = float(total)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / weight >= cap * sizes[i]]
-        if not full:
-            for i in open_:
-                target[i] = left * weights[i] / weight
+def _floor_div(x: Column, y: Column) -> Column:
+    return F.call_function("div", x, y)
+
+
+def plan_sources(stats: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Number, target, block length, blocks and slots of each source, from (source, rows, source_size)."""
+    ordered, n = number_rows(stats.withColumn("_last", F.col("source").isNull()), ["_last", "source"], "_s", scratch)
+    weights = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("_s") % len(WEIGHTS) + 1).cast("int"))
+    table = scratch.table(ordered.drop("_last").withColumn("_weight", weights), "sources")
+    cap = (F.col("source_size") * MAX_PASSES).cast("double")
+    total, weight = table.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_weight"), F.lit(0.0))).first()
+    left, closed = float(total), -1
+    while weight:
+        full = F.lit(left) * F.col("_weight") / weight >= cap
+        found = table.agg(F.count_if(full), F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("_weight")))).first()
+        if found[0] == closed:
             break
-        for i in full:
-            target[i] = float(cap * sizes[i])
-        open_ -= set(full)
-        left -= sum(target[i] for i in full)
-    return target
-
-
-def plan_sources(stats: list[tuple], block_words: int = BLOCK_WORDS) -> list[Source]:
-    """Order, weights, targets and quotas of sources, from (name, rows, size) statistics."""
-    order = sorted(stats, key=lambda s: (s[0] is None, s[0] or ""))
-    weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(order))]
-    targets = fill_targets([s[2] for s in order], weights, sum(s[2] for s in order))
-    found = []
-    for i, ((name, rows, size), target) in enumerate(zip(order, targets)):
-        words = min(block_words, max(BLOCK_WORDS, int(target) // BLOCK_SHARE))
-        blocks = -(-size // words)
-        passes = int(target // size) if size else 0
-        slots = passes * blocks + (min(blocks, round((target - passes * size) * blocks / size)) if size and passes < MAX_PASSES else 0)
-        found.append(Source(i, name, rows, size, target, blocks, max(slots, 1) if target > 0 else slots, words))
-    return found
-
-
-def draw_counts(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Slots of each shard (row) and source (column): multinomial draws that add up to the quotas."""
+        closed, left, weight = found[0], float(total) - (found[1] or 0.0), found[2]
+    share = F.lit(left) * F.col("_weight") / weight if weight else cap
+    size, target = F.col("source_size"), F.col("target")
+    planned = table.withColumn("target", F.least(cap, share))
+    planned = planned.withColumn("_words", F.least(F.lit(block_words), F.greatest(F.lit(LEAST_WORDS), F.floor(target / BLOCK_SHARE))).cast("long"))
+    planned = planned.withColumn("_blocks", F.ceil(size / F.col("_words")).cast("long"))
+    passes = F.when(size > 0, F.floor(target / size)).otherwise(0)
+    rest = F.least(F.col("_blocks"), F.round((target - passes * size) * F.col("_blocks") / size).cast("long"))
+    slots = passes * F.col("_blocks") + F.when((size > 0) & (passes < MAX_PASSES), rest).otherwise(0)
+    slots = F.when(target > 0, F.greatest(slots, F.lit(1))).otherwise(slots).cast("long")
+    return scratch.table(planned.withColumn("_slots", slots).drop("_weight"), "plan")
+
+
+def draw_counts(quotas: np.ndarray, totals: list[int], seed: list[int]) -> np.ndarray:
+    """Slots of each shard (row) and source (column): multinomial draws that add up to quotas and totals."""
     rng, left = np.random.default_rng(seed), np.array(quotas, np.int64)
-    out = np.zeros((shards, len(quotas)), np.int64)
-    for j in range(shards):
-        want = int(left.sum()) // (shards - j)
+    out = np.zeros((len(totals), len(left)), np.int64)
+    for j, want in enumerate(totals):
         while (missing := want - int(out[j].sum())) > 0:
             room = left - out[j]
             out[j] += np.minimum(rng.multinomial(missing, room / room.sum()), room)
@@ -105,6 +95,11 @@ def draw_counts(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
+def even_totals(n: int, shards: int) -> list[int]:
+    """Sizes of the shards, at most one apart."""
+    return [(n * (j + 1)) // shards - (n * j) // shards for j in range(shards)]
+
+
 # ------------------------------------------------------- a permutation for each source and pass
 
 
@@ -169,111 +164,134 @@ def _permuted(x: Column, n: Column, a: Column, b: Column, walks: int, seed: int)
 # ----------------------------------------------------------------------------------- the mix
 
 
-def measure(docs: DataFrame, source_column: str = "source") -> DataFrame:
-    """Number of words of each row beside its id and source; written down, as it is read thrice."""
-    return materialize(
-        docs.select("doc_id", F.col(source_column).alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), *[c for c in docs.columns if c == "_uid"]),
-        "sizes",
-    )
-
+def measure(docs: DataFrame, scratch: Scratch, row: str | None = None) -> DataFrame:
+    """doc_id, source, text_hash, size (words) and copies (``_n``) of rows; with ``row``, that id of each row.
 
-def source_stats(sizes: DataFrame) -> list[tuple]:
-    rows = sizes.groupBy("source").agg(F.count(F.lit(1)), F.sum("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: merge the small ones before mixing")
-    return [tuple(r) for r in rows]
+    Written down, as it is read thrice. Without row ids, repeated rows are one row with their number.
+    """
+    sizes = docs.select(
+        "doc_id",
+        F.col("source").alias("source"),
+        F.xxhash64(text_of()).alias("_hash"),
+        F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
+        *([quoted(row).alias("_row")] if row else []),
+    )
+    if row:
+        sizes = sizes.withColumn("_n", F.lit(1).cast("long"))
+    else:
+        sizes = sizes.groupBy("doc_id", "source", "_hash", "size").agg(F.count(F.lit(1)).alias("_n"))
+    return scratch.table(sizes, "sizes")
 
 
-def source_table(spark: SparkSession, plan: list[Source]) -> DataFrame:
-    rows = [(s.number, s.name, s.rows, s.size, s.target, s.blocks, s.slots, s.block_words) for s in plan]
-    return spark.createDataFrame(rows, "_s int, _name string, _rows long, source_size long, target double, _blocks long, _slots long, _words long")
+def source_stats(sizes: DataFrame) -> DataFrame:
+    return sizes.groupBy("source").agg(F.sum("_n").alias("rows"), F.sum(F.col("size") * F.col("_n")).alias("source_size"))
 
 
-def positions(sizes: DataFrame, table: DataFrame) -> DataFrame:
-    """Add ``_s`` (source number), its statistics and ``_from``, the words before the row in its source."""
-    buckets = F.ceil(F.col("_rows") / BUCKET_ROWS)
-    rows = sizes.join(F.broadcast(table), sizes["source"].eqNullSafe(table["_name"])).withColumn(
-        "_bucket", F.pmod(F.xxhash64("doc_id"), buckets)
+def positions(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add the plan of each row's source and ``_from``, the words before the row in its source."""
+    plan = plan.withColumnRenamed("source", "_name")
+    small = plan.count() <= BROADCAST_ROWS
+    buckets = F.ceil(F.col("rows") / BUCKET_ROWS)
+    rows = sizes.join(F.broadcast(plan) if small else plan, sizes["source"].eqNullSafe(plan["_name"])).withColumn(
+        "_bucket", F.pmod(F.xxhash64("doc_id", "_hash"), buckets)
     )
-    inside = Window.partitionBy("_s", "_bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size")
-    rows = rows.withColumn("_inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    ties = [F.col("_row")] if "_row" in sizes.columns else []
+    words = F.col("size") * F.col("_n")
+    inside = Window.partitionBy("_s", "_bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "_hash", *ties)
+    rows = rows.withColumn("_inside", F.sum(words).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     before = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_s", "_bucket").agg(F.sum("size").alias("_total"))
+    totals = rows.groupBy("_s", "_bucket").agg(F.sum(words).alias("_total"))
     totals = totals.select("_s", "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
     rows = rows.join(totals.hint("merge"), ["_s", "_bucket"])
-    return rows.withColumn("_from", F.col("_before") + F.coalesce("_inside", F.lit(0))).drop("_bucket", "_inside", "_before", "_name", "_rows")
+    rows = rows.withColumn("_first", F.col("_before") + F.coalesce("_inside", F.lit(0)))
+    # Copies follow each other; ranges of them first, so that no array grows with their number.
+    ranged = rows.withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(BUCKET_ROWS).cast("long"))))
+    each = ranged.withColumn("_copy", F.explode(F.sequence("_lo", F.least(F.col("_lo") + (BUCKET_ROWS - 1), F.col("_n") - 1))))
+    return each.withColumn("_from", F.col("_first") + F.col("_copy") * F.col("size"))
 
 
-def slots(spark: SparkSession, plan: list[Source], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def slots(plan: DataFrame, scratch: Scratch, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix: shard, slot within the shard, source number, pass over the source, block index."""
-    counts = draw_counts([s.slots for s in plan], shards, seed)
-    first = np.cumsum(counts, 0) - counts
-    rows = []
-    for j in range(shards):
-        at, total = 0, int(counts[j].sum())
-        ga, gb = _grid(total)
-        for s in plan:
-            n = int(counts[j, s.number])
-            if n:
-                a, b = _grid(s.blocks)
-                rows.append((j, s.number, at, n, int(first[j, s.number]), s.blocks, a, b, total, ga, gb))
-                at += n
-    walks = max([0, *(_walks(s.blocks, seed + e) for s in plan if s.blocks for e in range(MAX_PASSES))])
-    shard_walks = max([0, *(_walks(int(counts[j].sum()), seed + 101) for j in range(shards) if counts[j].sum())])
-    table = spark.createDataFrame(rows, "shard int, _s int, _at long, _n long, _first long, _blocks long, _a long, _b long, _total long, _ga long, _gb long")
+    spark = plan.sparkSession
+    chunked = plan.filter("_slots > 0").select("_s", "_blocks", "_slots", _floor_div(F.col("_s"), F.lit(CHUNK)).alias("_chunk"))
+    quotas = sorted(tuple(r) for r in chunked.groupBy("_chunk").agg(F.sum("_slots")).collect())  # a row for CHUNK sources
+    total = sum(q for _, q in quotas)
+    totals = even_totals(total, shards)
+    counts = draw_counts(np.array([q for _, q in quotas], np.int64), totals, [seed, 1])
+    base = np.cumsum(counts, 1) - counts
+    rows = [(c, counts[:, i].tolist(), base[:, i].tolist()) for i, (c, _) in enumerate(quotas)]
+    dealt = chunked.join(spark.createDataFrame(rows, "_chunk long, _totals array<long>, _bases array<long>"), "_chunk")
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_s")
+        found = draw_counts(pdf["_slots"].to_numpy(np.int64), list(pdf["_totals"].iloc[0]), [seed, 2, int(pdf["_chunk"].iloc[0])])
+        at = np.cumsum(found, 1) - found + np.array(list(pdf["_bases"].iloc[0]))[:, None]
+        first = np.cumsum(found, 0) - found
+        j, i = np.nonzero(found)
+        grids = [_grid(int(n)) for n in pdf["_blocks"]]
+        walks = [max(_walks(int(n), seed + e) for e in range(MAX_PASSES)) for n in pdf["_blocks"]]
+        return pd.DataFrame({
+            "shard": j.astype(np.int32), "_s": pdf["_s"].to_numpy()[i], "_at": at[j, i], "_n": found[j, i], "_first": first[j, i],
+            "_blocks": pdf["_blocks"].to_numpy()[i], "_a": np.array([g[0] for g in grids])[i], "_b": np.array([g[1] for g in grids])[i], "_walks": np.array(walks)[i],
+        })
+
+    schema = "shard int, _s long, _at long, _n long, _first long, _blocks long, _a long, _b long, _walks long"
+    drawn = scratch.table(dealt.groupBy("_chunk").applyInPandas(draw, schema), "drawn")
+    walks = drawn.agg(F.coalesce(F.max("_walks"), F.lit(0))).first()[0]
+    shard_walks = max(_walks(n, seed + 101) for n in totals)
+    of_shard = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("shard") + 1)
     chunk = 1 << 14
-    ranges = table.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))).alias("_lo"))
-    ranges = ranges.repartition(max(1, min(10_000, -(-int(counts.sum()) // (8 * chunk)))))
+    ranges = drawn.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))).alias("_lo"))
+    ranges = ranges.repartition(max(1, min(10_000, -(-total // (8 * chunk)))))
     each = ranges.select("*", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + (chunk - 1), F.col("_n") - 1))).alias("_k"))
-    nth = F.col("_first") + F.col("_k")
-    each = each.withColumn("_nth", nth).withColumn("pass", F.call_function("div", F.col("_nth"), F.col("_blocks")).cast("int"))
+    each = each.withColumn("_nth", F.col("_first") + F.col("_k")).withColumn("pass", _floor_div(F.col("_nth"), F.col("_blocks")).cast("int"))
     within = F.col("_nth") % F.col("_blocks")
     block = F.lit(None).cast("long")
     for e in range(MAX_PASSES):
         block = F.when(F.col("pass") == e, _permuted(within, F.col("_blocks"), F.col("_a"), F.col("_b"), walks, seed + e)).otherwise(block)
-    slot = _permuted(F.col("_at") + F.col("_k"), F.col("_total"), F.col("_ga"), F.col("_gb"), shard_walks, seed + 101)
+    sides = [_grid(n) for n in totals]
+    slot = _permuted(F.col("_at") + F.col("_k"), of_shard(totals), of_shard([a for a, _ in sides]), of_shard([b for _, b in sides]), shard_walks, seed + 101)
     return each.select("shard", slot.alias("slot"), "_s", "pass", block.alias("block"))
 
 
 def pieces(placed: DataFrame) -> DataFrame:
     """A row for each block that a document touches: block, and the document's words in it, from and to."""
-    spread = placed.filter("size > 0").withColumn(
-        "block",
-        F.explode(F.sequence(F.call_function("div", F.col("_from"), F.col("_words")), F.call_function("div", F.col("_from") + F.col("size") - 1, F.col("_words")))),
-    )
+    first, last = _floor_div(F.col("_from"), F.col("_words")), _floor_div(F.col("_from") + F.col("size") - 1, F.col("_words"))
+    spread = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("block") * F.col("_words") - F.col("_from"), F.lit(0).cast("long"))
     high = F.least((F.col("block") + 1) * F.col("_words") - F.col("_from"), F.col("size"))
     return spread.withColumns({"low": low, "high": high})
 
 
-def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
     """For each row: doc_id, source, size, source_size, target of its source, and taken words."""
-    spark, sizes = docs.sparkSession, measure(docs)
-    plan = plan_sources(source_stats(sizes), block_words)
-    placed = positions(sizes, source_table(spark, plan)).select("doc_id", "source", "size", "source_size", "target", "_s", "_from", "_words")
-    times = slots(spark, plan, shards, seed).groupBy("_s", "block").agg(F.count(F.lit(1)).alias("_times"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    sizes = measure(docs, scratch)
+    plan = plan_sources(source_stats(sizes), scratch, block_words)
+    own = ["doc_id", "source", "size", "source_size", "target", "_s", "_from"]
+    placed = positions(sizes, plan).select(*own, "_words")
+    times = slots(plan, scratch, shards, seed).groupBy("_s", "block").agg(F.count(F.lit(1)).alias("_times"))
     parts = pieces(placed).join(times.hint("merge"), ["_s", "block"], "left")
-    some = parts.groupBy("doc_id", "source", "size", "source_size", "target", "_s", "_from").agg(
-        F.sum((F.col("high") - F.col("low")) * F.coalesce("_times", F.lit(0))).alias("taken")
-    )
-    none = placed.filter("size = 0").drop("_words").withColumn("taken", F.lit(0).cast("long"))
+    some = parts.groupBy(*own).agg(F.sum((F.col("high") - F.col("low")) * F.coalesce("_times", F.lit(0))).alias("taken"))
+    none = placed.filter("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
     return some.unionByName(none).drop("_s", "_from")
 
 
-def mixed_documents(docs: DataFrame, block_words: int, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: text and n_chars are those of what is taken.
 
     A pass over a source takes some of its blocks. Neighbouring taken blocks join again, so that in a
     whole pass a document comes out as it was; else its runs of taken words come out as rows.
     """
-    spark = docs.sparkSession
-    keyed = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-input")
-    sizes = measure(keyed)
-    plan = plan_sources(source_stats(sizes), block_words)
-    placed = positions(sizes, source_table(spark, plan)).select("_uid", "doc_id", "size", "_s", "_from", "_words")
-    drawn = slots(spark, plan, shards, seed).select("_s", "block", "pass")
+    scratch = scratch or Scratch(docs.sparkSession)
+    row, found, run = unused(docs, "_row", "_runs", "_run")
+    keyed = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()), "input")
+    sizes = measure(keyed, scratch, row)
+    plan = plan_sources(source_stats(sizes), scratch, block_words)
+    placed = positions(sizes, plan).select("_row", "size", "_s", "_from", "_words")
+    drawn = slots(plan, scratch, shards, seed).select("_s", "block", "pass")
     got = pieces(placed).join(drawn.hint("merge"), ["_s", "block"])
-    ranges = got.groupBy("_uid", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_r"))
+    ranges = got.groupBy("_row", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_r"))
     empty = F.array().cast("array<struct<low:bigint,high:bigint>>")
 
     def join(runs: Column, x: Column) -> Column:
@@ -282,13 +300,14 @@ def mixed_documents(docs: DataFrame, block_words: int, shards: int = SHARDS, see
         longer = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(last["low"].alias("low"), x["high"].alias("high"))))
         return F.when(meets, longer).otherwise(F.concat(runs, F.array(F.struct(x["low"].alias("low"), x["high"].alias("high")))))
 
-    runs = ranges.select("_uid", "size", F.explode(F.aggregate("_r", empty, join)).alias("_run"))
-    per_row = runs.groupBy("_uid", "size").agg(F.collect_list("_run").alias("_runs")).withColumnsRenamed({"size": "_size"})
-    rows = keyed.join(per_row.hint("merge"), "_uid").withColumn("_run", F.explode("_runs"))
+    runs = ranges.select("_row", "size", F.explode(F.aggregate("_r", empty, join)).alias("_one"))
+    runs = runs.select("_row", F.struct("_one.low", "_one.high", ((F.col("_one.low") == 0) & (F.col("_one.high") == F.col("size"))).alias("whole")).alias("_one"))
+    per_row = runs.groupBy(F.col("_row").alias(row)).agg(F.collect_list("_one").alias(found))
+    rows = keyed.join(per_row.hint("merge"), row).withColumn(run, F.explode(quoted(found)))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.slice(words, (F.col("_run")["low"] + 1).cast("int"), (F.col("_run")["high"] - F.col("_run")["low"]).cast("int")), "")
-    whole = (F.col("_run")["low"] == 0) & (F.col("_run")["high"] == F.col("_size"))
-    out = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    low, high = quoted(run)["low"], quoted(run)["high"]
+    part = F.array_join(F.slice(words, (low + 1).cast("int"), (high - low).cast("int")), "")
+    out = rows.withColumn("text", F.when(quoted(run)["whole"], F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[quoted(c) for c in docs.columns])

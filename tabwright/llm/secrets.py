@@ -27,7 +27,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import materialize, text_of
+from tabwright.llm.common import Scratch, text_of
 
 #: Candidate rows (id, hash, mask: under 40 bytes each) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -180,7 +180,7 @@ def candidates(postings: DataFrame, trigrams: list[str], rules: list[tuple[Rule,
     return held.select("doc_id", "_h", mask.alias("_rules")).filter("_rules <> 0")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, scratch: Scratch | None = None) -> DataFrame:
     """doc_id and ``found``, the sorted array of (start, rank, end, kind), one row for each input row."""
     queries = {r: trigram_query(r.pattern) for r in rules}
     indexed = [(r, q) for r, q in queries.items() if q]
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     out = keyed.select("doc_id", "_h", (F.concat(*[spans(F.col("text"), r) for r in full]) if full else nothing).alias("_full"))
     if indexed:
         trigrams = sorted({t for _, q in indexed for clause in q for alternative in clause for t in alternative})
-        picked = materialize(candidates(index(docs, trigrams), trigrams, indexed), "candidates")
+        picked = (scratch or Scratch(docs.sparkSession)).table(candidates(index(docs, trigrams), trigrams, indexed), "candidates")
         if picked.count() <= BROADCAST_ROWS:
             picked = F.broadcast(picked)
         picked = picked.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "_rules")

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import materialize, text_of
+from tabwright.llm.common import Scratch, text_of
 
 ROUNDS = 6
 #: A prime below 2**31: products of two residues stay within a signed 64-bit integer.
@@ -109,7 +109,7 @@ def permute(df: DataFrame, number: str, n: int, out: str, seed: int = SEED) -> D
     return df.withColumn(out, place)
 
 
-def number_rows(df: DataFrame, order: list[str], out: str = "row_number") -> tuple[DataFrame, int]:
+def number_rows(df: DataFrame, order: list[str], out: str = "row_number", scratch: Scratch | None = None) -> tuple[DataFrame, int]:
     """Gapless global row numbers in the given order, and the number of rows.
 
     The rows are range-partitioned and sorted, so that a partition's rows follow those of the one
@@ -123,7 +123,7 @@ def number_rows(df: DataFrame, order: list[str], out: str = "row_number") -> tup
         # The id counts a partition's rows in its lower 33 bits.
         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    rows = materialize(sorted_rows, "numbered")
+    rows = (scratch or Scratch(df.sparkSession)).table(sorted_rows, "numbered")
     sizes = rows.groupBy("_part").count().collect()  # one row per partition
     start, base = 0, {}
     for part, count in sorted((r[0], r[1]) for r in sizes):

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import local_path, materialize, new_scratch, text_of
+from tabwright.llm.common import Scratch, local_path, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -188,12 +188,14 @@ def write_tokens(docs: DataFrame, out_uri: str, tokenizer: str = TOKENIZER, end_
         yield pa.RecordBatch.from_pylist([{"part": part, "docs": docs_done, "ids": ids_done, "width": enc.dtype.itemsize}])
 
     os.makedirs(out, exist_ok=True)
-    written = materialize(rows.mapInArrow(write, "part long, docs long, ids long, width long"), "parts")
+    scratch = Scratch(spark)
+    written = scratch.table(rows.mapInArrow(write, "part long, docs long, ids long, width long"), "parts")
     parts, base_doc, base_id = [], 0, 0
     for p in sorted(written.collect(), key=lambda r: r.part):  # one row per partition
         parts.append((p.part, p.docs, p.ids, base_doc, base_id))
         base_doc, base_id = base_doc + p.docs, base_id + p.ids
     width = written.agg(F.max("width")).first()[0] or encoder(tokenizer_path).dtype.itemsize
+    scratch.drop()
     with open(f"{out}/meta.json", "w") as f:
         json.dump({"width": width, "docs": base_doc, "ids": base_id, "end_id": end_id, "parts": [dict(zip(("part", "docs", "ids", "base_doc", "base_id"), p)) for p in parts]}, f)
     table = _parts_table(spark, parts)
@@ -250,8 +252,8 @@ def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
     return table.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_and_read(docs: DataFrame) -> DataFrame:
+def encode_and_read(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Write the documents as a data set in the shared folder and read it back."""
-    uri = new_scratch(docs.sparkSession, "tokens")
+    uri = (scratch or Scratch(docs.sparkSession)).path("tokens")
     write_tokens(docs, uri)
     return read_tokens(docs.sparkSession, uri)

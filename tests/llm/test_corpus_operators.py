@@ -102,9 +102,11 @@ def test_filter_of_signatures_adds_next_to_nothing_to_the_trees_misses():
     assert lost < 0.1 * (1 - 0.8 ** neardup.DEPTHS[0]) ** neardup.TREES < 1e-8
 
 
-def test_dense_regions_and_large_clusters_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "REGION", 8)
-    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 7)
+@pytest.mark.parametrize("region", [2, 1024])
+def test_dense_regions_and_large_clusters_lose_no_link(spark, monkeypatch, region):
+    monkeypatch.setattr(neardup, "REGION", region)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "WIDE_BLOCK", 9)
     rng = np.random.default_rng(0)
     base = [f"w{i}" for i in range(150)]
     texts = []
@@ -243,10 +245,40 @@ def test_trie_counts_match_a_viterbi_for_each_word(docs, rows, none):
     assert token_counts.count_tokens(none).collect() == []
 
 
-def test_mix_targets():
-    assert mixing.fill_targets([10, 100, 100], [5, 2, 1], 210) == [30.0, 120.0, 60.0]
-    assert mixing.fill_targets([], [], 0) == []
-    counts = mixing.draw_counts([5, 0, 1000], 4)
+def shared_out(sizes, weights, cap=3):
+    """Targets by hand: the total by weight, what is above the cap shared again among the others."""
+    target, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
+    while open_:
+        weight = sum(weights[i] for i in open_)
+        full = [i for i in open_ if left * weights[i] / weight >= cap * sizes[i]]
+        for i in full or open_:
+            target[i] = cap * sizes[i] if full else left * weights[i] / weight
+        if not full:
+            break
+        open_ = [i for i in open_ if i not in full]
+        left -= sum(target[i] for i in full)
+    return target
+
+
+def planned(spark, stats, block_words=512):
+    scratch = common.Scratch(spark)
+    rows = spark.createDataFrame(stats, "source string, rows long, source_size long")
+    return sorted(mixing.plan_sources(rows, scratch, block_words).collect(), key=lambda r: r["_s"])
+
+
+@pytest.mark.parametrize("sizes", [[10, 100, 100], [0, 5, 0, 9], [7], [], [1, 1, 1, 1000], [337_500] + [150, 300, 450] * 30])
+def test_mix_targets(spark, sizes):
+    stats = [(f"s{i:04}", 1, n) for i, n in enumerate(sizes)]
+    if sizes:
+        stats[-1] = (None, 1, sizes[-1])
+    got = planned(spark, stats)
+    want = shared_out(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))])
+    assert [r.source for r in got] == [x[0] for x in stats]
+    assert [r.target for r in got] == pytest.approx(want)
+
+
+def test_mix_draws():
+    counts = mixing.draw_counts(np.array([5, 0, 1000]), mixing.even_totals(1005, 4), [1])
     assert counts.sum(0).tolist() == [5, 0, 1000] and counts.sum(1).max() - counts.sum(1).min() <= 1
 
 
@@ -259,28 +291,93 @@ def test_mix_takes_near_targets(docs, rows, none):
         assert own[0].source_size == sum(r.size for r in own)
         assert abs(sum(r.taken for r in own) - own[0].target) <= 8
     assert mixing.taken_words(none).collect() == []
+    assert mixing.mixed_documents(none).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [2, 4096])
+def test_taken_words_match_a_layout_by_hand(spark, docs, rows, monkeypatch, chunk):
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0 if chunk == 2 else 100)
+    more = docs.union(spark.createDataFrame([(7, prose(70, 7), "en", "s1", 0, 1, "x")] * 3 + [(None, prose(40 + i, i), "en", f"t{i % 4}", 0, 1, "x") for i in range(12)], SCHEMA))
+    scratch = common.Scratch(spark)
+    sizes = mixing.measure(more, scratch)
+    plan = {r["_s"]: r for r in mixing.plan_sources(mixing.source_stats(sizes), scratch, 8).collect()}
+    drawn = mixing.slots(mixing.plan_sources(mixing.source_stats(sizes), scratch, 8), scratch).collect()
+    per_source, per_shard = {}, {}
+    for r in drawn:
+        per_source.setdefault(r["_s"], []).append((r["pass"], r["block"]))
+        per_shard.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in per_shard.values())
+    assert max(map(len, per_shard.values())) - min(map(len, per_shard.values())) <= 1
+    for s, taken in per_source.items():
+        assert len(set(taken)) == len(taken) == plan[s]["_slots"] and all(0 <= b < plan[s]["_blocks"] for _, b in taken)
+    by_name = {r.source: s for s, r in plan.items()}
+    laid, want = {}, []
+    order = sorted(sizes.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.size, r["_hash"]))
+    for r in [x for x in order for _ in range(x["_n"])]:
+        s = by_name[r.source]
+        at = laid.get(s, 0)
+        laid[s] = at + r.size
+        words = plan[s]["_words"]
+        times = {}
+        for _, b in per_source.get(s, []):
+            times[b] = times.get(b, 0) + 1
+        want.append((str(r.doc_id), r.source or "", r.size, sum(times.get(w // words, 0) for w in range(at, at + r.size))))
+    got = [(str(r.doc_id), r.source or "", r.size, r.taken) for r in mixing.taken_words(more, 8).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_small_sources_keep_their_share_of_the_mix(spark):
     stats = [(f"s{i:04}", 3, 337_500 if i == 0 else (150, 300, 450)[i % 3]) for i in range(3000)]
     for block_words in (32, 512):
-        for s in mixing.plan_sources(stats, block_words):
-            assert s.slots >= 1 and abs(s.slots * s.size / s.blocks - s.target) <= max(17, s.target / 60), s
+        for s in planned(spark, stats, block_words):
+            assert s["_slots"] >= 1 and abs(s["_slots"] * s.source_size / s["_blocks"] - s.target) <= max(17, s.target / 60), s
     for size in (1, 10, 40):
-        assert all(s.slots >= 1 for s in mixing.plan_sources([("a", 1, 10**6), ("b", 1, size), ("c", 1, size)], 512))
-    assert [s.slots for s in mixing.plan_sources([("a", 1, 0), (None, 2, 0)], 512)] == [0, 0]
+        assert all(s["_slots"] >= 1 for s in planned(spark, [("a", 1, 10**6), ("b", 1, size), ("c", 1, size)]))
+    assert [s["_slots"] for s in planned(spark, [("a", 1, 0), (None, 2, 0)])] == [0, 0]
     rows = [(i, prose(50, i), "en", "hot" if i < 200 else f"s{i // 3}", 0, 1, "x") for i in range(300)]
     df = spark.createDataFrame(rows, SCHEMA)
     taken, sizes = {}, {}
-    for r in mixing.mixed_documents(df, block_words=512).collect():
+    for r in mixing.mixed_documents(df).collect():
         taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
     for r in rows:
         sizes[r[3]] = sizes.get(r[3], 0) + 50
-    plan = {s.name: s.target for s in mixing.plan_sources([(k, 1, v) for k, v in sizes.items()], 512)}
+    names = sorted(sizes)
+    plan = dict(zip(names, shared_out([sizes[n] for n in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])))
     assert set(taken) == set(sizes)
     assert all(abs(n - plan[s]) <= max(33, plan[s] / 16) for s, n in taken.items())
 
 
+def test_clashing_columns_of_the_input_stay(spark):
+    names = ["_size", "_row", "_run", "_runs", "_uid", "_n", "_s", "_q_words", "_q_kept", "_id", "_h", "_hash", "_keeper", "source_size", "target"]
+    data = [(i, prose(60, i), "en", "a", 0, *[f"{n}{i}" for n in names]) for i in range(6)] + [(9, prose(60, 0), None, None, None, *[None] * len(names))]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, prose(60, 3))], "item_id long, text string")
+    for out, ids in ((quality_rules.keep_good(df), None), (neardup.keep_one(df), set(range(6))), (decontaminate.keep_clean(df, bench), {0, 1, 2, 4, 5, 9}), (mixing.mixed_documents(df), None)):
+        assert out.columns == df.columns
+        found = out.collect()
+        assert all(r[n] == (None if r.doc_id == 9 else f"{n}{r.doc_id}") for r in found for n in names)
+        assert ids is None or {r.doc_id for r in found} == ids
+
+
+def test_keep_one_tells_rows_apart_by_id_and_text(spark, none):
+    a, b = prose(80, 1), prose(80, 2)
+    data = [(3, a, 1), (5, a, 2), (5, b, 3), (None, b, 4), (None, b, 5), (None, prose(80, 3), 6), (None, prose(80, 3), 7), (8, prose(80, 4), 8), (8, prose(80, 4), 9), (1, None, 10), (1, "", 11)]
+    df = spark.createDataFrame(data, "doc_id long, text string, tag int")
+    got = [(str(r.doc_id), str(r.text)) for r in neardup.keep_one(df).collect()]
+    assert sorted(got) == sorted([("3", a), ("5", b), ("None", prose(80, 3)), ("8", prose(80, 4)), ("1", "None"), ("1", "")])
+    assert neardup.keep_one(none).collect() == []
+
+
+def test_near_copies_are_linked_over_a_row_without_an_id(spark):
+    w = [f"w{i}" for i in range(100)]
+    chain = [" ".join(["x"] * n + w[n:]) for n in (0, 9, 18)]
+    sets = [shingles(t, 4) for t in chain]
+    assert 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1]) and 100 * len(sets[0] & sets[2]) < 80 * len(sets[0] | sets[2])
+    df = spark.createDataFrame([(4, chain[0]), (None, chain[1]), (6, chain[2])], "doc_id long, text string")
+    assert {r.component_id for r in neardup.near_duplicates(df, 4).collect()} == {4}
+
+
 def test_mixed_documents_are_pieces(docs, rows):
     out = mixing.mixed_documents(docs, block_words=16).collect()
     assert mixing.mixed_documents(docs, 16).columns == docs.columns
@@ -318,21 +415,34 @@ def test_rows_of_equal_or_null_ids_are_judged_by_their_own_text(spark):
     assert judged.count() == len(data) and judged.filter("contaminated").count() == 3
 
 
-def test_blocks_of_a_large_benchmark_agree(spark, monkeypatch):
+def test_a_large_benchmark_agrees(spark, monkeypatch):
     bench = spark.createDataFrame([(i, prose(30, 100 + i)) for i in range(6)], "item_id long, text string")
     df = spark.createDataFrame([(i, prose(20, i) + " " + prose(30, 100 + i)) for i in range(6)], "doc_id long, text string")
-    whole = sorted(map(tuple, decontaminate.overlaps(df, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 50)
-    assert sorted(map(tuple, decontaminate.overlaps(df, bench).collect())) == whole and len(whole) == 6
+    slim = lambda found: sorted((r.doc_id, r.item_id, r.n_same) for r in found.collect())
+    whole = slim(decontaminate.overlaps(df, bench))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BITS", 1 << 10)  # a bitmap that is nearly full
+    assert slim(decontaminate.overlaps(df, bench)) == whole and len(whole) == 6
+
+
+def test_items_without_ids_contaminate(spark):
+    bench = spark.createDataFrame([(None, prose(30, 100)), (None, None), (2, prose(30, 101))], "item_id long, text string")
+    df = spark.createDataFrame([(1, prose(30, 100)), (2, prose(30, 101) + " " + prose(30, 100)), (3, "x")], "doc_id long, text string")
+    assert {r.doc_id: (r.contaminated, r.item_ids) for r in decontaminate.judge(df, bench).collect()} == {1: (True, []), 2: (True, [2]), 3: (False, [])}
 
 
-def indexed(item):
-    return decontaminate.Index([0], [item])
+def hashes(text):
+    return common.Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])).hashes()
 
 
-def flagged(index, text):
-    words = common.Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
-    return bool(index.hits(words.hashes(), words.owner()))
+def flagged(item, text):
+    """Whether a mask's hash of the text is one of the item's, and its diagonal verifies."""
+    h, w, shifts = hashes(text), hashes(item), set()
+    for mask, salt in decontaminate.masks_for(len(w)):
+        own, seeds = decontaminate.seed_hashes(h, mask, salt), decontaminate.seed_hashes(w, mask, salt)
+        for place, x in enumerate(seeds):
+            shifts |= set((np.flatnonzero(own == x) - place).tolist())
+    return any(decontaminate.agreement(h, w, s) for s in shifts)
 
 
 @pytest.mark.parametrize("n", range(12, 21))
@@ -347,7 +457,7 @@ def test_passages_that_verify_are_flagged():
     rng = np.random.default_rng(8)
     for n in (12, 13, 15, 16, 17, 20):
         item = [f"i{j}" for j in range(n)]
-        index = indexed(" ".join(item))
+        index = " ".join(item)
         for _ in range(100):
             for spoilt in (n * 20 // 100, n * 20 // 100 + 1):
                 own = list(item)
@@ -356,7 +466,7 @@ def test_passages_that_verify_are_flagged():
                 text = " ".join([f"a{j}" for j in range(30)] + own + [f"b{j}" for j in range(30)])
                 assert flagged(index, text) == (100 * (n - spoilt) >= 80 * n), own
     item = [f"i{j}" for j in range(200)]
-    index = indexed(" ".join(item))
+    index = " ".join(item)
     for phase in range(5):
         fifth = " ".join("zz" if j % 5 == phase else w for j, w in enumerate(item))
         assert flagged(index, f"some words before {fifth} and some after")
@@ -377,7 +487,7 @@ def overlaps_by_brute_force(text, item):
 
 def test_passages_at_the_edge_of_a_document_are_flagged():
     item = [f"i{j}" for j in range(40)]
-    index = indexed(" ".join(item))
+    index = " ".join(item)
     rest = " ".join(f"a{j}" for j in range(50))
     for n in (15, 16, 17, 19):
         for text in (f"{rest} {' '.join(item[:n])}", f"{' '.join(item[-n:])} {rest}"):
@@ -395,12 +505,12 @@ def test_overlaps_match_brute_force():
         part = [w if rng.random() > 0.17 else "zz" for w in item[at : at + int(rng.integers(8, 32))]]
         before, after = ([f"{c}{j}" for j in range(rng.integers(0, 3) * rng.integers(0, 12))] for c in "ab")
         text = " ".join(before + part + after)
-        seen.append(flagged(indexed(" ".join(item)), text))
+        seen.append(flagged(" ".join(item), text))
         assert seen[-1] == overlaps_by_brute_force(text, " ".join(item)), (text, item)
     few = ["a", "b", "c"]
     for _ in range(300):
         item, text = (" ".join(rng.choice(few, rng.integers(12, 30), p=[0.6, 0.3, 0.1])) for _ in range(2))
-        seen.append(flagged(indexed(item), text))
+        seen.append(flagged(item, text))
         assert seen[-1] == overlaps_by_brute_force(text, item), (text, item)
     assert 200 < sum(seen) < len(seen) - 200
 
