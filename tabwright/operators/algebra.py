@@ -9,13 +9,17 @@ skipped silently.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabwright.functions.cells import parse_number, strip
+from tabwright.functions.cells import parse_number, quoted, strip
 
 ROW = "_row"
 JOIN_LIMIT = 2000
+FAILED = "invalid_table_operation"
+#: Errors that only show when cells are read.
+RUN_TIME_ERRORS = ("not_a_scalar_number", "empty_aggregate", "division_by_zero", "index_out_of_range")
 
 
 class TableError(ValueError):
@@ -26,11 +30,16 @@ def columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW]
 
 
+def integer(value: object, bound: int) -> int:
+    """A real integer in [0, bound), no boolean and no float of an integral value."""
+    if type(value) is not int or not 0 <= value < bound:
+        raise TableError("index_out_of_range")
+    return value
+
+
 def column(df: DataFrame, index: int) -> str:
     names = columns(df)
-    if type(index) is not int or not 0 <= index < len(names):
-        raise TableError("index_out_of_range")
-    return names[index]
+    return names[integer(index, len(names))]
 
 
 def cell(df: DataFrame, name: str) -> Column:
@@ -52,11 +61,20 @@ def with_rows(df: DataFrame, *order: str) -> DataFrame:
 
 
 def select_rows(df: DataFrame, rows: list[int]) -> DataFrame:
-    """Rows at the given positions, in that order."""
-    if not isinstance(rows, list) or len(rows) != len(set(rows)) or any(type(r) is not int or r < 0 for r in rows):
+    """Rows at the given positions, in that order.
+
+    The table's size is not known before it is read: a position beyond it raises when rows are fetched.
+    """
+    if not isinstance(rows, list) or any(isinstance(r, (list, dict)) for r in rows) or len(rows) != len(set(rows)):
         raise TableError("invalid_row_selection")
-    wanted = df.sparkSession.createDataFrame([(r, i) for i, r in enumerate(rows)], "_at long, _new long")
-    return df.join(F.broadcast(wanted), df[ROW] == wanted["_at"]).drop(ROW, "_at").withColumnRenamed("_new", ROW)
+    places = [(integer(r, 2**63), i) for i, r in enumerate(rows)]
+    wanted = df.sparkSession.createDataFrame(places, "_at long, _new long")
+    found = df.join(F.broadcast(wanted), df[ROW] == wanted["_at"]).drop(ROW, "_at").withColumnRenamed("_new", ROW)
+    beyond = wanted.join(df.select(F.col(ROW).alias("_own")), F.col("_at") == F.col("_own"), "left_anti")
+    # The error stands in a filter, which no pruning of columns removes, on a count, below which no filter is pushed.
+    wrong = beyond.agg(F.count(F.lit(1)).alias("_n")).filter(F.when(F.col("_n") > 0, F.raise_error(F.lit("index_out_of_range")).cast("boolean")))
+    none = wrong.select(*[F.lit(None).cast(t).alias(c) for c, t in found.dtypes])
+    return found.unionByName(none)
 
 
 def select_columns(df: DataFrame, indices: list[int]) -> DataFrame:
@@ -142,6 +160,34 @@ def join(df: DataFrame, other: DataFrame, left: int, right: int, limit: int | No
     return joined.drop("_key")
 
 
+def tables_of(spark: SparkSession, package: dict) -> dict[str, DataFrame]:
+    """Tables of a package by the names t0, t1, ..., as given: headers are columns, rows are in order.
+
+    Short rows are filled with empty cells; an equal header gets a number, as columns need names of their own.
+    """
+    from tabwright.operators.sqlsurface import header_names
+
+    out = {}
+    for i, table in enumerate(package.get("tables") or []):
+        names = header_names(table["headers"])
+        rows = [(n, *[str(x) for x in r], *[""] * (len(names) - len(r))) for n, r in enumerate(table["rows"])]
+        if any(len(r) != len(names) + 1 for r in rows):
+            raise TableError("non_rectangular_table")
+        out[f"t{i}"] = spark.createDataFrame(rows, f"{ROW} long, " + ", ".join(f"{quoted(n)} string" for n in names))
+    return out
+
+
+def raises(df: DataFrame) -> bool:
+    """Whether some cell of a table fails: it is worked out to the last one, and nothing is kept."""
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    except PySparkException as e:
+        if any(name in str(e) for name in RUN_TIME_ERRORS):
+            return True
+        raise
+    return False
+
+
 def execute(tables: dict[str, DataFrame], action: dict) -> DataFrame:
     """Run one JSON action over named tables; inputs are never changed."""
     if action.get("table") not in tables:
@@ -169,21 +215,26 @@ def execute(tables: dict[str, DataFrame], action: dict) -> DataFrame:
 def run_chain(tables: dict[str, DataFrame], actions: list[dict], max_operations: int = 3) -> tuple[str, str, dict[str, DataFrame]]:
     """Fold recorded actions over tables; label, status and all tables, steps being named s1, s2, ...
 
-    The plan stays lazy: Catalyst sees the whole chain when the last table is used.
+    Steps are plans that Catalyst sees as a whole. Before a chain ends, each of them is run once, so that
+    a step that fails on a cell ends it as INVALID, whatever label follows.
     """
     from tabwright.functions.verdict import INVALID, label_of
 
     known = dict(tables)
+
+    def failed() -> bool:
+        return any(raises(known[f"s{n}"]) for n in range(1, max_operations + 1) if f"s{n}" in known)
+
     for step, action in enumerate(actions):
         if "label" in action:
             import json
 
             label, error = label_of(json.dumps(action, ensure_ascii=False))
-            return label, error or "answered", known
+            return (INVALID, FAILED, known) if failed() else (label, error or "answered", known)
         if step == max_operations:
             break
         try:
             known[f"s{step + 1}"] = execute(known, action)
-        except TableError:
-            return INVALID, "invalid_table_operation", known
-    return INVALID, "no_final_label", known
+        except (TableError, TypeError):
+            return INVALID, FAILED, known
+    return INVALID, FAILED if failed() else "no_final_label", known

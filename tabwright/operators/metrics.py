@@ -66,10 +66,11 @@ def status_counts(records: DataFrame) -> DataFrame:
 
 
 def call_counts(records: DataFrame) -> DataFrame:
-    """api_failures and operations_executed over nested arrays of calls and operations."""
-    failed = F.size(F.filter("api_calls", lambda c: c["error"].isNotNull()))
+    """api_failures and operations_executed over nested arrays of calls and operations; absent arrays count none."""
+    failed = F.size(F.filter("api_calls", lambda c: F.coalesce(c["api"]["error"] != "", F.lit(False))))
     done = F.size(F.filter("operations", lambda o: o["result"].isNotNull()))
-    return records.agg(F.sum(failed).alias("api_failures"), F.sum(done).alias("operations_executed"))
+    total = lambda n, name: F.coalesce(F.sum(F.when(n > 0, n)), F.lit(0)).cast("long").alias(name)
+    return records.agg(total(failed, "api_failures"), total(done, "operations_executed"))
 
 
 def bootstrap(pairs: DataFrame, metric: str = "macro_f1", n: int = 1000, seed: int = 7) -> list[float]:

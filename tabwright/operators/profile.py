@@ -7,6 +7,9 @@ all rows and finds key and rank columns, the second types what is left without t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +32,20 @@ CHANGE_WORDS = "净|差|变化|增|涨|跌|盈亏"
 
 def explode_tables(tables: DataFrame) -> DataFrame:
     """Cells of tables (table_id, headers array<string>, rows array<array<string>>); short rows are padded."""
-    rows = tables.select("table_id", "headers", F.posexplode("rows").alias("row_idx", "_cells"))
-    return rows.select("table_id", "row_idx", "_cells", F.posexplode("headers").alias("col_idx", "header")).select(
-        "table_id", "row_idx", "col_idx", "header", F.coalesce(F.get("_cells", F.col("col_idx")), F.lit("")).alias("raw")
-    )
+    rows = tables.select("table_id", "headers", F.posexplode_outer("rows").alias("row_idx", "_cells"))
+    # A table without rows keeps its columns: one cell each without a row number and without a value.
+    raw = F.when(F.col("row_idx").isNotNull(), F.coalesce(F.get("_cells", F.col("col_idx")), F.lit("")))
+    return rows.select("table_id", "row_idx", "_cells", F.posexplode("headers").alias("col_idx", "header")).select("table_id", "row_idx", "col_idx", "header", raw.alias("raw"))
 
 
 def with_values(cells: DataFrame) -> DataFrame:
-    """Add number, entity key and join key of each cell, computed once for all later steps."""
-    return cells.withColumns({"num": C.parse_number(F.col("raw")), "ekey": C.entity_key(F.col("raw")), "jkey": C.join_key(F.col("raw"))})
+    """Add number, unit, entity key and join key of each cell, computed once for all later steps.
+
+    They leave through a generator of one row: no later step can push their expressions into itself.
+    """
+    raw = F.col("raw")
+    values = F.struct(C.parse_number(raw).alias("num"), C.unit(raw).alias("_unit"), C.entity_key(raw).alias("ekey"), C.join_key(raw).alias("jkey"))
+    return cells.select("*", F.inline_outer(F.array(values)))
 
 
 def _share(hits: Column, of: Column) -> Column:
@@ -46,13 +54,13 @@ def _share(hits: Column, of: Column) -> Column:
 
 def profile(cells: DataFrame) -> DataFrame:
     """One row per column: kind, reason, ratios, period, unit, is_rate. ``cells`` as of ``with_values``."""
-    h, full = F.col("header"), ~F.col("raw").isin(*C.MISSING)
+    h, full = F.col("header"), F.coalesce(~F.col("raw").isin(*C.MISSING), F.lit(False))
     value = lambda x: F.when(full, x)
     num, key = value(F.col("num")), value(F.col("ekey"))
     whole = F.col("num") == F.floor("num")
     signed = F.substring(C.strip(F.col("raw")), 1, 1).isin("+", "−", "–", "-") & F.col("num").isNotNull() & (F.col("num") != 0)
     sums = cells.groupBy("table_id", "col_idx", "header").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("row_idx").alias("n"),
         F.count_if(full).alias("filled"),
         F.count(num).alias("nums"),
         F.count_distinct(key).alias("keys"),
@@ -63,7 +71,7 @@ def profile(cells: DataFrame) -> DataFrame:
         F.count_if(full & whole & F.col("num").between(1800, 2100)).alias("years"),
         F.count_if(full & signed).alias("signs"),
         F.count_if(full & F.col("raw").contains("%")).alias("percents"),
-        F.array_sort(F.collect_set(value(C.unit(F.col("raw"))))).alias("units"),
+        F.array_sort(F.collect_set(value(F.col("_unit")))).alias("units"),
         F.coalesce(F.avg(value(F.length("ekey"))), F.lit(0.0)).alias("mean_length"),
         F.count_if(full & C.has_cjk(F.col("ekey"))).alias("cjk_keys"),
         F.count_if(full & F.col("ekey").rlike(r"(?U)\d")).alias("digit_keys"),
@@ -135,10 +143,14 @@ def rank_columns(profiled: DataFrame) -> DataFrame:
 
 
 def drop_total_rows(cells: DataFrame, profiled: DataFrame) -> DataFrame:
-    """Cells without total rows, in their original row numbers, and their dense ``data_row``."""
-    roles = cells.select("table_id").distinct().join(key_columns(profiled), "table_id", "left").join(rank_columns(profiled), "table_id", "left")
+    """Cells without total rows, in their original row numbers."""
+    is_key, is_rank = F.col("kind") == "key", F.col("kind") == "rank"
+    roles = profiled.groupBy("table_id").agg(
+        F.min_by("col_idx", F.when(is_key, F.struct(~F.col("header").rlike(KEY_HINT), F.col("col_idx")))).alias("key"),
+        F.min(F.when(is_rank, F.col("col_idx"))).alias("rank"),
+    )
     marked = cells.join(roles, "table_id")
-    first_cjk = F.min_by("ekey", F.when((F.col("raw") != "") & C.has_cjk(F.col("raw")), F.col("col_idx")))
+    first_cjk = F.min_by("ekey", F.when(F.coalesce(F.col("raw") != "", F.lit(False)) & C.has_cjk(F.col("raw")), F.col("col_idx")))
     rows = marked.groupBy("table_id", "row_idx").agg(
         F.coalesce(F.max(F.when(F.col("col_idx") == F.col("key"), F.col("ekey"))), F.when(F.max("key").isNull(), first_cjk), F.lit("")).alias("label"),
         F.max(F.when(F.col("col_idx") == F.col("rank"), F.col("num"))).isNotNull().alias("ranked"),
@@ -151,17 +163,53 @@ def drop_total_rows(cells: DataFrame, profiled: DataFrame) -> DataFrame:
 
 
 def profile_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Surviving cells and the final column profile of raw tables.
-
-    Cell values and the first profile are used several times, so they are persisted (and spill to
-    disk where memory is short) instead of being worked out anew for each use.
-    """
-    cells = with_values(explode_tables(tables)).persist(StorageLevel.MEMORY_AND_DISK)
-    first = profile(cells).persist(StorageLevel.MEMORY_AND_DISK)
-    kept = drop_total_rows(cells, first).persist(StorageLevel.MEMORY_AND_DISK)
+    """Surviving cells and the final column profile of raw tables, as plans that keep nothing."""
+    cells = with_values(explode_tables(tables))
+    kept = drop_total_rows(cells, profile(cells))
     return kept, profile(kept)
 
 
+@contextmanager
+def cached_profile(tables: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """As ``profile_tables``, with cells and both profiles persisted while the block lasts and released after it."""
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    try:
+        cells = keep(with_values(explode_tables(tables)))
+        kept = keep(drop_total_rows(cells, keep(profile(cells))))
+        yield kept, keep(profile(kept))
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def metric_columns(profiled: DataFrame) -> DataFrame:
+    return profiled.filter("kind = 'metric'").select("table_id", "col_idx", "header", "unit", "period", "is_rate")
+
+
+def category_columns(profiled: DataFrame) -> DataFrame:
+    return profiled.filter("kind = 'category'").select("table_id", "col_idx", "header")
+
+
+def column_by_header(profiled: DataFrame, wanted: DataFrame) -> DataFrame:
+    """table_id, header and col_idx of the first column of each wanted (table_id, header)."""
+    return profiled.join(wanted.select("table_id", "header"), ["table_id", "header"]).groupBy("table_id", "header").agg(F.min("col_idx").alias("col_idx"))
+
+
+def key_values(cells: DataFrame, profiled: DataFrame) -> DataFrame:
+    """table_id, row_idx and entity key of the key column's cells; tables without a key have none."""
+    return cells.join(key_columns(profiled), "table_id").filter("col_idx = key AND row_idx IS NOT NULL").select("table_id", "row_idx", "ekey")
+
+
+def cell_at(cells: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Raw cells at (table_id, row_idx, col_idx); places that a table lacks give no row."""
+    return wanted.select("table_id", "row_idx", "col_idx").join(cells.select("table_id", "row_idx", "col_idx", "raw"), ["table_id", "row_idx", "col_idx"])
+
+
 def lookup(cells: DataFrame, profiled: DataFrame, wanted: DataFrame, loose: bool = False, unique: bool = False) -> DataFrame:
     """Rows whose key equals ``wanted`` (table_id, name); unique: only tables and names with a single hit."""
     norm, own = (C.join_key, "jkey") if loose else (C.entity_key, "ekey")

@@ -19,12 +19,14 @@ from tabwright.functions.verdict import INVALID, LABELS
 
 # Words that the strict guard rejects wherever they stand.
 WRITE_WORDS = "insert|update|delete|drop|alter|attach|detach|pragma|vacuum|create|replace"
-#: Logical plan nodes that read; a statement whose root is none of them is refused.
+#: Logical plan nodes that read; a statement with any other node anywhere is refused.
 READING = {
-    "Project", "UnresolvedWith", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Filter", "Union",
+    "Project", "UnresolvedWith", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Filter", "Union", "Join",
     "Intersect", "Except", "UnresolvedHaving", "Offset", "UnresolvedOrderBy", "SubqueryAlias", "UnresolvedInlineTable",
-    "WithWindowDefinition", "UnresolvedRelation",
+    "WithWindowDefinition", "UnresolvedRelation", "OneRowRelation", "UnresolvedSubqueryColumnAliases", "LocalRelation",
 }
+#: Functions that run code or read files.
+FORBIDDEN_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
 SHOWN, FETCHED, OLD_SHOWN = 30, 5000, 6
 
 
@@ -39,7 +41,56 @@ def guard(spark: SparkSession, sql: str | None, strict: bool = True) -> str | No
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         return f"sql_error: {str(e).splitlines()[0][:120]}"
-    return None if plan.nodeName() in READING else "not_read_only_select"
+    return None if _only_reads(plan) else "not_read_only_select"
+
+
+def _each(sequence) -> list:
+    return [sequence.apply(i) for i in range(sequence.size())]
+
+
+def _only_reads(plan) -> bool:
+    """Whether all nodes of an unresolved plan, in subqueries and common table expressions too, only read
+    named tables of the session: paths such as ``text.`/a/file` `` are no such names."""
+    plans, expressions = [plan], []
+    while plans or expressions:
+        if plans:
+            node = plans.pop()
+            if node.nodeName() not in READING:
+                return False
+            if node.nodeName() == "UnresolvedRelation" and node.multipartIdentifier().size() != 1:
+                return False
+            plans += _each(node.children())
+            if node.nodeName() == "UnresolvedWith":
+                plans += _each(node.innerChildren())
+            expressions += _each(node.expressions())
+        else:
+            node = expressions.pop()
+            name = node.getClass().getSimpleName()
+            if name == "UnresolvedFunction" and str(_each(node.nameParts())[-1]).lower() in FORBIDDEN_FUNCTIONS:
+                return False
+            if "Subquery" in name or name in ("Exists", "ListQuery"):
+                if hasattr(node, "plan"):
+                    plans.append(node.plan()) if name != "InSubquery" else plans.append(node.query().plan())
+            expressions += _each(node.children())
+    return True
+
+
+def from_sqlite(sql: str) -> str:
+    """A statement in Spark's dialect from one written for SQLite, as far as its text tells.
+
+    Names in double quotes are quoted by backticks, LIKE takes no notice of case, and whole numbers or
+    counts divide as whole numbers. What hangs on a column's type (a division of integer columns) is not
+    translated: evidence tables hold text and floating-point twins. Texts in single quotes are kept.
+    """
+    out = []
+    for part in re.split(r"('(?:[^']|'')*')", sql):
+        if not part.startswith("'"):
+            part = re.sub(r'"((?:[^"]|"")*)"', lambda m: "`" + m[1].replace('""', '"').replace("`", "``") + "`", part)
+            part = re.sub(r"\bLIKE\b", "ILIKE", part, flags=re.I)
+            whole = r"(?:(?<![\w.])\d+|\bcount\s*\([^()]*\))"
+            part = re.sub(rf"({whole})\s*/\s*({whole})(?![\w.])", r"(\1 div \2)", part, flags=re.I)
+        out.append(part)
+    return "".join(out)
 
 
 @dataclass
@@ -94,17 +145,26 @@ def answer(spark: SparkSession, attempts: list[dict], strict: bool = True) -> tu
 
 
 def converse(spark: SparkSession, turns: list[dict], max_turns: int = 5, strict: bool = True) -> tuple[str, str, list[Observation]]:
-    """Fold recorded turns: each statement's result becomes the view stepK; errors use up a turn."""
+    """Fold recorded turns: each statement's result becomes the view stepK; errors use up a turn.
+
+    The views end with the conversation, and views of these names that were there before do too. One
+    session holds one conversation at a time.
+    """
     seen: list[Observation] = []
-    for k, turn in enumerate(turns[:max_turns], 1):
-        final = str(turn.get("final_label", "")).upper()
-        if final in LABELS:
-            return final, "answered", seen
-        got = run_sql(spark, turn.get("sql"), SHOWN, FETCHED, strict=strict)
-        seen.append(got)
-        if not got.error:
-            spark.sql(turn["sql"].strip().rstrip(";")).createOrReplaceTempView(f"step{k}")
-    return INVALID, "no_final_label", seen
+    drop = lambda: [spark.catalog.dropTempView(f"step{k}") for k in range(1, max_turns + 1)]
+    drop()
+    try:
+        for k, turn in enumerate(turns[:max_turns], 1):
+            final = str(turn.get("final_label", "")).upper()
+            if final in LABELS:
+                return final, "answered", seen
+            got = run_sql(spark, turn.get("sql"), SHOWN, FETCHED, strict=strict)
+            seen.append(got)
+            if not got.error:
+                spark.sql(turn["sql"].strip().rstrip(";")).createOrReplaceTempView(f"step{k}")
+        return INVALID, "no_final_label", seen
+    finally:
+        drop()
 
 
 def header_names(headers: list[str]) -> list[str]:

@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwright.functions.cells import entity_key, is_total_row
+
+#: Parts that are ranked on their own.
+RANK_PARTS = 64
+
 
 def value_of(pairs: DataFrame, measure: DataFrame, by: str, out: str) -> DataFrame:
     """Add the value of the entity in column ``by``: null where the measure lacks it or has it twice."""
@@ -77,12 +82,36 @@ def superlative(rows: DataFrame, by: str) -> DataFrame:
     return agg.join(tied, agg["subject"] == tied["_s"]).select("subject", ((F.col("own") == F.col("top")) & (F.col("count") == 1)).alias("holds"))
 
 
+def without_totals(rows: DataFrame, label: str) -> DataFrame:
+    """Rows of a table but for its total rows, told by their label."""
+    return rows.filter(~is_total_row(entity_key(F.col(label))))
+
+
+def ranked(measure: DataFrame) -> DataFrame:
+    """Add ``rank``, by falling value and then by key.
+
+    A rank over all rows must not gather them in one task: they are cut at quantiles of the value (a list of
+    fixed length, found beforehand), numbered within each part, and moved on by the rows of the parts before.
+    """
+    shares = [i / RANK_PARTS for i in range(1, RANK_PARTS)]
+    edges = sorted(set(measure.agg(F.percentile_approx("v", shares, 10 * RANK_PARTS)).first()[0] or []))
+    part = F.lit(0)
+    if edges:
+        part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: F.coalesce(F.col("v") < e, F.lit(True))))
+    rows = measure.withColumn("_part", part)
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # RANK_PARTS rows at most
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_part").orderBy(F.col("v").desc(), F.col("k").asc())
+    return rows.join(F.broadcast(counts), "_part").withColumn("rank", F.col("_before") + F.row_number().over(own)).drop("_part", "_before")
+
+
 def nth(measure: DataFrame, within: str | None = None) -> DataFrame:
     """subject (rank, or group and rank) and value: the entity at each rank by falling value."""
-    w = (Window.partitionBy(within) if within else Window.partitionBy()).orderBy(F.col("v").desc(), F.col("k").asc())
-    rank = F.row_number().over(w).cast("string")
-    subject = F.concat_ws("/", F.col(within).cast("string"), rank) if within else rank
-    return measure.select(subject.alias("subject"), F.col("k").cast("double").alias("value"))
+    if within:
+        rank = F.row_number().over(Window.partitionBy(within).orderBy(F.col("v").desc(), F.col("k").asc())).cast("string")
+        return measure.select(F.concat_ws("/", F.col(within).cast("string"), rank).alias("subject"), F.col("k").cast("double").alias("value"))
+    return ranked(measure).select(F.col("rank").cast("string").alias("subject"), F.col("k").cast("double").alias("value"))
 
 
 def only_one(rows: DataFrame, by: str, limit: float) -> DataFrame:

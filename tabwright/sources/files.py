@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 CLAIMS = (
     "id string, claim string, label string, "
@@ -67,7 +67,8 @@ def pending(claims: DataFrame, done: DataFrame, rule: str = "status") -> DataFra
     """Statements still to be run. rule: what makes a record count as finished.
 
     ``raw_output``: it has an output; ``status``: it has a status; ``identity``: it has one, and the input
-    hash and fingerprint (columns of ``claims``) are equal, a repeated id or another input being an error.
+    hash and fingerprint (columns of ``claims``) are equal, a repeated id or another input being an error;
+    ``calls``: it has a status and none of its recorded calls (``api_calls``) has an error.
     """
     if rule == "identity":
         keys = ["id", "input_sha256", "run_fingerprint"]
@@ -75,6 +76,9 @@ def pending(claims: DataFrame, done: DataFrame, rule: str = "status") -> DataFra
         if wrong:
             raise ValueError("resume identity mismatch")
         finished = done
+    elif rule == "calls":
+        failed = F.exists("api_calls", lambda c: F.coalesce(c["api"]["error"].isNotNull() & (c["api"]["error"].cast("string") != ""), F.lit(False)))
+        finished = done.filter(F.coalesce(F.col("status") != "", F.lit(False)) & ~F.coalesce(failed, F.lit(False)))
     elif rule in ("status", "raw_output"):
         finished = done.filter(F.col(rule).isNotNull())
     else:
@@ -105,7 +109,27 @@ def input_hash(payload: pd.Series) -> pd.Series:
     return payload.map(lambda x: hashlib.sha256(json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True).encode()).hexdigest())
 
 
+HASHED = ("claim", "tables", "program", "evidence_cells", "context_cells")
+
+
+@pandas_udf(StructType([StructField("id", StringType()), StructField("input_sha256", StringType())]))
+def _record_hash(lines: pd.Series) -> pd.DataFrame:
+    def one(line: str) -> tuple[str | None, str]:
+        record = json.loads(line)
+        text = json.dumps({k: record.get(k) for k in HASHED}, ensure_ascii=False, sort_keys=True)
+        return record.get("id"), hashlib.sha256(text.encode()).hexdigest()
+
+    return pd.DataFrame([one(x) for x in lines], columns=["id", "input_sha256"])
+
+
+def read_input_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """id and SHA-256 of the five input fields of each raw record, whatever else its tables hold."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(_record_hash("value").alias("r")).select("r.*")
+
+
 def with_input_hash(claims: DataFrame) -> DataFrame:
+    """Hash of typed records, whose absent fields are null; ``read_input_hashes`` is the one of raw lines."""
     fields = ["claim", "tables", "program", "evidence_cells", "context_cells"]
     return claims.withColumn("input_sha256", input_hash(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})))
 
@@ -116,12 +140,30 @@ def fingerprint(settings: dict) -> str:
     return hashlib.sha256(json.dumps(kept, sort_keys=True).encode()).hexdigest()
 
 
-def prepare_run(spark: SparkSession, folder: str, settings: dict) -> dict:
-    """Write or check the run's metadata; another fingerprint, or predictions without one, are refused."""
+def content_hashes(spark: SparkSession, *paths: str) -> dict[str, str]:
+    """SHA-256 of files or folders by path, for run metadata: taken by the tasks that read them.
+
+    A folder's hash is that of its files' hashes in the order of their names.
+    """
+    out = {}
+    for path in paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        parts = files.select("path", F.sha2("content", 256).alias("h")).orderBy("path").collect()  # a row for each file
+        out[path] = parts[0].h if len(parts) == 1 else hashlib.sha256("".join(p.h for p in parts).encode()).hexdigest()
+    return out
+
+
+def prepare_run(spark: SparkSession, folder: str, settings: dict, data: tuple[str, ...] = (), code: tuple[str, ...] = ()) -> dict:
+    """Write or check the run's metadata; another fingerprint, or predictions without one, are refused.
+
+    data and code: files whose contents belong to the run's identity.
+    """
     Path = spark._jvm.org.apache.hadoop.fs.Path
     at = Path(f"{folder.rstrip('/')}/run_meta.json")
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    meta = dict(settings) | {"run_fingerprint": fingerprint(settings)}
+    known = {"data_sha256": data, "code_sha256": code}
+    settings = dict(settings) | {k: content_hashes(spark, *v) for k, v in known.items() if v}
+    meta = settings | {"run_fingerprint": fingerprint(settings)}
     if fs.exists(at):
         previous = json.loads(spark.read.text(at.toString(), wholetext=True).first()[0])
         if previous.get("run_fingerprint") != meta["run_fingerprint"]:

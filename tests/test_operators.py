@@ -155,3 +155,81 @@ def test_streamed_confusion(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("conf").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {tuple(r) for r in spark.table("conf").collect()} == {("NEI", "NEI", 1), ("REFUTES", "INVALID", 1)}
+
+
+def test_rows_beyond_the_table_raise_whatever_columns_are_read(medals):
+    for rows in ([0, 99], [99]):
+        with pytest.raises(PySparkException, match="index_out_of_range"):
+            A.select_rows(medals, rows).select("_row").collect()
+    for rows in ([-1], [True], [1.0], "0"):
+        with pytest.raises(A.TableError):
+            A.select_rows(medals, rows)
+
+
+def test_a_failed_step_ends_a_chain(medals):
+    sums_text = {"op": "aggregate", "table": "t0", "column": 0, "method": "sum"}
+    assert A.run_chain({"t0": medals}, [sums_text, {"label": "supports"}])[:2] == ("INVALID", "invalid_table_operation")
+    assert A.run_chain({"t0": medals}, [{"op": "select_rows", "table": "t0", "rows": [0, 9]}, {"label": "nei"}])[:2] == ("INVALID", "invalid_table_operation")
+
+
+def test_integers_are_real_and_bounded():
+    assert A.integer(2, 3) == 2
+    for value in (3, -1, True, 1.0, "1", None):
+        with pytest.raises(A.TableError):
+            A.integer(value, 3)
+
+
+def test_guard_looks_at_the_whole_plan(spark):
+    for sql in ("SELECT java_method('java.lang.System', 'getProperty', 'x')", "SELECT * FROM text.`/etc/hostname`", "SELECT (SELECT reflect('a', 'b'))"):
+        assert S.guard(spark, sql) == "not_read_only_select"
+        assert S.run_sql(spark, sql).error
+    assert S.guard(spark, "WITH t AS (SELECT 1 AS a) INSERT INTO x SELECT * FROM t", strict=False) == "not_read_only_select"
+    assert S.guard(spark, "SELECT a FROM t WHERE a IN (SELECT b FROM text.`/x`)") == "not_read_only_select"
+    assert S.guard(spark, "SELECT * FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.x = a.x)") is None
+
+
+def test_views_of_a_conversation_end_with_it(spark):
+    assert S.converse(spark, [{"sql": "SELECT 1 AS n"}, {"sql": "SELECT n FROM step1"}, {"final_label": "nei"}])[2][1].rows == [(1,)]
+    assert S.converse(spark, [{"sql": "SELECT n FROM step1"}, {"final_label": "nei"}])[2][0].error
+
+
+def test_dialect():
+    assert S.from_sqlite("""select "a ""b" from t where x like 'y"%' and n / 2 > 7 / 2""") == """select `a "b` from t where x ILIKE 'y"%' and n / 2 > (7 div 2)"""
+
+
+def test_a_profile_is_released(spark):
+    from tabwright.operators import profile as P
+
+    tables = spark.createDataFrame([("t", ["国家", "金牌"], [["挪威", "1"], ["德国", "2"]]), ("e", ["国家"], [])], "table_id string, headers array<string>, rows array<array<string>>")
+    with P.cached_profile(tables) as (kept, profiled):
+        assert {(r.table_id, r.kind) for r in profiled.collect()} >= {("e", "other")}
+        assert kept.is_cached and profiled.is_cached
+    assert not kept.is_cached and not profiled.is_cached
+
+
+def test_rank_over_all_rows_is_that_of_one_window(spark):
+    from pyspark.sql import Window
+
+    from tabwright.operators import templates as T
+
+    rows = spark.range(500).select(F.col("id").alias("k"), F.when(F.col("id") % 50 != 0, F.pmod(F.xxhash64("id"), F.lit(40))).alias("v"))
+    want = rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("v").desc(), "k"))).collect()
+    assert sorted((r.k, r["rank"]) for r in T.ranked(rows).collect()) == sorted((r.k, r["rank"]) for r in want)
+    assert T.ranked(rows.limit(0)).collect() == []
+
+
+def test_identity_of_a_run(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("1\n")
+    data = (str(tmp_path / "a.jsonl"),)
+    files.prepare_run(spark, str(tmp_path / "run"), {"model": "m"}, data=data)
+    files.prepare_run(spark, str(tmp_path / "run"), {"model": "m"}, data=data)
+    (tmp_path / "a.jsonl").write_text("2\n")
+    with pytest.raises(ValueError):
+        files.prepare_run(spark, str(tmp_path / "run"), {"model": "m"}, data=data)
+
+
+def test_unknown_prompt_setting():
+    from tabwright.operators import prompts
+
+    with pytest.raises(ValueError):
+        prompts.build_prompt({"claim": "x"}, "other")
