@@ -48,7 +48,7 @@ TREES = 24
 #: Orders worked off before the others.
 FIRST = 2
 DEPTHS = (3, 4, 5)
-REGION = 1024
+REGION = 512
 #: Signatures that agree in a smaller share than this are not compared further (nearly 7 deviations below 0.8).
 SIMILAR = 0.55
 #: Blocks of a cluster, in classes and shingle bytes, and rounds of dealing; larger blocks for what is left.
