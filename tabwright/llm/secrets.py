@@ -10,8 +10,9 @@ Everything is a column expression. Match positions come from splitting the text
 summing lengths, so they count code points.
 
 Scale: postings are slim rows and are reduced per document with map-side combination, whatever
-group of copies the document belongs to. Candidates are broadcast while their counted number is
-under ``BROADCAST_ROWS``, and joined by shuffle beyond that.
+group of copies the document belongs to. One pass over a text finds all asked-for trigrams. Candidates are
+broadcast while their counted number is under ``BROADCAST_ROWS``; beyond that each text is verified where its
+own postings satisfy the query, so that texts are never shuffled.
 
 Defined results: a null text is an empty one and has no spans; a row with a null id is scanned like
 any other (joins are null-safe); repeated rows each give a row; extra columns are ignored, since the
@@ -20,7 +21,9 @@ scan selects only id and text; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from re import _constants as sre
 from re import _parser as sre_parser
 
@@ -126,14 +129,21 @@ def trigram_query(pattern: str) -> frozenset:
     return frozenset(clauses)
 
 
+_SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
 def spans(text: Column, rule: Rule) -> Column:
-    """Array of (start, rank, end, kind) of the rule's matches, in code points, end exclusive."""
+    """Array of (start, rank, end, kind) of the rule's matches, in code points, end exclusive.
+
+    Steps (gap, match) are summed up in stretches of about the root of their number, and stretches are moved
+    on by the lengths before them, so that arrays which grow step by step stay short in texts full of matches.
+    """
     rank = [r.kind for r in RULES].index(rule.kind) if rule in RULES else len(RULES)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.least else whole
     between = F.split(text, rule.pattern, -1)
     steps = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(whole, F.length).alias("own"), F.transform(part, F.length).alias("part"))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    empty = F.array().cast(_SPANS)
 
     def add(state: Column, step: Column) -> Column:
         start = state["at"] + step["gap"]
@@ -142,42 +152,73 @@ def spans(text: Column, rule: Rule) -> Column:
         good = step["own"].isNotNull() & (step["part"] >= rule.least)
         return F.struct(end.alias("at"), F.when(good, F.concat(state["found"], found)).otherwise(state["found"]).alias("found"))
 
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("found")), add, lambda s: s["found"])
+    def stretches(all_steps: Column) -> Column:
+        size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(all_steps)))).cast("int")
+        at = F.sequence(F.lit(1), F.size(all_steps), size)
+        return F.transform(at, lambda i: F.aggregate(F.slice(all_steps, i, size), F.struct(F.lit(0).alias("at"), empty.alias("found")), add))
+
+    def moved(state: Column, stretch: Column) -> Column:
+        shift = lambda x: F.struct((x["start"] + state["at"]).alias("start"), x["rank"].alias("rank"), (x["end"] + state["at"]).alias("end"), x["kind"].alias("kind"))
+        own = F.array(F.struct(F.transform(stretch["found"], shift).alias("found")))
+        return F.struct((state["at"] + stretch["at"]).alias("at"), F.concat(state["found"], own).alias("found"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<found:{_SPANS}>>").alias("found"))
+    folded = F.aggregate(stretches(steps), start, moved, lambda x: F.flatten(x["found"]["found"]))
     return F.when(text.rlike(rule.pattern), folded).otherwise(empty)
 
 
+def trigram_pattern(trigrams: list[str]) -> str:
+    """Pattern that stands before each place of an asked-for trigram, as a trie of their characters: one pass finds all."""
+    trie: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in sorted(trigrams):
+        trie.setdefault(a, {}).setdefault(b, []).append(c)
+    some = lambda cs: "[" + "".join(map(_quoted, cs)) + "]"
+    heads = [_quoted(a) + "(?:" + "|".join(_quoted(b) + some(cs) for b, cs in tails.items()) + ")" for a, tails in trie.items()]
+    return "(?=(" + "|".join(heads) + "))"
+
+
+def _quoted(character: str) -> str:
+    return character if character.isalnum() else f"\\x{{{ord(character):x}}}"
+
+
+def present(text: Column, trigrams: list[str]) -> Column:
+    """Distinct asked-for trigrams of a text, any case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(trigram_pattern(trigrams)), F.lit(1)))
+
+
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Inverted index: a posting (number of the trigram, document key) for each asked-for trigram."""
-    low = F.lower(text_of())
-    present = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return docs.select("doc_id", F.xxhash64(text_of()).alias("_h"), F.explode(present).alias("trigram"))
+    numbers = F.transform(present(text_of(), trigrams), lambda t: F.array_position(F.lit(trigrams), t) - 1)
+    return docs.select("doc_id", F.xxhash64(text_of()).alias("_h"), F.explode(numbers).alias("trigram"))
 
 
-def candidates(postings: DataFrame, trigrams: list[str], rules: list[tuple[Rule, frozenset]]) -> DataFrame:
-    """Intersect postings: documents that satisfy some rule's query, with a bit for each such rule."""
-    number = {t: i % 63 for i, t in enumerate(trigrams)}
-    words = -(-len(trigrams) // 63)
-    sums = [
-        F.bit_or(F.when(F.floor(F.col("trigram") / 63) == w, F.expr("shiftleft(1L, trigram % 63)")).otherwise(F.lit(0).cast("long"))).alias(f"_m{w}")
-        for w in range(words)
-    ]
-    held = postings.groupBy("doc_id", "_h").agg(*sums)
+def mask_of(has: Callable[[frozenset], Column], rules: list[tuple[Rule, frozenset]]) -> Column:
+    """A bit for each rule whose Boolean query holds, ``has`` telling whether all trigrams of a set are there."""
     mask = F.lit(0).cast("long")
     for k, (_, query) in enumerate(rules):
         ok = F.lit(True)
         for clause in query:
-            some = F.lit(False)
-            for alternative in clause:
-                every = F.lit(True)
-                for w in range(words):
-                    own = [t for t in alternative if trigrams.index(t) // 63 == w]
-                    if own:
-                        bits = F.lit(sum(1 << number[t] for t in own)).cast("long")
-                        every = every & (F.col(f"_m{w}").bitwiseAND(bits) == bits)
-                some = some | every
-            ok = ok & some
+            ok = ok & reduce(lambda x, y: x | y, [has(alternative) for alternative in clause])
         mask = mask.bitwiseOR(F.when(ok, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    return held.select("doc_id", "_h", mask.alias("_rules")).filter("_rules <> 0")
+    return mask
+
+
+def candidates(postings: DataFrame, trigrams: list[str], rules: list[tuple[Rule, frozenset]]) -> DataFrame:
+    """Intersect postings: documents that satisfy some rule's query, with a bit for each such rule."""
+    place = {t: divmod(i, 63) for i, t in enumerate(trigrams)}
+    sums = [
+        F.bit_or(F.when(F.floor(F.col("trigram") / 63) == w, F.expr("shiftleft(1L, CAST(trigram % 63 AS INT))")).otherwise(F.lit(0).cast("long"))).alias(f"_m{w}")
+        for w in range(-(-len(trigrams) // 63))
+    ]
+
+    def has(wanted: frozenset) -> Column:
+        bits: dict[int, int] = {}
+        for t in wanted:
+            bits[place[t][0]] = bits.get(place[t][0], 0) | 1 << place[t][1]
+        return reduce(lambda x, y: x & y, [F.col(f"_m{w}").bitwiseAND(F.lit(v).cast("long")) == v for w, v in sorted(bits.items())])
+
+    held = postings.groupBy("doc_id", "_h").agg(*sums)
+    return held.select("doc_id", "_h", mask_of(has, rules).alias("_rules")).filter("_rules <> 0")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, scratch: Scratch | None = None) -> DataFrame:
@@ -186,26 +227,23 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, scratch: Scratch | No
     indexed = [(r, q) for r, q in queries.items() if q]
     full = [r for r in rules if not queries[r]]
     keyed = docs.select("doc_id", text_of().alias("text")).withColumn("_h", F.xxhash64("text"))
-    nothing = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    nothing = F.array().cast(_SPANS)
     out = keyed.select("doc_id", "_h", (F.concat(*[spans(F.col("text"), r) for r in full]) if full else nothing).alias("_full"))
-    if indexed:
-        trigrams = sorted({t for _, q in indexed for clause in q for alternative in clause for t in alternative})
-        picked = (scratch or Scratch(docs.sparkSession)).table(candidates(index(docs, trigrams), trigrams, indexed), "candidates")
-        if picked.count() <= BROADCAST_ROWS:
-            picked = F.broadcast(picked)
-        picked = picked.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "_rules")
-        hit = keyed.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")))
-        verified = hit.select(
-            "_id",
-            "_k",
-            F.concat(*[F.when(F.col("_rules").bitwiseAND(F.lit(1 << k)) != 0, spans(F.col("text"), r)).otherwise(nothing) for k, (r, _) in enumerate(indexed)]).alias("_some"),
-        ).filter(F.size("_some") > 0)
-        verified = verified.dropDuplicates(["_id", "_k"])
-        out = out.join(verified, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left")
-        out = out.select("doc_id", F.array_sort(F.concat("_full", F.coalesce("_some", nothing))).alias("found"))
+    if not indexed:
+        return out.select("doc_id", F.array_sort("_full").alias("found"))
+    trigrams = sorted({t for _, q in indexed for clause in q for alternative in clause for t in alternative})
+    picked = (scratch or Scratch(docs.sparkSession)).table(candidates(index(docs, trigrams), trigrams, indexed), "candidates")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k"))
+    if picked.count() <= BROADCAST_ROWS:
+        hit = keyed.join(F.broadcast(picked.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "_rules")), same).select("_id", "_k", "text", "_rules")
     else:
-        out = out.select("doc_id", F.array_sort("_full").alias("found"))
-    return out
+        # Too many to be sent to the texts, and texts are not shuffled to them: each row intersects its own postings.
+        own = keyed.withColumn("_own", present(F.col("text"), trigrams))
+        rules_of = mask_of(lambda wanted: F.size(F.array_intersect(F.col("_own"), F.lit(sorted(wanted)))) == len(wanted), indexed)
+        hit = own.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "text", rules_of.alias("_rules")).filter("_rules <> 0")
+    some = [F.when(F.col("_rules").bitwiseAND(F.lit(1 << k)) != 0, spans(F.col("text"), r)).otherwise(nothing) for k, (r, _) in enumerate(indexed)]
+    verified = hit.select("_id", "_k", F.concat(*some).alias("_some")).filter(F.size("_some") > 0).dropDuplicates(["_id", "_k"])
+    return out.join(verified, same, "left").select("doc_id", F.array_sort(F.concat("_full", F.coalesce("_some", nothing))).alias("found"))
 
 
 def as_text(found: Column) -> Column:
