@@ -6,12 +6,18 @@ pre-token shares its longest common prefix with the one before it. Scores of the
 and the number of pieces at a terminal node is stored as the pre-token's count. A document's count is
 the sum over its pre-tokens.
 
-The vocabulary is a public one, in rank order; unigram log probabilities follow Zipf's law over the
-ranks (``-log(rank + SHIFT)``), bytes of characters without a piece score ``BYTE_SCORE`` each. Ties
-between segmentations go to fewer pieces.
+The vocabulary is a public one. Its unigram log probabilities are estimated from the corpus: starting from
+Zipf's law over the ranks (``-log(rank + SHIFT)``), the best segmentations of all distinct pre-tokens, times
+how often each occurs, give the pieces' counts, smoothed by ``SMOOTH`` (hard expectation-maximisation,
+``ROUNDS`` rounds). Bytes of characters without a piece score ``BYTE_SCORE`` each. Ties between segmentations
+go to fewer pieces.
 
-Scale: counting is a map over the scan: nothing is shuffled, however large a vocabulary of pre-tokens
-the corpus has. Counts of frequent pre-tokens stay in a bounded memo per worker.
+Scale: the estimate shuffles distinct pre-tokens only, combined in their tasks; they are range-partitioned
+and sorted, so that tries are shared across the whole corpus, and written down once for all rounds. Of it
+the driver gets one number a piece. Counting is a map over the scan: nothing is shuffled, however large a
+vocabulary of pre-tokens the corpus has. Counts of frequent pre-tokens stay in a bounded memo per worker.
+
+Pre-tokens are split at ASCII white space, as words are elsewhere.
 
 Defined results: null, empty and white-space texts have no tokens; repeated rows and rows with a null
 id are counted like any other; extra columns are ignored.
@@ -21,23 +27,30 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import text_of
+from tabwright.llm.common import Scratch, text_of
 
 VOCABULARY = "piece_bpe_32k.model"
 SHIFT = 10.0
 BYTE_SCORE = -16.0
+ROUNDS = 1
+SMOOTH = 0.5
 MARK = "▁"
 MEMO_ENTRIES = 300_000
 SLICE_CHARS = 4_000_000
 
-_counters: dict = {}
+_learned: list = [None, None]  # the worker's broadcast and its Counting
+
+
+def bag_of(text: str) -> Counter:
+    """How often each pre-token occurs, as UTF-8: bytes are split at ASCII white space only."""
+    return Counter(text.encode("utf-8", "surrogatepass").split())
 
 
 class Counting:
@@ -46,42 +59,56 @@ class Counting:
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
-        self.memo: dict[str, int] = {}
+        self.memo: dict[bytes, int] = {}
         self.nodes = 0
 
     def trie_counts(self, pretokens: list[str]) -> dict[str, int]:
         """Counts of distinct pre-tokens: one forward step for each node of their trie."""
-        scores, longest, out = self.scores, self.longest, {}
-        best, pieces, before = [0.0], [0], ""
-        for word in sorted(pretokens):
+        return {word: pieces[-1] for word, pieces, _ in self.walk(sorted(pretokens))}
+
+    def walk(self, pretokens: Iterable[str]) -> Iterator[tuple[str, list[int], list[int]]]:
+        """Each of the sorted pre-tokens with the piece counts and last pieces' starts of all its prefixes."""
+        scores, longest = self.scores, self.longest
+        best, pieces, starts, before = [0.0], [0], [0], ""
+        for word in pretokens:
             text = MARK + word
             same = 0
             for x, y in zip(before, text):
                 if x != y:
                     break
                 same += 1
-            del best[same + 1 :], pieces[same + 1 :]
+            del best[same + 1 :], pieces[same + 1 :], starts[same + 1 :]
             for end in range(same + 1, len(text) + 1):
                 self.nodes += 1
                 size = len(text[end - 1].encode("utf-8", "surrogatepass"))
-                top, n = best[end - 1] + BYTE_SCORE * size, pieces[end - 1] + size
+                top, n, came = best[end - 1] + BYTE_SCORE * size, pieces[end - 1] + size, -1
                 for start in range(max(0, end - longest), end):
                     score = scores.get(text[start:end])
                     if score is not None:
                         score += best[start]
                         if score > top or score == top and pieces[start] + 1 < n:
-                            top, n = score, pieces[start] + 1
+                            top, n, came = score, pieces[start] + 1, start
                 best.append(top)
                 pieces.append(n)
-            out[word] = pieces[-1]
+                starts.append(came)
+            yield word, pieces, starts
             before = text
-        return out
+
+    def segment(self, word: str, starts: list[int]) -> Iterator[str]:
+        """Pieces of a pre-token's best segmentation, last first; characters without one are left out."""
+        text = MARK + word
+        end = len(text)
+        while end:
+            if starts[end] >= 0:
+                yield text[starts[end] : end]
+            end = starts[end] if starts[end] >= 0 else end - 1
 
     def count(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(pre-tokens, distinct pre-tokens, tokens) of each text."""
-        bags = [Counter(t.split()) for t in texts]
-        new = {w for bag in bags for w in bag if w not in self.memo}
-        fresh = self.trie_counts(list(new))
+        bags = [bag_of(t) for t in texts]
+        new = {w: w.decode("utf-8", "surrogatepass") for bag in bags for w in bag if w not in self.memo}
+        counted = self.trie_counts(list(new.values()))
+        fresh = {w: counted[t] for w, t in new.items()}
         look = self.memo
         if len(look) + len(fresh) <= MEMO_ENTRIES:
             look.update(fresh)
@@ -99,17 +126,72 @@ def zipf_scores(vocabulary: str = VOCABULARY) -> dict[str, float]:
     return {p: -math.log(i + SHIFT) for i, p in enumerate(pieces)}
 
 
-def counter(vocabulary: str) -> Counting:
-    if vocabulary not in _counters:
-        _counters[vocabulary] = Counting(zipf_scores(vocabulary))
-    return _counters[vocabulary]
+def pretokens_of(docs: DataFrame) -> DataFrame:
+    """Distinct pre-tokens and how often each occurs in all documents."""
+
+    def rows(bag: Counter) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in bag], pa.string()), pa.array(list(bag.values()), pa.int64())], names=["pretoken", "n"])
+        bag.clear()
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bag: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                bag.update(text.encode("utf-8", "surrogatepass").split())
+                if len(bag) > MEMO_ENTRIES:
+                    yield rows(bag)
+        if bag:
+            yield rows(bag)
 
+    return docs.select(text_of().alias("text")).mapInArrow(run, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
 
-def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+
+def piece_counts(pretokens: DataFrame, scores: dict[str, float]) -> dict[str, int]:
+    """How often each piece occurs in the best segmentations of all pre-tokens (sorted within partitions)."""
+    sent = pretokens.sparkSession.sparkContext.broadcast(scores)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counting, found, times = Counting(sent.value), Counter(), []
+
+        def each() -> Iterator[str]:
+            for batch in batches:
+                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    times.append(n)
+                    yield word
+
+        for word, _, starts in counting.walk(each()):
+            n = times.pop()
+            for piece in counting.segment(word, starts):
+                found[piece] += n
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
+
+    sums = pretokens.select("pretoken", "n").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return {r.piece: r.n for r in sums.collect()}  # a row a piece of the vocabulary
+
+
+def corpus_scores(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, scratch: Scratch | None = None) -> dict[str, float]:
+    """Unigram log probabilities of the vocabulary's pieces, estimated from all documents."""
+    scores = zipf_scores(vocabulary)
+    own = (scratch or Scratch(docs.sparkSession)).child()
+    pretokens = own.table(pretokens_of(docs).repartitionByRange("pretoken").sortWithinPartitions("pretoken"), "pretokens")
+    for _ in range(rounds):
+        counts = piece_counts(pretokens, scores)
+        total = sum(counts.values()) + SMOOTH * len(scores)
+        scores = {p: math.log((counts.get(p, 0) + SMOOTH) / total) for p in scores}
+    own.drop()
+    return scores
+
+
+def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, scratch: Scratch | None = None) -> DataFrame:
     """For each row: doc_id, n_pretokens, n_distinct, n_tokens."""
+    sent = docs.sparkSession.sparkContext.broadcast(corpus_scores(docs, vocabulary, scratch=scratch))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counting = counter(vocabulary)
+        if _learned[0] != sent._path:  # tasks that follow each other in one worker share the memo
+            _learned[:] = [sent._path, Counting(sent.value)]
+        counting = _learned[1]
         for batch in batches:
             texts, rows, at = batch.column(1).to_pylist(), [], 0
             while at < len(texts):
