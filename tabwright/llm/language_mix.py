@@ -1,15 +1,18 @@
 """Language identification by multilingual mixture inference.
 
 Learning counts letter n-grams inside words per language over all training rows, as sums that are
-combined before the shuffle; the model is one table of ``languages x BUCKETS`` smoothed log
+combined before the shuffle; the model is one table of ``languages x buckets`` smoothed log
 probabilities, whose size is fixed. Prediction treats a document as a mixture: each word comes from
 one language with the document's proportions, and has the likelihood of its n-grams there.
 Expectation-maximisation estimates the proportions; languages enter the set one by one, best first,
 as long as the penalised likelihood (BIC) gains. The language of the largest proportion is predicted
 and that proportion is the score.
 
-Scale: learning is one map with partial sums of at most ``languages x BUCKETS`` rows per task and one
-small aggregate; prediction is one map over the scan. Languages are bounded by ``MAX_LANGUAGES``.
+Scale: learning is one map with partial sums and one small aggregate; prediction is one map over the scan.
+The model has ``MODEL`` numbers at most whatever the number of languages: beyond ``MODEL / BUCKETS`` of them
+it has fewer buckets each. A task holds the counts of ``HELD`` languages at most before it passes them on,
+and scores of ``SCORES`` words and languages at once; a longer text is inferred in stretches of so many
+words, whose proportions are averaged by words.
 
 Defined results: text null or without a letter gives ``und`` and score 0, as does an empty training set;
 rows with a null language train nothing; repeated rows count each; extra columns are ignored.
@@ -29,7 +32,8 @@ from tabwright.llm.common import Words, mix64, text_chunks, text_of
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 200
+#: Numbers of the whole model, languages of a partial sum, and scores held at once.
+MODEL, HELD, SCORES = 1 << 23, 64, 1 << 22
 ROUNDS = 12
 UNKNOWN = "und"
 
@@ -38,17 +42,18 @@ _IS_ASCII_LETTER = np.zeros(256, bool)
 _IS_ASCII_LETTER[65:91] = _IS_ASCII_LETTER[97:123] = True
 
 
-def ngram_buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each byte n-gram inside words (a blank at both ends), and the word each belongs to."""
-    n = len(words.start)
+def ngram_buckets(words: Words, buckets_: int = BUCKETS, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each byte n-gram inside words ``first`` to ``last`` (a blank at both ends), and the word each belongs to."""
+    start, end = words.start[first:last], words.end[first:last]
+    n = len(start)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # Words laid end to end, each between two blanks, in lower-case ASCII.
-    size = words.end - words.start + 2
+    size = end - start + 2
     bounds = np.concatenate([[0], np.cumsum(size)])
     owner = np.repeat(np.arange(n), size)
     place = np.arange(bounds[-1]) - bounds[:-1][owner]
-    source = words.start[owner] + place - 1
+    source = start[owner] + place - 1
     inner = (place > 0) & (place < size[owner] - 1)
     data = np.full(bounds[-1], 32, np.uint8)
     data[inner] = words.data[source[inner]]
@@ -67,7 +72,7 @@ def ngram_buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
         if order == 1:
             ok &= data[:last] != 32
         at = np.flatnonzero(ok)
-        buckets.append((mix64(acc[at]) % np.uint64(BUCKETS)).astype(np.int64))
+        buckets.append((mix64(acc[at]) % np.uint64(buckets_)).astype(np.int64))
         owners.append(owner[at])
     buckets, owners = np.concatenate(buckets), np.concatenate(owners)
     return buckets, owners
@@ -78,7 +83,18 @@ def is_held_out(doc_id: str = "doc_id"):
 
 
 def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities (languages x BUCKETS), from columns text and lang."""
+    """Languages and their log probabilities (languages x buckets), from columns text and lang."""
+    known = rows.filter("lang IS NOT NULL")
+    n = known.agg(F.count_distinct("lang")).first()[0]
+    size = BUCKETS
+    while size * n > MODEL and size > 2:
+        size //= 2
+
+    def rows_of(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, row in totals.items():
+            used = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(row[used], pa.int64())], names=["lang", "bucket", "n"])
+        totals.clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -86,27 +102,23 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             langs = np.array(batch.column(1).to_pylist(), object)
             for first, last, data, offsets in text_chunks(batch.column(0)):
                 words = Words(data, offsets)
-                buckets, owners = ngram_buckets(words)
+                buckets, owners = ngram_buckets(words, size)
                 names, number = np.unique(langs[first:last].astype(str), return_inverse=True)
                 of_word = number[words.owner()] if len(words.start) else np.zeros(0, np.int64)
-                table = np.bincount(of_word[owners] * BUCKETS + buckets, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
-                for name, row in zip(names, table):
+                for j, name in enumerate(names):
+                    row = np.bincount(buckets[of_word[owners] == j], minlength=size)
                     totals[name] = totals[name] + row if name in totals else row
-        for name, row in totals.items():
-            used = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(row[used], pa.int64())], names=["lang", "bucket", "n"])
+                    if len(totals) >= HELD:
+                        yield from rows_of(totals)
+        yield from rows_of(totals)
 
-    counted = rows.filter("lang IS NOT NULL").select(text_of().alias("text"), "lang").mapInArrow(count, "lang string, bucket long, n long")
-    sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("row"))
-    found = sums.limit(MAX_LANGUAGES + 1).toPandas().sort_values("lang")
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = np.full((len(found), BUCKETS), 0.05)
-    for i, row in enumerate(found["row"]):
-        pairs = np.array([(x["bucket"], x["n"]) for x in row], np.int64)
-        table[i, pairs[:, 0]] += pairs[:, 1]
-    table = np.log(table / table.sum(1, keepdims=True)) if len(found) else table
-    return list(found["lang"]), table.astype(np.float32)
+    counted = known.select(text_of().alias("text"), "lang").mapInArrow(count, "lang string, bucket long, n long")
+    found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # MODEL rows at most
+    names = sorted(found["lang"].unique())
+    table = np.full((len(names), size), 0.05)
+    table[found["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
+    table = np.log(table / table.sum(1, keepdims=True)) if names else table
+    return names, table.astype(np.float32)
 
 
 def _em(like: np.ndarray) -> tuple[np.ndarray, float]:
@@ -137,14 +149,46 @@ def infer(scores: np.ndarray) -> np.ndarray:
         if value - best <= 0.5 * math.log(n) + 1e-9:
             break
         chosen, part, best = trial, more, value
+    # One that came early may not be worth its place beside those that came later.
+    while len(chosen) > 2:
+        less = [(*_em(like[:, [c for c in chosen if c != out]]), out) for out in chosen]
+        fewer, value, out = max(less, key=lambda x: x[1])
+        if best - value > 0.5 * math.log(n):
+            break
+        chosen, part, best = [c for c in chosen if c != out], fewer, value
     share[chosen] = part
     return share
 
 
+def shares(words: Words, model: np.ndarray) -> Iterator[np.ndarray | None]:
+    """Proportions of the languages in each text, None for a text without words; model: buckets x languages."""
+    size, k = model.shape
+    most = max(1, SCORES // max(1, k))
+
+    def scores(a: int, b: int) -> np.ndarray:
+        buckets, owners = ngram_buckets(words, size, a, b)
+        return np.stack([np.bincount(owners, model[buckets, j], b - a) for j in range(k)], 1)
+
+    i, texts = 0, len(words.counts)
+    while i < texts:
+        j = max(i + 1, int(np.searchsorted(words.bounds, words.bounds[i] + most, "right")) - 1)
+        a, b = int(words.bounds[i]), int(words.bounds[j])
+        if b - a > most:  # one long text
+            parts = [(infer(scores(x, min(b, x + most))), min(b, x + most) - x) for x in range(a, b, most)]
+            yield sum(p * n for p, n in parts) / (b - a)
+        elif k and b > a:
+            table = scores(a, b)
+            for x, y in zip(words.bounds[i:j] - a, words.bounds[i + 1 : j + 1] - a):
+                yield infer(table[x:y]) if y > x else None
+        else:
+            yield from [None] * (j - i)
+        i = j
+
+
 def predict(docs: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred, score and the proportions of the chosen languages as text."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(np.ascontiguousarray(table.T))  # BUCKETS x languages floats
+    sent = spark.sparkContext.broadcast(np.ascontiguousarray(table.T))  # buckets x languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -152,20 +196,12 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray) -> DataFra
             names, best, mixes = [], [], []
             letters = batch.column("has_letter").to_pylist()
             for first, last, data, offsets in text_chunks(batch.column("text"), 400_000):
-                words = Words(data, offsets)
-                buckets, owners = ngram_buckets(words)
-                k = model.shape[1]
-                sums = np.empty((len(words.start), k))
-                for j in range(k):
-                    sums[:, j] = np.bincount(owners, model[buckets, j], len(words.start))
-                for i in range(last - first):
-                    a, b = words.bounds[i], words.bounds[i + 1]
-                    if not letters[first + i] or not k or a == b:
+                for i, share in enumerate(shares(Words(data, offsets), model)):
+                    if share is None or not letters[first + i]:
                         names.append(UNKNOWN)
                         best.append(0.0)
                         mixes.append("")
                         continue
-                    share = infer(sums[a:b])
                     top = int(share.argmax())
                     names.append(languages[top])
                     best.append(float(min(1.0, share[top])))
