@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabwright.llm import (
     common,
@@ -17,6 +18,7 @@ from tabwright.llm import (
     language_mix,
     mixing,
     neardup,
+    oracles,
     quality_rules,
     queries,
     secrets,
@@ -196,6 +198,27 @@ def test_secrets_match_brute_force(spark, none):
     assert secrets.scan(none).collect() == []
 
 
+def test_more_candidates_than_a_broadcast_takes(spark, monkeypatch):
+    texts = ["x " * n + f"token={'a1' * 9} AKIA{'B' * 20} sk_live_{'c' * 20}" for n in range(5)] + ["nothing", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(str, secrets.scan(df).collect()))
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, secrets.scan(df).collect())) == want and "stripe" in want[0]
+
+
+def test_texts_full_of_matches(spark):
+    text = " é".join(f"deadbeefdeadbeef{i:x}" for i in range(700))
+    (row,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(x.start, x.end) for x in row.found if x.kind == "hex"] == [m.span() for m in re.finditer(secrets.BASE[2].pattern, text)]
+
+
+def test_one_pass_finds_the_trigrams(spark):
+    wanted = ["---", "--b", "key", "ey\"", "e k", "://", "aki", "kia"]
+    texts = ["----BEGIN", 'apiKEY" x', "the key://", "AKIA", "kkey", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", secrets.present(F.col("text"), wanted).alias("found"))
+    assert all(set(r.found) == {t for t in wanted if t in r.text.lower()} for r in df.collect())
+
+
 def test_base_rules_equal_filtered_runs():
     rng = np.random.default_rng(5)
     text = "".join(rng.choice(list("AKIA0abfg "), 20000, p=[0.3, 0.15, 0.15, 0.1, 0.1, 0.05, 0.05, 0.05, 0.03, 0.02])) + "AKIA" * 9
@@ -233,18 +256,53 @@ def test_encoder_memo_is_exact():
     assert encoder.encode(texts) == want and encoder.encode(texts) == want
 
 
-def test_trie_counts_match_a_viterbi_for_each_word(docs, rows, none):
-    counting = token_counts.Counting(token_counts.zipf_scores())
-    words = sorted({w for r in rows for w in (r[1] or "").split()})
+def viterbi(word, scores):
+    """Tokens of the best segmentation: score first, then fewer tokens; over all cuts, piece by piece."""
+    text = token_counts.MARK + word
+    best = [(0.0, 0)]
+    for end in range(1, len(text) + 1):
+        n = len(text[end - 1].encode())
+        options = [(best[end - 1][0] + token_counts.BYTE_SCORE * n, best[end - 1][1] - n)]
+        options += [(best[start][0] + scores[text[start:end]], best[start][1] - 1) for start in range(end) if text[start:end] in scores]
+        best.append(max(options))
+    return -best[-1][1]
+
+
+def ascii_words(text):
+    return [w.decode() for w in (text or "").encode().split()]
+
+
+def test_token_counts_match_a_viterbi_for_each_word(spark, docs, rows, none):
+    more = docs.union(spark.createDataFrame([(50, "nobreak space\x1cx zażółć 漢字かな 🎈🎈", "en", "s", 0, 1, "x")], SCHEMA))
+    texts = [*rows, (50, "nobreak space\x1cx zażółć 漢字かな 🎈🎈")]
+    scores = token_counts.corpus_scores(more)
+    counting = token_counts.Counting(scores)
+    words = sorted({w for r in texts for w in ascii_words(r[1])})
     shared = counting.trie_counts(words)
     assert counting.nodes < sum(len(w) + 1 for w in words)
-    for w in words:
-        assert token_counts.Counting(counting.scores).trie_counts([w])[w] == shared[w]
-    got = {(r.doc_id, r.n_pretokens, r.n_tokens) for r in token_counts.count_tokens(docs).collect()}
-    assert got == {(r[0], len((r[1] or "").split()), sum(shared[w] for w in (r[1] or "").split())) for r in rows}
+    assert shared == {w: viterbi(w, scores) for w in words}
+    got = sorted((str(r.doc_id), r.n_pretokens, r.n_distinct, r.n_tokens) for r in token_counts.count_tokens(more).collect())
+    assert got == sorted((str(r[0]), len(ascii_words(r[1])), len(set(ascii_words(r[1]))), sum(shared[w] for w in ascii_words(r[1]))) for r in texts)
     assert token_counts.count_tokens(none).collect() == []
 
 
+def test_unigram_scores_are_the_shares_of_pieces_in_the_corpus(docs, rows):
+    start = token_counts.zipf_scores()
+    counting, counts = token_counts.Counting(start), {}
+    words = sorted({w for r in rows for w in ascii_words(r[1])})
+    times = {w: sum(ascii_words(r[1]).count(w) for r in rows) for w in words}
+    for word, pieces, starts in counting.walk(words):
+        own = list(counting.segment(word, starts))
+        left = len(token_counts.MARK + word) - sum(map(len, own))
+        assert pieces[-1] >= len(own) + left
+        for piece in own:
+            counts[piece] = counts.get(piece, 0) + times[word]
+    total = sum(counts.values()) + token_counts.SMOOTH * len(start)
+    got = token_counts.corpus_scores(docs)
+    assert got == pytest.approx({p: math.log((counts.get(p, 0) + token_counts.SMOOTH) / total) for p in start})
+    assert sum(map(math.exp, got.values())) == pytest.approx(1)
+
+
 def shared_out(sizes, weights, cap=3):
     """Targets by hand: the total by weight, what is above the cap shared again among the others."""
     target, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
@@ -539,6 +597,47 @@ def test_mixture_of_two_languages():
     assert share[0] == pytest.approx(0.7, abs=0.02) and share[1] == pytest.approx(0.3, abs=0.02) and share[2] == 0
 
 
+def likelihood_by_hand(like, share):
+    return sum(math.log(sum(x * s for x, s in zip(row, share))) for row in like)
+
+
+def test_mixtures_reach_the_best_penalised_likelihood():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n, k = int(rng.integers(20, 120)), int(rng.integers(2, 5))
+        owner = rng.choice(k, n, p=rng.dirichlet(np.ones(k) * 0.4))
+        scores = rng.normal(-14, 1.5, (n, k))
+        scores[np.arange(n), owner] += 6
+        like, best = np.exp(scores - scores.max(1, keepdims=True)), -math.inf
+        for size in range(1, k + 1):
+            for chosen in itertools.combinations(range(k), size):
+                share = [1 / size] * size
+                for _ in range(200):
+                    parts = [[x * s for x, s in zip(row[list(chosen)], share)] for row in like]
+                    share = [sum(p[j] / sum(p) for p in parts) / n for j in range(size)]
+                best = max(best, likelihood_by_hand(like[:, list(chosen)], share) - 0.5 * math.log(n) * (size - 1))
+        got = language_mix.infer(scores)
+        used = np.flatnonzero(got)
+        assert got.sum() == pytest.approx(1)
+        assert likelihood_by_hand(like[:, used], got[used]) - 0.5 * math.log(n) * (len(used) - 1) >= best - 0.5
+
+
+def test_many_languages_and_long_texts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = {f"l{j:02}": rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6, replace=False) for j in range(12)}
+    word = lambda x: "".join(rng.choice(letters[x], 5))
+    data = [(i, " ".join(word(x) for _ in range(120)), x) for i, x in enumerate(sorted(letters) * 4)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_mix, "HELD", 3)
+    monkeypatch.setattr(language_mix, "SCORES", 600)  # stretches of 50 words
+    monkeypatch.setattr(language_mix, "MODEL", 1 << 16)
+    names, table = language_mix.learn(df.select("text", "lang"))
+    assert names == sorted(letters) and table.size <= 1 << 16
+    assert np.allclose(np.exp(table.astype(float)).sum(1), 1, atol=1e-3)
+    got = {r.doc_id: r.lang_pred for r in language_mix.identify(df).collect()}
+    assert sum(got[i] == x for i, _, x in data) >= 0.95 * len(data)
+
+
 @needs_tables
 def test_classifier_on_labels_it_has_not_seen(spark):
     d = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else DIR
@@ -561,3 +660,21 @@ def test_word_hashes_hang_on_the_word_alone():
     b = common.Words(np.frombuffer(b"foo", np.uint8), np.array([0, 3])).hashes()
     assert a[1] == b[0] and a[2] != b[0]
     assert hashlib.sha256(a.tobytes()).hexdigest() == hashlib.sha256(common.Words(np.frombuffer(b"xx\nfoo\tBAR", np.uint8), np.array([0, 10])).hashes().tobytes()).hexdigest()
+
+
+@needs_tables
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_queries_match_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+    found = con.execute(oracles.ORACLES[name])
+    names = [d[0] for d in found.description]
+    want = sorted(str(dict(sorted(zip(names, r)))) for r in found.fetchall())
+    assert sorted(str(dict(sorted(r.asDict().items()))) for r in queries.QUERIES[name](spark, DIR).collect()) == want
+
+
+def test_a_filter_on_a_verdict_does_not_spell_measures_out_again(docs):
+    plan = quality_rules.judge(docs).filter("_q_kept")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") == 3 and plan.count("inline(") == 1
+    assert quality_rules.judge(docs).filter("_q_kept").count() <= 5
