@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -195,7 +197,43 @@ class Words:
         return acc, bounds
 
 
-def text_chunks(column: pa.Array, limit: int = 1_500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: What a worker keeps between tasks, and of which operator it is.
+_KEPT: dict = {}
+SLICE_BYTES = 4 << 20
+
+
+def kept(owner: str) -> dict:
+    """The worker's memory of an operator, such as a memo; another operator's goes."""
+    if _KEPT.get("owner") != owner:
+        _KEPT.clear()
+        _KEPT["owner"] = owner
+    return _KEPT
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable:
+    """A function for mapInArrow with a small footprint: batches come in slices of bounded size, what other
+    operators have left in the worker goes first, and freed memory returns to the machine at the end, as
+    workers stay alive beside their executor's heap."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(owner)
+        try:
+            yield from run(sliced(batches))
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return walk
+
+
+def text_chunks(column: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of an Arrow string column: first row, last row, UTF-8 bytes and offsets into them.
 
     A slice holds ``limit`` bytes at most unless it is one longer text, so that temporary arrays

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import Scratch, Words, mix64, text_chunks, text_of
+from tabwright.llm.common import Scratch, Words, lean, mix64, text_chunks, text_of
 
 TEXT_FEATURES = 1 << 15
 META_FEATURES = 1 << 10
@@ -126,7 +126,7 @@ def featurize(docs: DataFrame) -> DataFrame:
         text_of().alias("text"),
         *[(F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("source", "lang")],
     )
-    return rows.mapInArrow(run, "doc_id long, text binary, meta binary")
+    return rows.mapInArrow(lean(run), "doc_id long, text binary, meta binary")
 
 
 VIEWS = {"text": TEXT_FEATURES, "meta": META_FEATURES}
@@ -202,7 +202,7 @@ def _sums(rows: DataFrame, models: dict | None) -> dict[str, tuple[np.ndarray, n
             yield pa.RecordBatch.from_arrays([pa.array([v] * len(f), pa.string()), pa.array(f), pa.array(table[v][f])], names=["view", "f", "w"])
 
     # Sums of whole hundredths do not hang on the order in which tasks end.
-    parts = rows.mapInArrow(run, "view string, f long, w double")
+    parts = rows.mapInArrow(lean(run), "view string, f long, w double")
     got = parts.groupBy("view", "f").agg(F.sum(F.round(F.col("w") * 100).cast("long")).alias("w")).toPandas()
     out = {}
     for v, n in VIEWS.items():
@@ -228,7 +228,7 @@ def _calibrate(rows: DataFrame, models: dict, without: dict[str, list]) -> None:
                 used = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([v] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], names=["view", "cell", "n"])
 
-    got = rows.filter("quality IS NOT NULL").mapInArrow(run, "view string, cell long, n long").groupBy("view", "cell").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.filter("quality IS NOT NULL").mapInArrow(lean(run), "view string, cell long, n long").groupBy("view", "cell").agg(F.sum("n").alias("n")).toPandas()
     for v, m in models.items():
         cells = np.zeros(2 * BINS)
         own = got[got["view"] == v]
@@ -305,7 +305,7 @@ def score(features: DataFrame, models: dict | None) -> DataFrame:
                 names=["doc_id", "p_text", "p_meta", "score", "label"],
             )
 
-    return features.mapInArrow(run, schema)
+    return features.mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:

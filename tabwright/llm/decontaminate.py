@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import Scratch, Words, mix64, text_chunks, text_of
+from tabwright.llm.common import Scratch, Words, lean, mix64, text_chunks, text_of
 
 #: Items of fewer words are looked for as a whole.
 SPAN = 12
@@ -96,7 +96,7 @@ def items_of(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hashes, pa.binary())], names=["item", "item_id", "n_words", "words"])
 
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
-    return scratch.table(rows.mapInArrow(run, "item long, item_id long, n_words long, words binary").filter("n_words > 0"), "items")
+    return scratch.table(rows.mapInArrow(lean(run), "item long, item_id long, n_words long, words binary").filter("n_words > 0"), "items")
 
 
 def seeds_of(items: DataFrame, scratch: Scratch) -> DataFrame:
@@ -110,7 +110,7 @@ def seeds_of(items: DataFrame, scratch: Scratch) -> DataFrame:
                     own = seed_hashes(h, mask, salt).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), item)), pa.array(np.arange(len(own)))], names=["hash", "item", "place"])
 
-    return scratch.table(items.select("item", "words").mapInArrow(run, "hash long, item long, place long"), "seeds")
+    return scratch.table(items.select("item", "words").mapInArrow(lean(run), "hash long, item long, place long"), "seeds")
 
 
 def bitmap_of(seeds: DataFrame, n: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def bitmap_of(seeds: DataFrame, n: int) -> np.ndarray:
             value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "bits"])
 
-    got = seeds.select("hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    got = seeds.select("hash").mapInArrow(lean(run), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(bits // 64, np.uint64)
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return out.view(np.uint8)
@@ -164,7 +164,7 @@ def hits(docs: DataFrame, bitmap: np.ndarray, masks: list[tuple[np.ndarray, int]
                             names=[*KEY, "hash", "place"],
                         )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, hash long, place long")
+    return _keyed(docs).mapInArrow(lean(run), "doc_id long, text_hash long, hash long, place long")
 
 
 def agreement(h: np.ndarray, item: np.ndarray, shift: int) -> int:
@@ -220,7 +220,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = No
             keys = [batch.column(k).take(pa.array(at, pa.int64())) for k in KEY]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(names, pa.int64()), pa.array(ids, pa.int64()), pa.array(same, pa.int64())], names=[*KEY, "item", "item_id", "n_same"])
 
-    return rows.mapInArrow(verify, "doc_id long, text_hash long, item long, item_id long, n_same long")
+    return rows.mapInArrow(lean(verify), "doc_id long, text_hash long, item long, item_id long, n_same long")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:

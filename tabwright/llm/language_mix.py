@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import Words, mix64, text_chunks, text_of
+from tabwright.llm.common import Words, lean, mix64, text_chunks, text_of
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -112,7 +112,7 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                         yield from rows_of(totals)
         yield from rows_of(totals)
 
-    counted = known.select(text_of().alias("text"), "lang").mapInArrow(count, "lang string, bucket long, n long")
+    counted = known.select(text_of().alias("text"), "lang").mapInArrow(lean(count), "lang string, bucket long, n long")
     found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # MODEL rows at most
     names = sorted(found["lang"].unique())
     table = np.full((len(names), size), 0.05)
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray) -> DataFra
         text.rlike(r"\p{L}").alias("has_letter"),
         text.alias("text"),
     )
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, mixture string")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, mixture string")
 
 
 def identify(docs: DataFrame) -> DataFrame:

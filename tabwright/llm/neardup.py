@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import Scratch, Words, text_chunks, text_of
+from tabwright.llm.common import Scratch, Words, lean, text_chunks, text_of
 
 TREES = 24
 #: Orders worked off before the others.
@@ -105,7 +105,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class binary, signature binary")
+    return rows.mapInArrow(lean(run), "doc_id long, text_hash long, n_shingles long, class binary, signature binary")
 
 
 def _text_hash() -> Column:
@@ -311,11 +311,11 @@ def forest(nodes: DataFrame, trees: range, scratch: Scratch) -> DataFrame:
     stretch = F.expr(f"substring(signature, t * {width} + 1, {width})")
     rows = nodes.select("node", "part", "signature", F.explode(F.lit(list(trees))).alias("t")).select("t", stretch.alias("stretch"), "node", "part")
     rows = rows.repartitionByRange("t", "stretch", "node").sortWithinPartitions("t", "stretch", "node")
-    walked = scratch.table(rows.mapInArrow(walk_order, _WALK), "orders")
+    walked = scratch.table(rows.mapInArrow(lean(walk_order), _WALK), "orders")
     between, pieces = cut_by_partitions(walked)
     members = walked.filter(F.col("kind") == MEMBER).select("region", "place", "node", "part")
     full = members.join(nodes.select("node", "signature"), "node").repartition("region").sortWithinPartitions("region", "place")
-    edges = full.select("region", "part", "signature").mapInArrow(grouped(region_edges, "region"), "a long, b long")
+    edges = full.select("region", "part", "signature").mapInArrow(lean(grouped(region_edges, "region")), "a long, b long")
     edges = edges.unionByName(walked.filter(F.col("kind") == TIE).select(F.col("node").alias("a"), F.col("part").alias("b")))
     if pieces:
         cut = F.broadcast(spark.createDataFrame([(p,) for p in pieces], "region long"))  # two rows a partition at most
@@ -429,12 +429,12 @@ def sets_of(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     same = texts["id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])
     rows = texts.join(F.broadcast(wanted) if small else wanted, same).select(*kept, "class", "text")
     types = dict(members.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in kept) + ", shingles binary")
+    return rows.mapInArrow(lean(run), ", ".join(f"{c} {types[c]}" for c in kept) + ", shingles binary")
 
 
 def _by_block(rows: DataFrame, percent: int, *block: str) -> DataFrame:
     dealt = rows.withColumn("key", F.xxhash64("cluster", *block)).select("key", "node", "part", "all", "shingles")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(grouped(lambda held: spanning_links(held, percent), "key"), "a long, b long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lean(grouped(lambda held: spanning_links(held, percent), "key")), "a long, b long")
 
 
 def confirm(docs: DataFrame, members: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import Scratch, local_path, text_of
+from tabwright.llm.common import Scratch, kept, lean, local_path, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -48,7 +48,6 @@ _CUT = re.compile(r" (?=\S)")
 #: A blank that no non-blank follows; a text without one may be cut at every blank.
 _BLANK_RUN = re.compile(r" (?:\s|\Z)")
 _PRETOKEN = regex.compile(public_tokenizers.PATTERN)
-_encoders: dict = {}
 
 
 class Encoder:
@@ -136,9 +135,10 @@ class Encoder:
 
 def encoder(tokenizer_path: str) -> Encoder:
     """The worker's encoder: tasks that follow each other in one worker share its memos."""
-    if tokenizer_path not in _encoders:
-        _encoders[tokenizer_path] = Encoder(tokenizer_path)
-    return _encoders[tokenizer_path]
+    held = kept("token_binary")
+    if tokenizer_path not in held:
+        held[tokenizer_path] = Encoder(tokenizer_path)
+    return held[tokenizer_path]
 
 
 def write_tokens(docs: DataFrame, out_uri: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_column: str = "doc_id") -> DataFrame:
@@ -189,7 +189,7 @@ def write_tokens(docs: DataFrame, out_uri: str, tokenizer: str = TOKENIZER, end_
 
     os.makedirs(out, exist_ok=True)
     scratch = Scratch(spark)
-    written = scratch.table(rows.mapInArrow(write, "part long, docs long, ids long, width long"), "parts")
+    written = scratch.table(rows.mapInArrow(lean(write, "token_binary"), "part long, docs long, ids long, width long"), "parts")
     parts, base_doc, base_id = [], 0, 0
     for p in sorted(written.collect(), key=lambda r: r.part):  # one row per partition
         parts.append((p.part, p.docs, p.ids, base_doc, base_id))
@@ -210,7 +210,7 @@ def write_tokens(docs: DataFrame, out_uri: str, tokenizer: str = TOKENIZER, end_
                 os.replace(tmp, name + ".idx")
             yield batch
 
-    table.mapInArrow(rebase, table.schema).count()
+    table.mapInArrow(lean(rebase, "token_binary"), table.schema).count()
     return table
 
 
@@ -249,7 +249,7 @@ def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return table.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.mapInArrow(lean(read, "token_binary"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

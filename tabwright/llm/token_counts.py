@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import Scratch, text_of
+from tabwright.llm.common import Scratch, kept, lean, text_of
 
 VOCABULARY = "piece_bpe_32k.model"
 SHIFT = 10.0
@@ -45,7 +45,6 @@ MARK = "▁"
 MEMO_ENTRIES = 300_000
 SLICE_CHARS = 4_000_000
 
-_learned: list = [None, None]  # the worker's broadcast and its Counting
 
 
 def bag_of(text: str) -> Counter:
@@ -144,7 +143,7 @@ def pretokens_of(docs: DataFrame) -> DataFrame:
         if bag:
             yield rows(bag)
 
-    return docs.select(text_of().alias("text")).mapInArrow(run, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
+    return docs.select(text_of().alias("text")).mapInArrow(lean(run, "token_counts"), "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(pretokens: DataFrame, scores: dict[str, float]) -> dict[str, int]:
@@ -167,7 +166,7 @@ def piece_counts(pretokens: DataFrame, scores: dict[str, float]) -> dict[str, in
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
 
-    sums = pretokens.select("pretoken", "n").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    sums = pretokens.select("pretoken", "n").mapInArrow(lean(run, "token_counts"), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return {r.piece: r.n for r in sums.collect()}  # a row a piece of the vocabulary
 
 
@@ -189,9 +188,10 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, scratch: Scratch
     sent = docs.sparkSession.sparkContext.broadcast(corpus_scores(docs, vocabulary, scratch=scratch))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _learned[0] != sent._path:  # tasks that follow each other in one worker share the memo
-            _learned[:] = [sent._path, Counting(sent.value)]
-        counting = _learned[1]
+        held = kept("token_counts")  # tasks that follow each other in one worker share the memo
+        if held.get("scores") != sent._path:
+            held.update(scores=sent._path, counting=Counting(sent.value))
+        counting = held["counting"]
         for batch in batches:
             texts, rows, at = batch.column(1).to_pylist(), [], 0
             while at < len(texts):
@@ -204,5 +204,5 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, scratch: Scratch
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]], names=["doc_id", "n_pretokens", "n_distinct", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        run, "doc_id long, n_pretokens long, n_distinct long, n_tokens long"
+        lean(run, "token_counts"), "doc_id long, n_pretokens long, n_distinct long, n_tokens long"
     )
