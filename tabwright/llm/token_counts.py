@@ -57,7 +57,13 @@ class Counting:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: Pieces as a trie of characters; the empty string leads to the score of the piece that ends there.
+        self.root: dict = {}
+        for piece, score in scores.items():
+            node = self.root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = score
         self.memo: dict[bytes, int] = {}
         self.nodes = 0
 
@@ -66,9 +72,11 @@ class Counting:
         return {word: pieces[-1] for word, pieces, _ in self.walk(sorted(pretokens))}
 
     def walk(self, pretokens: Iterable[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        """Each of the sorted pre-tokens with the piece counts and last pieces' starts of all its prefixes."""
-        scores, longest = self.scores, self.longest
-        best, pieces, starts, before = [0.0], [0], [0], ""
+        """Each of the sorted pre-tokens with the piece counts and last pieces' starts of all its prefixes.
+
+        Beside them each prefix keeps the pieces that have begun in it and may go on: (start, place in their trie).
+        """
+        root, best, pieces, starts, begun, before = self.root, [0.0], [0], [0], [[]], ""
         for word in pretokens:
             text = MARK + word
             same = 0
@@ -76,20 +84,24 @@ class Counting:
                 if x != y:
                     break
                 same += 1
-            del best[same + 1 :], pieces[same + 1 :], starts[same + 1 :]
-            for end in range(same + 1, len(text) + 1):
-                self.nodes += 1
-                size = len(text[end - 1].encode("utf-8", "surrogatepass"))
-                top, n, came = best[end - 1] + BYTE_SCORE * size, pieces[end - 1] + size, -1
-                for start in range(max(0, end - longest), end):
-                    score = scores.get(text[start:end])
-                    if score is not None:
-                        score += best[start]
-                        if score > top or score == top and pieces[start] + 1 < n:
-                            top, n, came = score, pieces[start] + 1, start
+            del best[same + 1 :], pieces[same + 1 :], starts[same + 1 :], begun[same + 1 :]
+            self.nodes += len(text) - same
+            for end, c in enumerate(text[same:], same + 1):
+                size = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+                top, n, came = best[-1] + BYTE_SCORE * size, pieces[-1] + size, -1
+                going = []
+                for start, node in (*begun[-1], (end - 1, root)):
+                    if (node := node.get(c)) is not None:
+                        going.append((start, node))
+                        score = node.get("")
+                        if score is not None:
+                            score += best[start]
+                            if score > top or score == top and pieces[start] + 1 < n:
+                                top, n, came = score, pieces[start] + 1, start
                 best.append(top)
                 pieces.append(n)
                 starts.append(came)
+                begun.append(going)
             yield word, pieces, starts
             before = text
 
