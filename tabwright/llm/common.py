@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold fewer rows than usual, where the session does not say how many: rows are whole
+    documents here, and each task holds a batch on both sides, beside the executor's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "1000")
+
+
 class Scratch:
     """Intermediate tables of one piece of work, in a folder of their own below the shared one.
 
@@ -41,6 +49,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.count = spark, 0
         self.root = f"{shared_dir(spark)}/tabwright-{uuid.uuid4().hex}"
 
@@ -199,7 +208,7 @@ class Words:
 
 #: What a worker keeps between tasks, and of which operator it is.
 _KEPT: dict = {}
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def kept(owner: str) -> dict:
