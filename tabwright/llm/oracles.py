@@ -104,8 +104,44 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+OP13 = """
+WITH RECURSIVE t AS (
+  SELECT DISTINCT sale_id, item_id FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL
+), b AS (
+  SELECT count(DISTINCT sale_id)::BIGINT AS total FROM t
+), f AS (
+  SELECT item_id, count(*)::BIGINT AS n FROM t, b GROUP BY item_id, total HAVING count(*) >= 8 AND count(*) * 5000 >= total
+), l AS (
+  SELECT sale_id, item_id FROM t SEMI JOIN f USING (item_id)
+), o AS (
+  SELECT [item_id] AS items, item_id AS last, sale_id FROM l
+  UNION ALL
+  SELECT items, last, sale_id FROM (
+    SELECT list_append(o.items, l.item_id) AS items, l.item_id AS last, o.sale_id,
+           count(*) OVER (PARTITION BY list_append(o.items, l.item_id)) AS n
+    FROM o JOIN l ON l.sale_id = o.sale_id AND l.item_id > o.last
+  ), b WHERE n >= 8 AND n * 5000 >= total
+), s AS (
+  SELECT items, count(*)::BIGINT AS support FROM o GROUP BY items
+), x AS (
+  SELECT items, support, c, list_filter(items, lambda i: i <> c) AS rest FROM (SELECT items, support, unnest(items) AS c FROM s)
+), p AS (
+  SELECT x.items, x.support, x.c, x.rest, r.support AS a, f.n AS s,
+         len(x.items) > 1 AND 100 * x.support >= 10 * r.support AND x.support * total > r.support * f.n AS rule
+  FROM x CROSS JOIN b JOIN f ON f.item_id = x.c LEFT JOIN s AS r ON r.items = x.rest
+), covered AS (
+  SELECT DISTINCT rest AS items FROM p WHERE a = support
+)
+SELECT array_to_string(items, ',') AS items, len(items)::BIGINT AS n_items, support,
+       count(*) FILTER (rule)::BIGINT AS n_rules,
+       (min({'a': a, 'c': c}) FILTER (rule)).c AS best_item,
+       sha256(coalesce(string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) FILTER (rule), '')) AS rules_sha256
+FROM p ANTI JOIN covered USING (items) GROUP BY items, support
+"""
+
 ORACLES = {
     "op4_lsh_forest": OP4,
     "op8_secret_scan": OP8,
     "op10_quality_rules": OP10,
+    "op13_basket_itemsets": OP13,
 }

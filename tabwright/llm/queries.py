@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import cotraining, decontaminate, language_mix, mixing, neardup, quality_rules, secrets, sharding, token_binary, token_counts
+from tabwright.llm import baskets, cotraining, decontaminate, language_mix, mixing, neardup, quality_rules, secrets, sharding, token_binary, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"_q_{n}").alias(n) for n in names], F.array_join("_q_reasons", ",").alias("reasons"))
 
 
+def op13_basket_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = baskets.closed_itemsets(table(spark, sf_dir, "sale_lines"))
+    best = F.array_min(F.transform("rules", lambda r: F.struct(r["a"], r["c"])))["c"]
+    text = F.array_join(F.transform("rules", lambda r: F.concat_ws(":", r["c"], r["a"], r["s"])), ";")
+    return found.select(
+        F.array_join(F.col("items").cast("array<string>"), ",").alias("items"),
+        F.size("items").cast("long").alias("n_items"),
+        "support",
+        F.size("rules").cast("long").alias("n_rules"),
+        best.alias("best_item"),
+        F.sha2(F.encode(text, "UTF-8"), 256).alias("rules_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_binary": op1_token_binary,
     "op2_cotraining": op2_cotraining,
@@ -87,4 +101,5 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_mixture": op9_language_mixture,
     "op10_quality_rules": op10_quality_rules,
+    "op13_basket_itemsets": op13_basket_itemsets,
 }
