@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import baskets, cotraining, decontaminate, language_mix, mixing, neardup, pieces, quality_rules, secrets, sharding, token_binary, token_counts
+from tabwright.llm import baskets, cotraining, decontaminate, language_mix, mixing, neardup, pieces, quality_rules, repeats, secrets, sharding, token_binary, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op11_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_basket_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = baskets.closed_itemsets(table(spark, sf_dir, "sale_lines"))
     best = F.array_min(F.transform("rules", lambda r: F.struct(r["a"], r["c"])))["c"]
@@ -106,5 +110,6 @@ QUERIES = {
     "op9_language_mixture": op9_language_mixture,
     "op10_quality_rules": op10_quality_rules,
     "op11_piece_merges": op11_piece_merges,
+    "op12_repeat_runs": op12_repeat_runs,
     "op13_basket_itemsets": op13_basket_itemsets,
 }
