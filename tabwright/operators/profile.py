@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions import cells as C
+from tabwright.sources.scratch import Steps
 
 # Header patterns that decide what a column may be.
 FORBIDDEN_METRIC = (
@@ -54,7 +55,7 @@ def _share(hits: Column, of: Column) -> Column:
 
 def profile(cells: DataFrame) -> DataFrame:
     """One row per column: kind, reason, ratios, period, unit, is_rate. ``cells`` as of ``with_values``."""
-    h, full = F.col("header"), F.coalesce(~F.col("raw").isin(*C.MISSING), F.lit(False))
+    full = F.coalesce(~F.col("raw").isin(*C.MISSING), F.lit(False))
     value = lambda x: F.when(full, x)
     num, key = value(F.col("num")), value(F.col("ekey"))
     whole = F.col("num") == F.floor("num")
@@ -79,7 +80,12 @@ def profile(cells: DataFrame) -> DataFrame:
     repeated = (
         cells.filter(full).groupBy("table_id", "col_idx", "ekey").count().groupBy("table_id", "col_idx").agg(F.count_if(F.col("count") >= 2).alias("repeated"))
     )
-    sums = sums.join(repeated, ["table_id", "col_idx"], "left").fillna(0, ["repeated"])
+    return typed(sums.join(repeated, ["table_id", "col_idx"], "left").fillna(0, ["repeated"]))
+
+
+def typed(sums: DataFrame) -> DataFrame:
+    """Kind, reason and what else a profile tells, from the measures of each column."""
+    h = F.col("header")
     numeric, unique = _share(F.col("nums"), F.col("filled")), _share(F.col("keys"), F.col("filled"))
     period = C.period(h)
     ordinal = (F.col("fractions") == 0) & (F.col("values") == F.col("nums")) & (F.col("least") == 1) & (F.col("most") == F.col("nums"))
@@ -114,9 +120,9 @@ def profile(cells: DataFrame) -> DataFrame:
     )
     sparse = (F.col("n") == 0) | (F.col("filled") < F.greatest(F.lit(3), F.floor(0.8 * F.col("n"))))
     kind = F.when(sparse, result("other", "sparse")).when(numeric >= 0.95, of_number).when(numeric <= 0.2, of_text).otherwise(result("other"))
-    typed = sums.withColumn("_k", kind)
+    judged = sums.withColumn("_k", kind)
     measured = (F.col("_k.kind") == "metric") | F.col("_k.reason").isin("constant", "mixed_units", "duplicate_header")
-    return typed.select(
+    return judged.select(
         "table_id",
         "col_idx",
         "header",
@@ -187,6 +193,118 @@ def cached_profile(tables: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
             df.unpersist()
 
 
+# ---------------------------------------------------------------- wide tables
+
+
+def wide_values(df: DataFrame, steps: Steps) -> DataFrame:
+    """A wide table with number, unit and entity key beside the raw text of each cell, column i as struct ``c<i>``, written once for both passes."""
+    raws = [F.coalesce(df["`" + c.replace("`", "``") + "`"].cast("string"), F.lit("")) for c in df.columns]
+    one = lambda r: F.struct(r.alias("raw"), C.parse_number(r).alias("num"), C.unit(r).alias("unit"), C.entity_key(r).alias("ekey"))
+    return steps.table(df.select(*[one(r).alias(f"c{i}") for i, r in enumerate(raws)]), "values")
+
+
+def profile_wide(flat: DataFrame, names: list[str], table_id: str, exact_ratios: bool = True) -> DataFrame:
+    """The profile of one wide table of values (``wide_values``) under these headers, as ``profile`` gives it, without a row for each cell.
+
+    One aggregation takes all measures of all columns and a sketch of how many keys each has: its state does not grow with the table. What a
+    sketch cannot decide is counted exactly in a second pass: keys of text columns, unless their sketch is far from every limit, and numbers
+    that may be a sequence. With ``exact_ratios`` keys of all columns are counted, else unique ratios that no kind hangs on are estimates.
+    """
+    measures = []
+    for i in range(len(names)):
+        c = F.col(f"c{i}")
+        full = ~c["raw"].isin(*C.MISSING)
+        num, key = F.when(full, c["num"]), F.when(full, c["ekey"])
+        unit = F.when(full, c["unit"])
+        signed = full & F.substring(C.strip(c["raw"]), 1, 1).isin("+", "−", "–", "-") & (c["num"] != 0)
+        measures.append(F.struct(
+            F.lit(i).alias("col_idx"), F.lit(names[i]).alias("header"), F.count(F.lit(1)).alias("n"), F.count_if(full).alias("filled"), F.count(num).alias("nums"),
+            F.approx_count_distinct(key, 0.02).alias("about"), F.min(num).alias("least"), F.max(num).alias("most"),
+            F.count_if(full & (c["num"] != F.floor(c["num"]))).alias("fractions"),
+            F.count_if(full & (c["num"] == F.floor(c["num"])) & c["num"].between(1800, 2100)).alias("years"), F.count_if(signed).alias("signs"),
+            F.count_if(full & c["raw"].contains("%")).alias("percents"),
+            F.when(F.min(unit) == F.max(unit), F.array(F.min(unit))).when(F.min(unit).isNotNull(), F.array(F.min(unit), F.max(unit))).otherwise(F.array().cast("array<string>")).alias("units"),
+            F.coalesce(F.avg(F.when(full, F.length(c["ekey"]))), F.lit(0.0)).alias("mean_length"),
+            F.count_if(full & C.has_cjk(c["ekey"])).alias("cjk_keys"), F.count_if(full & c["ekey"].rlike(r"(?U)\d")).alias("digit_keys"),
+        ))
+    sums = flat.agg(F.array(*measures).alias("m")).select(F.lit(table_id).alias("table_id"), F.inline("m"))
+    measured = sums.collect()  # one row a column
+    sums = flat.sparkSession.createDataFrame(measured, sums.schema)
+    told = {r["col_idx"]: r for r in measured}
+
+    def sequence(r) -> bool:
+        """Whole numbers from 1 to their count: each once, or not."""
+        return r["nums"] > 0 and r["fractions"] == 0 and r["least"] == 1 and r["most"] == r["nums"]
+
+    def open_(r) -> bool:
+        """Text whose sketch, of an error of 2 percent, leaves open whether it is a key or a category."""
+        share = r["about"] / max(1, r["filled"])
+        return r["nums"] <= 0.2 * r["filled"] and not 0.6 < share < 0.8
+
+    wanted = [i for i, r in told.items() if exact_ratios or open_(r) or sequence(r)]
+    counts = _counted(flat, wanted, [i for i in wanted if sequence(told[i])])
+    rest = sums.join(counts, "col_idx", "left")
+    varied = F.when(F.col("least").isNull(), 0).when(F.col("least") == F.col("most"), 1).otherwise(2)  # all that is asked of numbers that are no sequence
+    return typed(rest.select(
+        "table_id", "col_idx", "header", "n", "filled", "nums", F.coalesce("keys", "about").alias("keys"), F.coalesce("values", varied).alias("values"),
+        F.coalesce("repeated", F.lit(0)).alias("repeated"), "least", "most", "fractions", "years", "signs", "percents", "units", "mean_length", "cjk_keys", "digit_keys",
+    ))
+
+
+def _counted(flat: DataFrame, columns: list[int], sequences: list[int]) -> DataFrame:
+    """(col_idx, keys, repeated, values) of some columns. Equal keys meet in the task that reads them before any moves."""
+    if not columns:
+        return flat.sparkSession.createDataFrame([], "col_idx int, keys bigint, repeated bigint, values bigint")
+    number = lambda i: F.col(f"c{i}.num") if i in sequences else F.lit(None)
+    cells = [F.struct(F.lit(i).alias("col_idx"), F.col(f"c{i}.raw").alias("raw"), F.col(f"c{i}.ekey").alias("ekey"), number(i).cast("double").alias("num")) for i in columns]
+    cells = flat.select(F.inline(F.array(*cells))).where(~F.col("raw").isin(*C.MISSING))
+    keys = cells.groupBy("col_idx", "ekey").agg(F.count(F.lit(1)).alias("k"))
+    per = keys.groupBy("col_idx").agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("k") >= 2).alias("repeated"))
+    values = cells.where("num IS NOT NULL").groupBy("col_idx", "num").agg(F.count(F.lit(1)).alias("k")).groupBy("col_idx").agg(F.count(F.lit(1)).alias("values"))
+    return per.join(values, "col_idx", "left").select(F.col("col_idx").cast("int").alias("col_idx"), "keys", "repeated", "values")
+
+
+def key_and_rank(profiled: DataFrame) -> tuple[int | None, int | None]:
+    """Places of the key and the rank column of one profiled table: a row for each of its columns is read."""
+    rows = profiled.where("kind IN ('key', 'rank')").select("col_idx", "kind", F.col("header").rlike(KEY_HINT).alias("hint")).collect()
+    keys = sorted((not r["hint"], r["col_idx"]) for r in rows if r["kind"] == "key")
+    return keys[0][1] if keys else None, min((r["col_idx"] for r in rows if r["kind"] == "rank"), default=None)
+
+
+def _total(label: Column) -> Column:
+    return C.is_total_row(C.entity_key(label))
+
+
+def without_total_rows(df: DataFrame, label: str, rank: str | None = None, by: str | None = None) -> DataFrame:
+    """Rows of a wide table, or of the many tables that column ``by`` tells apart, but for total rows.
+
+    A total row has a total label, or no number in the rank column where at least four fifths of its table's rows have one.
+    """
+    kept = df.where(~_total(F.col(label)))
+    if rank is None:
+        return kept
+    ranked = C.parse_number(F.col(rank).cast("string")).isNotNull()
+    shares = df.groupBy((F.col(by) if by else F.lit(0)).alias("_g")).agg((F.count_if(ranked) >= 0.8 * F.count(F.lit(1))).alias("_mostly"))
+    found = kept.withColumns({"_ranked": ranked, "_own": F.col(by) if by else F.lit(0)})
+    found = found.join(shares, F.col("_own").eqNullSafe(F.col("_g")))
+    return found.where("_ranked OR NOT _mostly").drop("_ranked", "_g", "_own", "_mostly")
+
+
+def profile_wide_table(df: DataFrame, table_id: str, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """Values of a wide table without its total rows, and the profile of those: the first pass finds key and rank column.
+
+    Without a key column the first cell with Chinese text labels a row.
+    """
+    flat = wide_values(df, steps)
+    key, rank = key_and_rank(profile_wide(flat, df.columns, table_id, exact_ratios=False))
+    first = F.coalesce(*[F.when(C.has_cjk(F.col(f"c{i}.raw")), F.col(f"c{i}.ekey")) for i in range(len(df.columns))], F.lit(""))
+    kept = flat.where(~C.is_total_row(F.col(f"c{key}.ekey") if key is not None else first))
+    if rank is not None:
+        share = flat.agg(F.count_if(F.col(f"c{rank}.num").isNotNull()).alias("ranked"), F.count(F.lit(1)).alias("n")).first()
+        kept = kept.where(F.col(f"c{rank}.num").isNotNull()) if share["n"] and share["ranked"] >= 0.8 * share["n"] else kept
+    return kept, profile_wide(kept, df.columns, table_id)
+
+
 def metric_columns(profiled: DataFrame) -> DataFrame:
     return profiled.filter("kind = 'metric'").select("table_id", "col_idx", "header", "unit", "period", "is_rate")
 

@@ -11,6 +11,7 @@ import threading
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +24,17 @@ WRITE_WORDS = "insert|update|delete|drop|alter|attach|detach|pragma|vacuum|creat
 READING = {
     "Project", "UnresolvedWith", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Filter", "Union", "Join",
     "Intersect", "Except", "UnresolvedHaving", "Offset", "UnresolvedOrderBy", "SubqueryAlias", "UnresolvedInlineTable",
-    "WithWindowDefinition", "UnresolvedRelation", "OneRowRelation", "UnresolvedSubqueryColumnAliases", "LocalRelation",
+    "WithWindowDefinition", "UnresolvedRelation", "OneRowRelation", "UnresolvedSubqueryColumnAliases", "LocalRelation", "Generate", "LateralJoin",
+    "UnresolvedTableValuedFunction", "Sample", "Pivot", "Unpivot", "UnresolvedTVFAliases",
 }
-#: Functions that run code or read files.
-FORBIDDEN_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+#: Kinds of built-in functions that compute from their arguments alone; no function of another kind or origin may run.
+READING_FUNCTIONS = {
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs", "date_funcs", "datetime_funcs",
+    "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "operator", "predicate_funcs", "string_funcs", "struct_funcs",
+    "window_funcs",
+}
+#: Table functions that read nothing.
+READING_TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"}
 SHOWN, FETCHED, OLD_SHOWN = 30, 5000, 6
 
 
@@ -41,40 +49,69 @@ def guard(spark: SparkSession, sql: str | None, strict: bool = True) -> str | No
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         return f"sql_error: {str(e).splitlines()[0][:120]}"
-    return None if _only_reads(plan) else "not_read_only_select"
+    return None if _only_reads(spark, plan) else "not_read_only_select"
+
 
+_CATALYST = "org.apache.spark.sql.catalyst"
 
-def _each(sequence) -> list:
-    return [sequence.apply(i) for i in range(sequence.size())]
 
+def _only_reads(spark: SparkSession, plan) -> bool:
+    """Whether every node of an unresolved plan only reads named tables of the session and calls functions that compute.
 
-def _only_reads(plan) -> bool:
-    """Whether all nodes of an unresolved plan, in subqueries and common table expressions too, only read
-    named tables of the session: paths such as ``text.`/a/file` `` are no such names."""
-    plans, expressions = [plan], []
-    while plans or expressions:
-        if plans:
-            node = plans.pop()
-            if node.nodeName() not in READING:
+    The walk goes through every field of every node, whatever holds it: plans in subqueries, common table expressions, definitions of
+    windows in a map, generators. Paths such as ``text.`/a/file` `` are no named tables, and names made by expressions no names.
+    """
+    gateway = spark.sparkContext._gateway
+    known = spark._jsparkSession.sessionState().functionRegistry()
+    todo = [plan]
+
+    def is_a(value, name: str) -> bool:
+        return is_instance_of(gateway, value, name)
+
+    def computes(parts: list[str], where: set[str] | None = None) -> bool:
+        if len(parts) != 1:
+            return False
+        name = parts[0].lower()
+        if where is not None:
+            return name in where
+        found = known.lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+        return found.isDefined() and found.get().getSource() == "built-in" and found.get().getGroup() in READING_FUNCTIONS
+
+    while todo:
+        value = todo.pop()
+        if not isinstance(value, JavaObject):
+            continue
+        kind = value.getClass().getSimpleName()
+        if is_a(value, f"{_CATALYST}.plans.logical.LogicalPlan"):
+            if value.nodeName() not in READING:
                 return False
-            if node.nodeName() == "UnresolvedRelation" and node.multipartIdentifier().size() != 1:
+            if kind == "UnresolvedRelation" and value.multipartIdentifier().size() != 1:
                 return False
-            plans += _each(node.children())
-            if node.nodeName() == "UnresolvedWith":
-                plans += _each(node.innerChildren())
-            expressions += _each(node.expressions())
-        else:
-            node = expressions.pop()
-            name = node.getClass().getSimpleName()
-            if name == "UnresolvedFunction" and str(_each(node.nameParts())[-1]).lower() in FORBIDDEN_FUNCTIONS:
+            if kind == "UnresolvedTableValuedFunction" and not computes(_strings(value.name()), READING_TABLE_FUNCTIONS):
+                return False
+        elif kind == "UnresolvedFunction":
+            if not computes(_strings(value.nameParts())):
                 return False
-            if "Subquery" in name or name in ("Exists", "ListQuery"):
-                if hasattr(node, "plan"):
-                    plans.append(node.plan()) if name != "InSubquery" else plans.append(node.query().plan())
-            expressions += _each(node.children())
+        elif kind == "UnresolvedGenerator":
+            if value.name().database().isDefined() or not computes([value.name().funcName()], READING_TABLE_FUNCTIONS | {"json_tuple"}):
+                return False
+        elif kind == "ExpressionWithUnresolvedIdentifier":
+            return False
+        if is_a(value, "scala.collection.Iterable"):
+            each = value.iterator()
+        elif is_a(value, "scala.Product"):
+            each = value.productIterator()
+        else:
+            continue
+        while each.hasNext():
+            todo.append(each.next())
     return True
 
 
+def _strings(sequence) -> list[str]:
+    return [str(sequence.apply(i)) for i in range(sequence.size())]
+
+
 def from_sqlite(sql: str) -> str:
     """A statement in Spark's dialect from one written for SQLite, as far as its text tells.
 

@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.functions.cells import entity_key, is_total_row
-
 #: Parts that are ranked on their own.
 RANK_PARTS = 64
 
@@ -82,11 +80,6 @@ def superlative(rows: DataFrame, by: str) -> DataFrame:
     return agg.join(tied, agg["subject"] == tied["_s"]).select("subject", ((F.col("own") == F.col("top")) & (F.col("count") == 1)).alias("holds"))
 
 
-def without_totals(rows: DataFrame, label: str) -> DataFrame:
-    """Rows of a table but for its total rows, told by their label."""
-    return rows.filter(~is_total_row(entity_key(F.col(label))))
-
-
 def ranked(measure: DataFrame) -> DataFrame:
     """Add ``rank``, by falling value and then by key.
 
