@@ -9,7 +9,8 @@ verify goes without a hit.
 1. ``seeds``: (hash, item, place) of every window of every benchmark item.
 2. ``hits``: every document window whose hash may be a seed's, told by a bitmap of bounded size that goes
    to the tasks, leaves the scan as a slim row (document, hash, place); these are joined with the seeds.
-   Only the distinct diagonals (document, item, shift) of the join go on.
+   Equal hashes at even steps are one row on both sides, so that a text that repeats itself does not meet a repetitive
+   item once for each pair of repetitions. Only the distinct diagonals (document, item, shifts) of the join go on.
 3. ``verified``: each diagonal is compared word by word. The overlap counts where at least ``PERCENT`` of
    ``WINDOW`` aligned words agree (of the whole item or document where that is shorter, but of ``SPAN`` at
    least). Words of an item beyond the document's edge count as disagreeing: what a cut document still
@@ -54,8 +55,9 @@ WINDOW = 20
 PERCENT = 80
 #: Bits of the bitmap for each seed, and for all of them at most (16 MB).
 BITS_EACH, BITS = 32, 1 << 27
-#: Rows (seeds of 24 bytes, keys of 16 bytes with their diagonals) that may be broadcast.
+#: Rows (seeds of 40 bytes, keys of 16 bytes) that may be broadcast, and bytes of items' words and shifts.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 16_000_000
 
 KEY = ("doc_id", "text_hash")
 
@@ -82,6 +84,24 @@ def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield x & np.uint64(bits - 1)
 
 
+def progressions(owner: np.ndarray, h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal hashes of one owner at even steps, put together: index of the first of each, step, and how many there are.
+
+    A text that repeats itself has as many windows of one hash as it has repetitions, but few progressions of them.
+    """
+    by = np.lexsort((place, h, owner))
+    o, x, at = owner[by], h[by], place[by]
+    gap, same = np.zeros(len(by), np.int64), np.zeros(len(by), bool)
+    same[1:] = (o[1:] == o[:-1]) & (x[1:] == x[:-1])
+    gap[1:] = np.where(same[1:], at[1:] - at[:-1], 0)
+    goes_on = np.zeros(len(by), bool)
+    goes_on[2:] = same[2:] & same[1:-1] & (gap[2:] == gap[1:-1])
+    first = np.flatnonzero(~goes_on)
+    count = np.diff(np.append(first, len(by)))
+    step = np.where(count > 1, gap[np.minimum(first + 1, max(0, len(by) - 1))], 1) if len(by) else count
+    return by[first], step.astype(np.int64), count.astype(np.int64)
+
+
 def items_of(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """A row for each item with words: key, item_id, n_words and word hashes, written down."""
 
@@ -100,7 +120,7 @@ def items_of(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def seeds_of(items: DataFrame, scratch: Scratch) -> DataFrame:
-    """hash, item and place of every window of the items, written down."""
+    """hash, item and place of every window of the items, equal ones at even steps as one row (place, step, count), written down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,9 +128,13 @@ def seeds_of(items: DataFrame, scratch: Scratch) -> DataFrame:
                 h = np.frombuffer(packed, "<u8")
                 for mask, salt in masks_for(len(h)):
                     own = seed_hashes(h, mask, salt).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), item)), pa.array(np.arange(len(own)))], names=["hash", "item", "place"])
+                    at, step, count = progressions(np.zeros(len(own), np.int64), own, np.arange(len(own)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[at]), pa.array(np.full(len(at), item)), pa.array(at.astype(np.int64)), pa.array(step), pa.array(count)],
+                        names=["hash", "item", "place", "step", "count"],
+                    )
 
-    return scratch.table(items.select("item", "words").mapInArrow(lean(run), "hash long, item long, place long"), "seeds")
+    return scratch.table(items.select("item", "words").mapInArrow(lean(run), "hash long, item long, place long, step long, count long"), "seeds")
 
 
 def bitmap_of(seeds: DataFrame, n: int) -> np.ndarray:
@@ -145,7 +169,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, bitmap: np.ndarray, masks: list[tuple[np.ndarray, int]]) -> DataFrame:
-    """doc_id, text_hash, hash and place (word number) of every document window that may be a seed."""
+    """doc_id, text_hash, hash and place (word number) of every document window that may be a seed, as in ``seeds_of``."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +182,39 @@ def hits(docs: DataFrame, bitmap: np.ndarray, masks: list[tuple[np.ndarray, int]
                     at = maybe_seeds(own, sent.value)
                     at = at[owner[at] == owner[at + int(mask[-1])]]
                     if len(at):
+                        one, step, count = progressions(owner[at], own[at], at)
+                        at = at[one]
                         rows = pa.array(first + owner[at])
+                        place = (at - words.bounds[owner[at]]).astype(np.int64)
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(own[at].view(np.int64)), pa.array((at - words.bounds[owner[at]]).astype(np.int64))],
-                            names=[*KEY, "hash", "place"],
+                            [batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, (own[at].view(np.int64), place, step, count))],
+                            names=[*KEY, "hash", "place", "step", "count"],
                         )
 
-    return _keyed(docs).mapInArrow(lean(run), "doc_id long, text_hash long, hash long, place long")
+    return _keyed(docs).mapInArrow(lean(run), "doc_id long, text_hash long, hash long, place long, step long, count long")
+
+
+def diagonals_of(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """KEY, item and the shifts at which a document's and an item's equal hashes meet: from ``shift`` on ``count`` of them, ``step`` apart.
+
+    Two progressions of one step meet on one progression of shifts, so their product is never formed. Of two with different steps the
+    shorter is taken apart.
+    """
+    doc = found.withColumnsRenamed({"place": "_at", "step": "_step", "count": "_count"})
+    met = doc.join(seeds, "hash")
+    both = (F.col("count") > 1) & (F.col("_count") > 1)
+    odd = both & (F.col("step") != F.col("_step"))
+    none = F.array(F.lit(0).cast("long"))
+    parts = F.when(odd, F.sequence(F.lit(0).cast("long"), F.least("count", "_count") - 1)).otherwise(none)
+    met = met.select("*", F.explode(parts).alias("_i"))
+    own = odd & (F.col("_count") <= F.col("count"))  # the document's side is taken apart
+    at = F.col("_at") + F.when(own, F.col("_i") * F.col("_step")).otherwise(0)
+    n_doc = F.when(own, 1).otherwise(F.col("_count"))
+    place = F.col("place") + F.when(odd & ~own, F.col("_i") * F.col("step")).otherwise(0)
+    n_item = F.when(odd & ~own, 1).otherwise(F.col("count"))
+    step = F.when(n_doc > 1, F.col("_step")).when(n_item > 1, F.col("step")).otherwise(1)
+    least = at - place - F.when(n_item > 1, F.col("step") * (n_item - 1)).otherwise(0)
+    return met.select(*KEY, "item", least.alias("shift"), step.alias("step"), (n_doc + n_item - 1).alias("count")).distinct()
 
 
 def agreement(h: np.ndarray, item: np.ndarray, shift: int) -> int:
@@ -180,6 +230,17 @@ def agreement(h: np.ndarray, item: np.ndarray, shift: int) -> int:
     return int(sums[-1]) if (100 * most >= PERCENT * width if m >= SPAN else most == m) else 0
 
 
+def most_agreeing(h: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> int:
+    """Agreeing words of the best of several diagonals; none can have more than the item has words, or the document."""
+    best, bound = 0, min(len(h), len(item))
+    for shift in shifts.tolist():
+        if (n := agreement(h, item, shift)) > best:
+            best = n
+            if best == bound:
+                break
+    return best
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """A row for each document and item that overlap: doc_id, text_hash, item, item_id, n_same (agreeing words)."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -188,29 +249,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = No
     n = seeds.count()
     lengths = [r[0] for r in items.select(F.least("n_words", F.lit(SPAN))).distinct().collect()]  # SPAN rows at most
     found = hits(docs, bitmap_of(seeds, n), [m for length in sorted(lengths) for m in masks_for(length)])
-    found = found.withColumnRenamed("place", "_at").join(F.broadcast(seeds) if n <= BROADCAST_ROWS else seeds, "hash")
-    diagonals = scratch.table(found.select(*KEY, "item", (F.col("_at") - F.col("place")).alias("shift")).distinct(), "diagonals")
-    full = diagonals.join(items.select("item", "item_id", "words"), "item")
-    wanted = full.groupBy(*[F.col(k).alias("_" + k) for k in KEY]).agg(F.collect_list(F.struct("item", "item_id", "shift", "words")).alias("_to"))
-    small = diagonals.count() <= BROADCAST_ROWS // 4
-    if small:
+    diagonals = scratch.table(diagonals_of(found, F.broadcast(seeds) if n <= BROADCAST_ROWS else seeds), "diagonals")
+    shifts = diagonals.groupBy(*KEY, "item").agg(F.collect_list(F.struct("shift", "step", "count")).alias("shifts"))
+    full = scratch.table(shifts.join(items.select("item", "item_id", "words"), "item"), "pairs")  # an item's words once for each document
+    wanted = full.groupBy(*[F.col(k).alias("_" + k) for k in KEY]).agg(F.collect_list(F.struct("item", "item_id", "shifts", "words")).alias("_to"))
+    size = full.agg(F.sum(F.length("words") + 24 * F.size("shifts") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     texts = _keyed(docs)
     own = texts["doc_id"].eqNullSafe(F.col("_doc_id")) & (texts["text_hash"] == F.col("_text_hash"))
-    rows = texts.join(wanted, own).select(*KEY, "text", *[F.col(f"_to.{c}").alias(c) for c in ("item", "item_id", "shift", "words")])
+    rows = texts.join(wanted, own).select(*KEY, "text", *[F.col(f"_to.{c}").alias(c) for c in ("item", "item_id", "shifts", "words")])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, names, ids, same = [], [], [], []
-            lists = [batch.column(c).to_pylist() for c in ("item", "item_id", "shift", "words")]
+            lists = [batch.column(c).to_pylist() for c in ("item", "item_id", "shifts", "words")]
             for first, last, data, offsets in text_chunks(batch.column("text")):
                 words = Words(data, offsets)
                 h = words.hashes()
                 for i in range(first, last):
                     own = h[words.bounds[i - first] : words.bounds[i - first + 1]]
                     best: dict[int, tuple] = {}
-                    for item, item_id, shift, packed in zip(*(x[i] for x in lists)):
-                        n = agreement(own, np.frombuffer(packed, "<u8"), shift)
+                    for item, item_id, shifts, packed in zip(*(x[i] for x in lists)):
+                        words_of_item = np.frombuffer(packed, "<u8")
+                        every = np.unique(np.concatenate([s["shift"] + s["step"] * np.arange(s["count"]) for s in shifts]))
+                        n = most_agreeing(own, words_of_item, every)
                         if n > best.get(item, (0,))[0]:
                             best[item] = (n, item_id)
                     at += [i] * len(best)
