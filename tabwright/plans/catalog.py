@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tabwright.plans import cell_queries, chain_queries, evidence_queries, mutation_queries, profile_queries, program_queries, relational_queries, source_queries, template_queries
+from tabwright.plans import cell_queries, chain_queries, evidence_queries, mutation_queries, package_queries, profile_queries, program_queries, relational_queries, source_queries, template_queries
 from tabwright.plans.template_queries import flagship
 
 _TEMPLATES, _TEMPLATE_SQL = template_queries.registered()
-_FAMILIES = (relational_queries, cell_queries, source_queries, mutation_queries, evidence_queries, chain_queries, program_queries, profile_queries)
+_FAMILIES = (relational_queries, cell_queries, source_queries, mutation_queries, evidence_queries, chain_queries, program_queries, profile_queries, package_queries)
 
 QUERIES = {"flagship_region_ratio": flagship, **_TEMPLATES}
 ORACLES = {"flagship_region_ratio": template_queries.FLAGSHIP_SQL, **_TEMPLATE_SQL}
