@@ -168,10 +168,14 @@ def drop_total_rows(cells: DataFrame, profiled: DataFrame) -> DataFrame:
     return cells.join(rows.filter(total).select("table_id", "row_idx"), ["table_id", "row_idx"], "left_anti")
 
 
-def profile_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Surviving cells and the final column profile of raw tables, as plans that keep nothing."""
-    cells = with_values(explode_tables(tables))
-    kept = drop_total_rows(cells, profile(cells))
+def profile_tables(tables: DataFrame, steps: Steps | None = None) -> tuple[DataFrame, DataFrame]:
+    """Surviving cells and the final column profile of raw tables.
+
+    With ``steps`` values of cells and what survives are written once for all that reads them; without, both are plans that keep nothing.
+    """
+    keep = steps.table if steps else lambda df, _: df
+    cells = keep(with_values(explode_tables(tables)), "cells")
+    kept = keep(drop_total_rows(cells, keep(profile(cells), "first-profile")), "kept")
     return kept, profile(kept)
 
 

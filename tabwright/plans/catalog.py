@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from tabwright.plans import cell_queries, chain_queries, evidence_queries, mutation_queries, package_queries, profile_queries, program_queries, relational_queries, source_queries, template_queries
+from tabwright.plans import (
+    cell_queries,
+    chain_queries,
+    evidence_queries,
+    given_queries,
+    given_sources,
+    mutation_queries,
+    package_queries,
+    profile_queries,
+    program_queries,
+    relational_queries,
+    source_queries,
+    template_queries,
+)
 from tabwright.plans.template_queries import flagship
 
 _TEMPLATES, _TEMPLATE_SQL = template_queries.registered()
@@ -13,3 +26,10 @@ ORACLES = {"flagship_region_ratio": template_queries.FLAGSHIP_SQL, **_TEMPLATE_S
 for _family in _FAMILIES:
     QUERIES |= _family.QUERIES
     ORACLES |= _family.ORACLES
+
+#: Checks on literal vectors, for the tests alone: what is registered under their names reads the given tables.
+_GIVEN = given_queries.QUERIES | given_sources.QUERIES
+LITERAL = {n: QUERIES[n] for n in _GIVEN}
+LITERAL_ORACLES = {n: ORACLES[n] for n in _GIVEN}
+QUERIES |= _GIVEN
+ORACLES |= given_queries.ORACLES | given_sources.ORACLES

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from tabwright.operators import sqlsurface as S
 from tabwright.plans.cell_queries import tables, values_sql
 from tabwright.plans.relational_queries import _guarded, parts, read
 from tabwright.sources import files
+from tabwright.sources.scratch import shared_dir
 
 #: Tables whose columns reach the branches of the numeric and the middle rules that ordinary ones do not.
 RARE = [
@@ -106,10 +106,10 @@ PROMPTS = [
 
 
 def llm_prompts(spark, sf_dir):
-    lines = spark.createDataFrame([(json.dumps(_RECORD, ensure_ascii=False),)], "value string")
+    path = Folder(spark, "prompts").write("c.jsonl", [_RECORD])
     out = None
     for setting, _ in PROMPTS:
-        df = prompts.prompts(lines, setting).select(F.lit(setting).alias("setting"), "prompt")
+        df = prompts.read_prompts(spark, path, setting).select(F.lit(setting).alias("setting"), "prompt")
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -119,7 +119,7 @@ class Folder:
 
     def __init__(self, spark, name: str):
         self.spark = spark
-        self.root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/{name}-{os.urandom(6).hex()}"
+        self.root = f"{shared_dir(spark)}/{name}-{os.urandom(6).hex()}"
 
     def write(self, name: str, lines: list[dict | str]) -> str:
         path = f"{self.root}/{name}"

@@ -43,7 +43,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 def read_run_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions of every ``<system>/predictions.jsonl`` below a folder, with the system's name."""
     lines = spark.read.schema(PREDICTION).json(f"{folder.rstrip('/')}/*/predictions.jsonl")
-    system = F.regexp_extract(F.input_file_name(), r"([^/]+)/predictions\.jsonl$", 1)
+    system = F.regexp_extract(F.input_file_name(), r"([^/]+)/predictions\.jsonl(?:/[^/]*)?$", 1)  # a file, or a folder of its parts
     lines = lines.withColumns({"system": F.url_decode(system), "_at": F.monotonically_increasing_id()})
     return lines.groupBy("system", "id").agg(F.max_by(F.coalesce("label", F.lit("INVALID")), "_at").alias("label"))
 

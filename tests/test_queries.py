@@ -41,6 +41,13 @@ def test_query_matches_sql(spark, duck, name):
     assert canon(df.collect(), df.columns) == canon(found.fetchall(), names)
 
 
+@pytest.mark.parametrize("name", sorted(catalog.LITERAL))
+def test_literal_vectors(spark, duck, name):
+    df = catalog.LITERAL[name](spark, DIR)
+    found = duck.execute(catalog.LITERAL_ORACLES[name])
+    assert canon(df.collect(), df.columns) == canon(found.fetchall(), [d[0] for d in found.description])
+
+
 def test_flagship_has_all_verdicts(spark):
     assert {r.verdict for r in catalog.flagship(spark, DIR).collect()} >= {"SUPPORTS", "NEI"}
 
