@@ -68,14 +68,17 @@ def _template_sql(templates: list[tuple[str, str]], names: str) -> str:
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) AS x(p_partkey, {names})"
 
 
-_value = F.col("p_size") + F.lit(0.125) * (F.col("p_partkey") % 8)
+def _value() -> Column:
+    return F.col("p_size") + F.lit(0.125) * (F.col("p_partkey") % 8)
+
+
 CELLS = {
     "cell_parse_number": ([(raw, f"CAST({x} AS DOUBLE)") for raw, x in NUMBERS], lambda raw: {"num": C.parse_number(raw)}, "num"),
     "cell_entity_key": (KEYS, lambda raw: {"ekey": C.entity_key(raw)}, "ekey"),
     "cell_join_key": (JOIN_KEYS, lambda raw: {"jkey": C.join_key(raw)}, "jkey"),
     "cell_unit": (UNITS, lambda raw: {"unit": C.unit(raw)}, "unit"),
     "cell_period": (PERIODS, lambda raw: {"period": C.period(raw), "rest": F.when(C.period(raw).isNotNull(), C.period_rest(raw)).otherwise("")}, "period, rest"),
-    "cell_format_number": (FORMATS, lambda raw: {"shown": C.format_number(_value, raw)}, "shown"),
+    "cell_format_number": (FORMATS, lambda raw: {"shown": C.format_number(_value(), raw)}, "shown"),
     "cell_total_row": (TOTALS, lambda raw: {"total": C.is_total_row(raw)}, "total"),
     "cell_has_cjk": (CJK, lambda raw: {"cjk": C.has_cjk(raw)}, "cjk"),
     "cell_decimals_stated": (DECIMALS, lambda raw: {"places": C.decimals_stated(raw)}, "places"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.operators import metrics as M
@@ -12,7 +12,8 @@ from tabwright.plans.relational_queries import read
 from tabwright.sources import files
 from tabwright.sources.scratch import Steps, steps_of
 
-K = F.col("c_custkey")
+def _k() -> Column:
+    return F.col("c_custkey")
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +21,12 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
     cents = F.round(F.col("c_acctbal") * 100).cast("long").cast("string")
     rows = F.array(F.array(F.col("c_name"), cents), F.array(F.lit('a "b"'), F.col("c_mktsegment")))
-    table = F.struct(text("t", K).alias("table_id"), F.when(K % 2 == 0, F.lit("表")).alias("title"), F.array(F.lit("名"), F.lit("余额")).alias("headers"), rows.alias("rows"))
-    one = F.struct(text("t", K).alias("table_id"), F.lit(0).alias("row"), F.lit(1).alias("col"), cents.alias("raw_value"))
+    table = F.struct(text("t", _k()).alias("table_id"), F.when(_k() % 2 == 0, F.lit("表")).alias("title"), F.array(F.lit("名"), F.lit("余额")).alias("headers"), rows.alias("rows"))
+    one = F.struct(text("t", _k()).alias("table_id"), F.lit(0).alias("row"), F.lit(1).alias("col"), cents.alias("raw_value"))
     program = F.struct(F.lit("ST_SUM").alias("skeleton_id"), F.array(F.lit("sum"), F.col("c_mktsegment")).alias("operators"))
     return read(spark, sf_dir, "customer").select(
-        K.cast("string").alias("id"), text("客户", K, "有", cents).alias("claim"), F.array(table).alias("tables"), program.alias("program"),
-        F.when(K % 3 == 0, F.array(one)).alias("evidence_cells"), F.array(one).alias("context_cells"),
+        _k().cast("string").alias("id"), text("客户", _k(), "有", cents).alias("claim"), F.array(table).alias("tables"), program.alias("program"),
+        F.when(_k() % 3 == 0, F.array(one)).alias("evidence_cells"), F.array(one).alias("context_cells"),
     )
 
 
@@ -71,7 +72,7 @@ def src_prediction_sink(spark, sf_dir):
     """Customers written in two goes: the sink appends."""
     path = f"{steps_of(spark, 'src_prediction_sink').root}/predictions"
     for rest in (0, 1):
-        rows = read(spark, sf_dir, "customer").where(K % 2 == rest).select(K.cast("string").alias("id"), F.when(K % 3 == 0, "NEI").otherwise("REFUTES").alias("label"), F.col("c_mktsegment").alias("status"))
+        rows = read(spark, sf_dir, "customer").where(_k() % 2 == rest).select(_k().cast("string").alias("id"), F.when(_k() % 3 == 0, "NEI").otherwise("REFUTES").alias("label"), F.col("c_mktsegment").alias("status"))
         files.write_predictions(rows, path)
     return files.read_predictions(spark, path)
 
@@ -87,17 +88,17 @@ def src_report_sink(spark, sf_dir):
 
 def src_raw_input_hash(spark, sf_dir):
     """Hashes of raw records: absent fields are null, unknown keys of tables count."""
-    table = F.struct(K.alias("extra"), F.array(F.col("c_name")).alias("headers"))
-    raw = read(spark, sf_dir, "customer").select(K.cast("string").alias("id"), F.concat(F.lit("客户"), K).alias("claim"), F.when(K % 2 == 0, F.array(table)).alias("tables"), F.lit(1).alias("other"))
+    table = F.struct(_k().alias("extra"), F.array(F.col("c_name")).alias("headers"))
+    raw = read(spark, sf_dir, "customer").select(_k().cast("string").alias("id"), F.concat(F.lit("客户"), _k()).alias("claim"), F.when(_k() % 2 == 0, F.array(table)).alias("tables"), F.lit(1).alias("other"))
     return files.read_input_hashes(spark, _written(raw, steps_of(spark, "src_raw_input_hash"), "raw"))
 
 
 def _calls(spark, sf_dir) -> DataFrame:
     """Records of customers with nested calls: absent, without error, with an empty one, or failed."""
     call = lambda error: F.struct(F.struct(error.cast("string").alias("error")).alias("api"))
-    calls = F.when(K % 5 == 0, F.array(call(F.lit(None)), call(F.lit("timeout")))).when(K % 5 == 1, F.array(call(F.lit("")))).when(K % 5 == 2, F.array(call(F.lit(None)), F.lit(None)))
-    done = F.when(K % 4 != 0, F.array(F.struct(F.when(K % 4 == 1, F.col("c_name")).alias("result")), F.struct(F.lit("x").alias("result"))))
-    return read(spark, sf_dir, "customer").select(K.cast("string").alias("id"), F.when(K % 7 != 0, "answered").alias("status"), calls.alias("api_calls"), done.alias("operations"))
+    calls = F.when(_k() % 5 == 0, F.array(call(F.lit(None)), call(F.lit("timeout")))).when(_k() % 5 == 1, F.array(call(F.lit("")))).when(_k() % 5 == 2, F.array(call(F.lit(None)), F.lit(None)))
+    done = F.when(_k() % 4 != 0, F.array(F.struct(F.when(_k() % 4 == 1, F.col("c_name")).alias("result")), F.struct(F.lit("x").alias("result"))))
+    return read(spark, sf_dir, "customer").select(_k().cast("string").alias("id"), F.when(_k() % 7 != 0, "answered").alias("status"), calls.alias("api_calls"), done.alias("operations"))
 
 
 def src_pending_calls(spark, sf_dir):
