@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -39,7 +40,7 @@ from tabwright.llm.common import kept, lean, text_of, unused
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 150_000
 MEMO_CHARS = 100
 SLICE_CHARS = 1_000_000
 
@@ -95,7 +96,10 @@ class Model:
         self.silent = np.array([model.is_control(i) for i in range(self.size)])
         self.byte_piece = np.array([model.is_byte(i) for i in range(self.size)])
         self.decimal = [str(i) for i in range(self.size)]
+        bare = "".join(c for c in "\n\t\r\f\v" if c not in self.symbols)
+        self.word = re.compile(f"{MARK}*[^{MARK}{bare}]+|{MARK}+" + (f"|[{bare}]+" if bare else ""))
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     # ------------------------------------------------------------ encoding
 
@@ -118,18 +122,8 @@ class Model:
         return out
 
     def words(self, text: str) -> list[str]:
-        """A text's words: runs of marks with what follows up to the next mark."""
-        if not text:
-            return []
-        out, run = [], ""
-        for part in text.replace(" ", MARK).split(MARK):
-            run += MARK
-            if part:
-                out.append(run + part)
-                run = ""
-        if run:
-            out.append(run)
-        return out
+        """A text's words: runs of marks with what follows up to the next mark, or up to white space that is in no piece."""
+        return self.word.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def merged(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words, by merge rounds over all of them."""
@@ -217,19 +211,22 @@ class Model:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.words(t) for t in texts]
-        fresh = {w for words in split for w in words if w not in self.memo}
-        if fresh:
-            if len(self.memo) + len(fresh) > MEMO_ENTRIES:
-                self.memo.clear()
-                fresh = {w for words in split for w in words}
-            ordered = sorted(fresh, key=len)
-            self.memo.update(zip(ordered, self.merged(ordered), strict=True))
-        out = [list(chain.from_iterable(map(self.memo.__getitem__, words))) for words in split]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        for w in fresh:
-            if len(w) > MEMO_CHARS:
-                self.memo.pop(w, None)
+        memo, fresh = self.memo, []
+        for w in set(chain.from_iterable(split)):
+            if w not in memo:
+                if w in self.older:
+                    memo[w] = self.older[w]
+                else:
+                    fresh.append(w)
+        fresh.sort(key=len)
+        memo.update(zip(fresh, self.merged(fresh), strict=True) if fresh else ())
+        out = [list(chain.from_iterable(map(memo.__getitem__, words))) for words in split]
+        for w in reversed(fresh):
+            if len(w) <= MEMO_CHARS:
+                break
+            del memo[w]
+        if len(memo) > MEMO_ENTRIES:  # words that go on occurring come back from the older half
+            self.older, self.memo = memo, {}
         return out
 
     # ------------------------------------------------------------ decoding
