@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,46 @@ def bootstrap(pairs: DataFrame, metric: str = "macro_f1", n: int = 1000, seed: i
     return [round(100 * values[int(0.025 * n)], 1), round(100 * values[int(0.975 * n) - 1], 1)]
 
 
+#: Chances that a row is drawn at most 0, 1, 2, ... times by one resample of many rows.
+DRAWN = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10))
+
+
+def resampled(pairs: DataFrame, n: int) -> DataFrame:
+    """Every pair with the resamples that draw it: (replicate, drawn), drawn being how many times.
+
+    The generator has no state: eight hexadecimal digits of the MD5 of "block:id" are a uniform number for each of the block's four
+    replicates, so that any engine, task or rerun draws the same. Counts follow Poisson's law of mean one, as draws with
+    replacement from many rows do.
+    """
+    blocks = pairs.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4))))
+    blocks = blocks.withColumn("_h", F.md5(F.concat_ws(":", "_b", "id")))
+    parts = blocks.withColumn("_j", F.explode(F.array(*map(F.lit, range(4)))))
+    u = F.conv(F.substring("_h", F.col("_j") * 8 + 1, F.lit(8)), 16, 10).cast("double") / 4294967296.0
+    drawn = sum(F.when(u >= x, 1).otherwise(0) for x in DRAWN)
+    out = parts.withColumns({"replicate": F.col("_b") * 4 + F.col("_j"), "drawn": drawn}).drop("_b", "_h", "_j")
+    return out.where((F.col("drawn") > 0) & (F.col("replicate") < n))
+
+
+def bootstrap_intervals(pairs: DataFrame, by: str | None = None, n: int = 1000) -> DataFrame:
+    """95 % intervals in percent of accuracy and macro F1, of all pairs (id, gold, pred) or of each group.
+
+    All replicates are summed in one aggregation, in the tasks that draw them first; of each group and replicate one row moves.
+    """
+    group = (F.col(by) if by else F.lit("all")).cast("string").alias("group")
+    rows = resampled(pairs.select(group, F.col("id").cast("string").alias("id"), "gold", "pred"), n)
+    total = lambda hit: F.sum(F.when(hit, F.col("drawn")).otherwise(0))
+    gold, pred = F.col("gold"), F.col("pred")
+    sums = {"rows": F.sum("drawn"), "right": total(gold == pred)}
+    for x in LABELS:
+        sums |= {f"tp_{x}": total((gold == x) & (pred == x)), f"of_{x}": total(gold == x) + total(pred == x)}
+    per = rows.groupBy("group", "replicate").agg(*[v.alias(k) for k, v in sums.items()])
+    f1 = sum(F.coalesce(F.try_divide(2 * F.col(f"tp_{x}"), F.col(f"of_{x}")), F.lit(0.0)) for x in LABELS) / 3
+    per = per.select("group", (F.col("right") / F.col("rows")).alias("accuracy"), f1.alias("macro_f1"))
+    drawn = per.groupBy("group").agg(*[F.array_sort(F.collect_list(x)).alias(x) for x in ("accuracy", "macro_f1")])  # n numbers a group
+    at = lambda x, share, less: F.round(100 * F.get(x, F.greatest(F.lit(0), F.floor(share * F.size(x)) - less).cast("int")), 1)
+    return drawn.select("group", *[f(x).alias(f"{x}_{end}") for x in ("accuracy", "macro_f1") for end, f in (("low", lambda x: at(x, 0.025, 0)), ("high", lambda x: at(x, 0.975, 1)))])
+
+
 def _metric(cells: dict, metric: str) -> float:
     total = sum(cells.values())
     if metric == "accuracy":

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.cells import parse_number
 from tabwright.functions.verdict import INVALID, LABELS
+from tabwright.sources.scratch import Steps
 
 # Words that the strict guard rejects wherever they stand.
 WRITE_WORDS = "insert|update|delete|drop|alter|attach|detach|pragma|vacuum|create|replace"
@@ -136,6 +137,71 @@ class Observation:
     rows: list[tuple] = field(default_factory=list)
     total: int = 0
     error: str | None = None
+    used: int = 0
+    saved: bool = False
+
+
+#: Rows that a statement's operators may put out in all.
+WORK = 10_000_000
+
+
+class Work:
+    """Counts what the jobs of a tag do, as rows put out by all operators of their plans, and cancels them beyond a budget.
+
+    The count is of rows, not of time: a statement that ends is judged by its whole count, so the verdict is that of any machine. One that
+    would not end is cancelled as soon as a count of its running tasks shows it.
+    """
+
+    def __init__(self, spark: SparkSession, budget: int = WORK):
+        self.spark, self.budget = spark, budget
+        self.tag = f"tabwright-{uuid.uuid4().hex}"
+        self._over, self._done = False, threading.Event()
+
+    def rows(self) -> int:
+        store = self.spark._jsparkSession.sharedState().statusStore()
+        every, total = store.executionsList(), 0
+        for i in range(every.size()):
+            run = every.apply(i)
+            if run.description() != self.tag:
+                continue
+            values, metrics, seen = store.executionMetrics(run.executionId()), run.metrics(), set()
+            for j in range(metrics.size()):
+                metric = metrics.apply(j)
+                number = metric.accumulatorId()
+                if metric.name() == "number of output rows" and number not in seen and values.contains(number):
+                    seen.add(number)
+                    total += int(re.sub(r"\D", "", str(values.apply(number))) or 0)
+        return total
+
+    def _watch(self, every: float) -> None:
+        while not self._done.wait(every):
+            try:
+                over = self.rows() > self.budget
+            except Exception:  # a store that changes meanwhile is asked again
+                continue
+            if over:
+                self._over = True
+                self.spark.sparkContext.cancelJobsWithTag(self.tag)
+                return
+
+    def __enter__(self) -> Work:
+        self.spark.sparkContext.addJobTag(self.tag)
+        self.spark.sparkContext.setJobDescription(self.tag)  # executions are told apart by it
+        self.spark.sparkContext.setInterruptOnCancel(True)
+        self._thread = threading.Thread(target=self._watch, args=(1.0,), daemon=True)
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._done.set()
+        self._thread.join()
+        self.spark.sparkContext.removeJobTag(self.tag)
+        self.spark.sparkContext.setJobDescription(None)
+
+    def used(self) -> int:
+        """Rows counted once all is told; more than the budget if it was cancelled."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return self.budget + 1 if self._over else self.rows()
 
 
 def run_sql(spark: SparkSession, sql: str | None, show: int = OLD_SHOWN, fetch: int | None = None, seconds: float = 60, strict: bool = True) -> Observation:
@@ -162,6 +228,39 @@ def run_sql(spark: SparkSession, sql: str | None, show: int = OLD_SHOWN, fetch:
         context.removeJobTag(tag)
 
 
+def step_names(sql: str, space: str) -> str:
+    """A statement with step1, step2, ... outside of quotes as names of a conversation's own."""
+    parts = re.split(r"('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\")", sql)
+    return "".join(p if i % 2 else re.sub(r"\bstep(\d+)\b", rf"step\1_{space}", p, flags=re.I) for i, p in enumerate(parts))
+
+
+def run_step(spark: SparkSession, sql: str | None, steps: Steps, name: str, show: int = SHOWN, fetch: int = FETCHED, budget: int = WORK, strict: bool = True) -> Observation:
+    """Run a guarded statement once: its result is written, and what is shown and what later steps read is that table.
+
+    A statement that does more work than the budget is an error. Its step is saved as view ``name`` while the work done
+    leaves the budget to do it again, as saving shares the statement's budget.
+    """
+    if why := guard(spark, sql, strict):
+        return Observation(error=why)
+    work = Work(spark, budget)
+    try:
+        with work:
+            df = spark.sql(sql.strip().rstrip(";"))
+            names = df.columns
+            numbered = df.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("_at", F.monotonically_increasing_id())
+            table = steps.table(numbered, name)
+    except Exception as e:
+        return Observation(error="cost_bound" if work.used() > budget else f"sql_error: {str(e).splitlines()[0][:120]}", used=work.used())
+    used = work.used()
+    if used > budget:
+        return Observation(error="cost_bound", used=used)
+    rows = [tuple(r)[:-1] for r in table.orderBy("_at").limit(fetch).collect()]
+    saved = 2 * used <= budget and len({n.lower() for n in names}) == len(names)
+    if saved:
+        table.drop("_at").toDF(*names).createOrReplaceTempView(name)
+    return Observation(names, rows[:show], len(rows), used=used, saved=saved)
+
+
 def verdict_of(seen: Observation) -> tuple[str, str]:
     """Label and status: exactly one row and one column of value one or zero."""
     value = seen.rows[0][0] if seen.rows and seen.rows[0] else None
@@ -181,27 +280,28 @@ def answer(spark: SparkSession, attempts: list[dict], strict: bool = True) -> tu
     return INVALID, "failed_after_repair"
 
 
-def converse(spark: SparkSession, turns: list[dict], max_turns: int = 5, strict: bool = True) -> tuple[str, str, list[Observation]]:
-    """Fold recorded turns: each statement's result becomes the view stepK; errors use up a turn.
+def converse(spark: SparkSession, turns: list[dict], max_turns: int = 5, strict: bool = True, budget: int = WORK) -> tuple[str, str, list[Observation]]:
+    """Fold recorded turns: each statement's result becomes the table stepK; errors use up a turn.
 
-    The views end with the conversation, and views of these names that were there before do too. One
-    session holds one conversation at a time.
+    Every statement runs once. Steps have names of this conversation's own and end with it, so conversations may run side by side
+    in one session.
     """
     seen: list[Observation] = []
-    drop = lambda: [spark.catalog.dropTempView(f"step{k}") for k in range(1, max_turns + 1)]
-    drop()
-    try:
-        for k, turn in enumerate(turns[:max_turns], 1):
-            final = str(turn.get("final_label", "")).upper()
-            if final in LABELS:
-                return final, "answered", seen
-            got = run_sql(spark, turn.get("sql"), SHOWN, FETCHED, strict=strict)
-            seen.append(got)
-            if not got.error:
-                spark.sql(turn["sql"].strip().rstrip(";")).createOrReplaceTempView(f"step{k}")
-        return INVALID, "no_final_label", seen
-    finally:
-        drop()
+    space, made = uuid.uuid4().hex[:12], []
+    with Steps(spark) as steps:
+        try:
+            for k, turn in enumerate(turns[:max_turns], 1):
+                final = str(turn.get("final_label", "")).upper()
+                if final in LABELS:
+                    return final, "answered", seen
+                sql = turn.get("sql")
+                name = f"step{k}_{space}"
+                seen.append(run_step(spark, step_names(sql, space) if isinstance(sql, str) else sql, steps, name, budget=budget, strict=strict))
+                made.append(name)
+            return INVALID, "no_final_label", seen
+        finally:
+            for name in made:
+                spark.catalog.dropTempView(name)
 
 
 def header_names(headers: list[str]) -> list[str]:

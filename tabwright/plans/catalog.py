@@ -29,7 +29,7 @@ for _family in _FAMILIES:
 
 #: Checks on literal vectors, for the tests alone: what is registered under their names reads the given tables.
 _GIVEN = given_queries.QUERIES | given_sources.QUERIES
-LITERAL = {n: QUERIES[n] for n in _GIVEN}
-LITERAL_ORACLES = {n: ORACLES[n] for n in _GIVEN}
+LITERAL = {n: QUERIES[n] for n in _GIVEN if n in QUERIES}
+LITERAL_ORACLES = {n: ORACLES[n] for n in LITERAL}
 QUERIES |= _GIVEN
 ORACLES |= given_queries.ORACLES | given_sources.ORACLES

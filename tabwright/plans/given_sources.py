@@ -197,6 +197,18 @@ def sql_conversation(spark, sf_dir):
     return spark.createDataFrame(rows, "segment string, label string, status string, ran int, most int, nations int")
 
 
+def sql_work_budget(spark, sf_dir):
+    """The same statement under a budget of a few rows and under one that leaves room to save its step."""
+    rows = []
+    with Steps(spark) as steps:
+        for s in _segments(spark, sf_dir):
+            ask = f"SELECT c_nationkey, count(*) AS n FROM customer WHERE c_mktsegment = '{s}' GROUP BY 1"
+            tight, wide = (S.run_step(spark, ask, steps, f"budget_{i}", budget=b) for i, b in enumerate((20, S.WORK)))
+            rows.append((s, tight.error, wide.saved, wide.total))
+            spark.catalog.dropTempView("budget_1")
+    return spark.createDataFrame(rows, "segment string, tight string, saved boolean, nations int")
+
+
 def sql_no_views_left(spark, sf_dir):
     """A conversation's steps end with it: the next one does not see them."""
     rows = []
@@ -243,7 +255,7 @@ _OF_SEGMENT = "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP
 
 QUERIES = {f.__name__: f for f in (
     src_claims, src_last_line_wins, src_run_folder, src_named_inputs, src_prediction_sink, src_report_sink, src_raw_input_hash, src_pending_calls, m_call_counts, m_report_lines, src_run_identity,
-    llm_prompts, alg_package_tables, sql_answer_rounds, sql_conversation, sql_no_views_left, sql_load_table, sql_schema_text, sql_header_names,
+    llm_prompts, alg_package_tables, sql_answer_rounds, sql_conversation, sql_work_budget, sql_no_views_left, sql_load_table, sql_schema_text, sql_header_names,
 )} | {"sql_read_only_guard": _guarded_nations(True), "sql_guard_whole_plan": _guarded_nations(False)}
 
 _TWO = f"WITH l AS ({_LAST}) SELECT 'system_a' AS system, id, label FROM l UNION ALL SELECT 'system_b', id, label FROM l WHERE CAST(id AS BIGINT) % 2 = 0"
@@ -268,6 +280,7 @@ ORACLES = {
       CASE name WHEN 'abstains' THEN 'abstain' WHEN 'number' THEN 'non_boolean_or_empty_result' ELSE 'executed' END AS status FROM s, (VALUES ('one'), ('repaired'), ('number'), ('abstains')) AS x(name)""",
     "sql_conversation": """WITH n AS (SELECT c_mktsegment AS s, count(*) AS n FROM customer GROUP BY c_mktsegment, c_nationkey)
       SELECT s AS segment, 'REFUTES' AS label, 'answered' AS status, 3 AS ran, max(n) AS most, count(*) AS nations FROM n GROUP BY s""",
+    "sql_work_budget": "SELECT c_mktsegment AS segment, 'cost_bound' AS tight, true AS saved, count(DISTINCT c_nationkey) AS nations FROM customer GROUP BY 1",
     "sql_no_views_left": f"SELECT segment, n, false AS later_saw_it FROM ({_OF_SEGMENT})",
     "sql_load_table": """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row, n_name AS name, r_name AS region, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_nationkey || '%' END AS raw,
       CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey AS DOUBLE) END AS num FROM nation JOIN region ON n_regionkey = r_regionkey""",

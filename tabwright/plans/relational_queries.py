@@ -139,8 +139,25 @@ def m_last_prediction_wins(spark, sf_dir):
 
 
 def m_bootstrap_ci(spark, sf_dir):
-    low, high = M.bootstrap(pairs(spark, sf_dir))
-    return spark.createDataFrame([(low, high)], "low double, high double")
+    return M.bootstrap_intervals(pairs(spark, sf_dir), n=REPLICATES)
+
+
+def m_bootstrap_by_group(spark, sf_dir):
+    return M.bootstrap_intervals(pairs(spark, sf_dir), "lang", n=REPLICATES)
+
+
+REPLICATES = 200
+
+
+def _bootstrap_sql(group: str) -> str:
+    drawn = " + ".join(f"CAST(u >= {x!r} AS INT)" for x in M.DRAWN)
+    f1 = " + ".join(f"coalesce(2.0::DOUBLE * sum(w) FILTER (gold = '{x}' AND pred = '{x}') / nullif(coalesce(sum(w) FILTER (gold = '{x}'), 0) + coalesce(sum(w) FILTER (pred = '{x}'), 0), 0), 0)" for x in ("SUPPORTS", "REFUTES", "NEI"))
+    ends = ", ".join(f"round(100 * list_sort(list({x}))[1 + greatest(0, CAST(floor({share} * count(*)) AS INT) - {less})], 1) AS {x}_{end}" for x in ("accuracy", "macro_f1") for end, share, less in (("low", 0.025, 0), ("high", 0.975, 1)))
+    return f"""{_PAIRS.rstrip()},
+x AS (SELECT {group} AS grp, gold, pred, b * 4 + j AS rep, CAST(CAST('0x' || substr(md5(b || ':' || id), CAST(j * 8 + 1 AS BIGINT), 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM pairs, range({(REPLICATES - 1) // 4 + 1}) AS r(b), range(4) AS s(j)),
+y AS (SELECT grp, rep, gold, pred, {drawn} AS w FROM x WHERE rep < {REPLICATES}),
+z AS (SELECT grp, rep, CAST(coalesce(sum(w) FILTER (gold = pred), 0) AS DOUBLE) / sum(w) AS accuracy, ({f1}) / 3 AS macro_f1 FROM y WHERE w > 0 GROUP BY 1, 2)
+SELECT grp AS "group", {ends} FROM z GROUP BY 1"""
 
 
 # ------------------------------------------------------------------------------- SQL surface
@@ -182,7 +199,7 @@ QUERIES = {
     **{f.__name__: f for f in (alg_select_rows, alg_select_columns, alg_sort_numeric_desc_stable, alg_sort_text, alg_group_count, alg_join, alg_chain_3step)},
     **{f"alg_agg_{m}": _aggregate(m) for m in A.AGGREGATES},
     **{f"alg_derive_{m}": _derive(m) for m in A.DERIVATIONS},
-    **{f.__name__: f for f in (m_confusion, m_accuracy_f1, m_present_macro_f1, m_by_group, m_status_counts, m_last_prediction_wins, m_bootstrap_ci)},
+    **{f.__name__: f for f in (m_confusion, m_accuracy_f1, m_present_macro_f1, m_by_group, m_status_counts, m_last_prediction_wins, m_bootstrap_ci, m_bootstrap_by_group)},
     "sql_recursive_cte": _guarded(_RECURSIVE),
     "sql_window_rank": _guarded(_RANK),
     "sql_set_ops": _guarded(_SETS),
@@ -197,6 +214,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "m_bootstrap_ci": _bootstrap_sql("'all'"),
+    "m_bootstrap_by_group": _bootstrap_sql("lang"),
     "alg_select_rows": _PARTS + " SELECT CASE _row WHEN 7 THEN 0 WHEN 3 THEN 1 ELSE 2 END::BIGINT AS _row, p_name, p_brand, cents, size FROM p WHERE _row IN (7, 3, 5)",
     "alg_select_columns": _PARTS + " SELECT _row, size, p_name FROM p",
     "alg_sort_numeric_desc_stable": _PARTS + " SELECT row_number() OVER (ORDER BY size DESC, _row) - 1 AS _row, size, p_name FROM p",
