@@ -211,20 +211,26 @@ def run_sql(spark: SparkSession, sql: str | None, show: int = OLD_SHOWN, fetch:
     """
     if why := guard(spark, sql, strict):
         return Observation(error=why)
-    tag, timer = f"tabwright-{uuid.uuid4().hex}", None
+    tag, done = f"tabwright-{uuid.uuid4().hex}", threading.Event()
     context = spark.sparkContext
+
+    def limit() -> None:
+        """Jobs are cancelled again and again: one that begins after the limit ends as well."""
+        if not done.wait(seconds):
+            context.cancelJobsWithTag(tag)
+            while not done.wait(0.3):
+                context.cancelJobsWithTag(tag)
+
     try:
         context.addJobTag(tag)
-        timer = threading.Timer(seconds, context.cancelJobsWithTag, [tag])
-        timer.start()
+        threading.Thread(target=limit, daemon=True).start()
         df = spark.sql(sql.strip().rstrip(";"))
         rows = [tuple(r) for r in df.limit(fetch or show).collect()]
         return Observation(df.columns, rows[:show], len(rows))
     except Exception as e:
         return Observation(error=f"sql_error: {str(e).splitlines()[0][:120]}")
     finally:
-        if timer:
-            timer.cancel()
+        done.set()
         context.removeJobTag(tag)
 
 

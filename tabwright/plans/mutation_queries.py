@@ -20,6 +20,13 @@ def _statements(table: DataFrame) -> DataFrame:
     return table.select(F.col("k").cast("string").alias("subject"), F.col("k").alias("entity"), F.col("v").alias("stated"))
 
 
+def _claimed(table: DataFrame) -> DataFrame:
+    """Statements that give each nation the value of another one: true only where the two happen to agree."""
+    other = table.select(F.col("k").alias("_k"), F.col("v").alias("stated"))
+    named = table.select(F.col("k").cast("string").alias("subject"), F.col("k").alias("entity"))
+    return named.join(other, F.col("_k") == (F.col("entity") * 7 + 3) % 25, "left").drop("_k")
+
+
 def _next(t: Tables) -> DataFrame:
     """The entity that stands for another one: the nation of the next key, the first after the last."""
     return t.nation().select("k", F.pmod(F.col("k") + 1, F.lit(25)).alias("other"))
@@ -33,12 +40,12 @@ def _both(before: DataFrame, after: DataFrame, table: DataFrame) -> DataFrame:
 
 def mut_number(spark, sf_dir):
     table = _counts(Tables(spark, sf_dir))
-    return _both(_statements(table), U.number(_statements(table)), table)
+    return _both(_claimed(table), U.number(_claimed(table)), table)
 
 
 def mut_rank(spark, sf_dir):
     ranks = T.ranked(_counts(Tables(spark, sf_dir))).select("k", F.col("rank").alias("v"))
-    return _both(_statements(ranks), U.rank(_statements(ranks)), ranks)
+    return _both(_claimed(ranks), U.rank(_claimed(ranks)), ranks)
 
 
 def mut_entity(spark, sf_dir):
@@ -77,12 +84,12 @@ def mut_not_established(spark, sf_dir):
 
 def mut_absent_metric(spark, sf_dir):
     table = _counts(Tables(spark, sf_dir))
-    return _both(_statements(table), U.absent_metric(_statements(table)), table)
+    return _both(_claimed(table), U.absent_metric(_claimed(table)), table)
 
 
 def mut_absent_entity(spark, sf_dir):
     table = _counts(Tables(spark, sf_dir))
-    return _both(_statements(table), U.absent_entity(_statements(table), F.col("entity") + 1000), table)
+    return _both(_claimed(table), U.absent_entity(_claimed(table), F.col("entity") + 20), table)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -91,10 +98,11 @@ QUERIES = {f.__name__: f for f in (
 
 _COUNTS = "WITH c AS (SELECT c_nationkey AS k, count(*) AS v FROM customer GROUP BY 1)"
 _VERDICT = "CASE WHEN {0} IS NULL THEN 'NEI' WHEN {0} THEN 'SUPPORTS' ELSE 'REFUTES' END AS {1}"
+_CLAIMED = "c LEFT JOIN c o ON o.k = (c.k * 7 + 3) % 25"
 _OTHER = "c LEFT JOIN c o ON o.k = (c.k + 1) % 25"
 ORACLES = {
-    "mut_number": f"{_COUNTS} SELECT CAST(k AS VARCHAR) AS subject, 'SUPPORTS' AS verdict, 'REFUTES' AS mutated FROM c",
-    "mut_rank": f"{_COUNTS} SELECT CAST(k AS VARCHAR) AS subject, 'SUPPORTS' AS verdict, 'REFUTES' AS mutated FROM c",
+    "mut_number": f"{_COUNTS} SELECT CAST(c.k AS VARCHAR) AS subject, {_VERDICT.format('(c.v = o.v)', 'verdict')}, {_VERDICT.format('(c.v = o.v + 1)', 'mutated')} FROM {_CLAIMED}",
+    "mut_rank": f"{_COUNTS}, r AS (SELECT k, row_number() OVER (ORDER BY v DESC, k) AS v FROM c) SELECT CAST(c.k AS VARCHAR) AS subject, {_VERDICT.format('(c.v = o.v)', 'verdict')}, {_VERDICT.format('(c.v = o.v + 1)', 'mutated')} FROM r c LEFT JOIN r o ON o.k = (c.k * 7 + 3) % 25",
     "mut_entity": f"{_COUNTS} SELECT CAST(c.k AS VARCHAR) AS subject, 'SUPPORTS' AS verdict, {_VERDICT.format('(o.v = c.v)', 'mutated')} FROM {_OTHER}",
     "mut_entity_or_value": f"{_COUNTS} SELECT CAST(c.k AS VARCHAR) AS subject, 'SUPPORTS' AS verdict, CASE WHEN c.k % 2 = 0 THEN 'REFUTES' WHEN o.v IS NULL THEN 'NEI' WHEN o.v = c.v THEN 'SUPPORTS' ELSE 'REFUTES' END AS mutated FROM {_OTHER}",
     "mut_bridge_entity": f"""WITH b AS (SELECT n_regionkey AS r, sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
@@ -104,6 +112,6 @@ FROM nation x JOIN nation o ON o.n_nationkey = (x.n_nationkey + 1) % 25 LEFT JOI
 SELECT a.k || '/' || a.y AS subject, {_VERDICT.format('(a.v > b.v)', 'verdict')}, {_VERDICT.format('(NOT a.v > b.v)', 'mutated')} FROM y a JOIN y b ON a.k = b.k AND a.y = b.y + 1""",
     "mut_not_established": f"""WITH s AS (SELECT s_nationkey AS k, count(*) FILTER (CAST(round(s_acctbal * 100) AS BIGINT) > 500000) AS n FROM supplier GROUP BY 1)
 SELECT CAST(k AS VARCHAR) AS subject, {_VERDICT.format('(n >= 1)', 'verdict')}, {_VERDICT.format('(n = 1)', 'mutated')} FROM s""",
-    "mut_absent_metric": f"{_COUNTS} SELECT CAST(k AS VARCHAR) AS subject, 'SUPPORTS' AS verdict, 'NEI' AS mutated FROM c",
-    "mut_absent_entity": f"{_COUNTS} SELECT CAST(k AS VARCHAR) AS subject, 'SUPPORTS' AS verdict, 'NEI' AS mutated FROM c",
+    "mut_absent_metric": f"{_COUNTS} SELECT CAST(c.k AS VARCHAR) AS subject, {_VERDICT.format('(c.v = o.v)', 'verdict')}, {_VERDICT.format('(c.v = CAST(NULL AS BIGINT))', 'mutated')} FROM {_CLAIMED}",
+    "mut_absent_entity": f"{_COUNTS} SELECT CAST(c.k AS VARCHAR) AS subject, {_VERDICT.format('(c.v = o.v)', 'verdict')}, {_VERDICT.format('(n.v = o.v)', 'mutated')} FROM {_CLAIMED} LEFT JOIN c n ON n.k = c.k + 20",
 }
