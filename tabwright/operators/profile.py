@@ -168,17 +168,22 @@ def drop_total_rows(cells: DataFrame, profiled: DataFrame) -> DataFrame:
     return cells.join(rows.filter(total).select("table_id", "row_idx"), ["table_id", "row_idx"], "left_anti")
 
 
-def profile_tables(tables: DataFrame, steps: Steps | None = None) -> tuple[DataFrame, DataFrame]:
-    """Surviving cells and the final column profile of raw tables.
+def profile_cells(cells: DataFrame, steps: Steps | None = None) -> tuple[DataFrame, DataFrame]:
+    """Surviving cells and the final column profile of raw cells (table_id, row_idx, col_idx, header, raw).
 
     With ``steps`` values of cells and what survives are written once for all that reads them; without, both are plans that keep nothing.
     """
     keep = steps.table if steps else lambda df, _: df
-    cells = keep(with_values(explode_tables(tables)), "cells")
+    cells = keep(with_values(cells), "cells")
     kept = keep(drop_total_rows(cells, keep(profile(cells), "first-profile")), "kept")
     return kept, profile(kept)
 
 
+def profile_tables(tables: DataFrame, steps: Steps | None = None) -> tuple[DataFrame, DataFrame]:
+    """``profile_cells`` of whole tables (table_id, headers, rows)."""
+    return profile_cells(explode_tables(tables), steps)
+
+
 @contextmanager
 def cached_profile(tables: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
     """As ``profile_tables``, with cells and both profiles persisted while the block lasts and released after it."""

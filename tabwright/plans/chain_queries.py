@@ -6,7 +6,7 @@ are JSON, as an agent would have left them; some of them cannot be run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.operators import setwise
@@ -31,9 +31,9 @@ def packages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     customers = read("customer").select(F.col("c_custkey").alias("claim_id"))
     orders = read("orders").select(F.col("o_custkey").alias("claim_id"), "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), "o_orderstatus", "o_orderpriority")
     orders = orders.join(customers, "claim_id", "left_semi")
-    per = orders.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "cents", "o_orderstatus", "o_orderpriority"))).alias("rows"))
-    rows = per.select("claim_id", F.lit("t0").alias("name"), F.posexplode("rows").alias("row", "r"))
-    rows = rows.select("claim_id", "name", F.col("row").cast("long").alias("row"), F.array(*[F.col(f"r.{c}").cast("string") for c in ("o_orderkey", "cents", "o_orderstatus", "o_orderpriority")]).alias("cells"))
+    place = F.row_number().over(Window.partitionBy("claim_id").orderBy("o_orderkey")) - 1
+    cells = F.array(*[F.col(c).cast("string") for c in ("o_orderkey", "cents", "o_orderstatus", "o_orderpriority")])
+    rows = orders.select("claim_id", F.lit("t0").alias("name"), place.cast("long").alias("row"), cells.alias("cells"))
     weights = orders.select("claim_id", "o_orderpriority").distinct()
     place = F.conv(F.substring("o_orderpriority", 1, 1), 10, 10).cast("long")
     weights = weights.select("claim_id", F.lit("t1").alias("name"), place.alias("row"), F.array(F.concat(F.lit(" "), "o_orderpriority"), (place * 1000).cast("string")).alias("cells"))

@@ -99,7 +99,7 @@ COLUMNS = [
 
 
 def by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(table_id, headers, rows): customers of each region in the order of their keys, and a total row."""
+    """Cells of a table for each region: its customers in the order of their keys, and a total row. No table is gathered in a row."""
     for name in ("customer", "nation"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"given_{name}")
     cells = ", ".join(f"CAST({x} AS STRING)" for _, x, _ in COLUMNS)
@@ -107,8 +107,9 @@ def by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = ", ".join(f"'{h}'" for h, _, _ in COLUMNS)
     return spark.sql(f"""
       WITH c AS (SELECT concat('r', n_regionkey) AS t, c_custkey AS k, c_mktsegment AS seg, CAST(round(c_acctbal) AS BIGINT) AS v,
-        row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) AS i FROM given_customer JOIN given_nation ON c_nationkey = n_nationkey)
-      SELECT t AS table_id, array({headers}) AS headers, concat(transform(array_sort(collect_list(struct(i, array({cells}) AS x))), y -> y.x), array(array({last}))) AS rows FROM c GROUP BY t""")
+        row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) AS i FROM given_customer JOIN given_nation ON c_nationkey = n_nationkey),
+      r AS (SELECT t, i - 1 AS row_idx, array({cells}) AS x FROM c UNION ALL SELECT t, CAST(count(*) AS INT), array({last}) FROM c GROUP BY t)
+      SELECT t AS table_id, row_idx, col_idx, array({headers})[col_idx] AS header, raw FROM r LATERAL VIEW posexplode(x) AS col_idx, raw""")
 
 
 def _prelude() -> str:
@@ -135,7 +136,7 @@ WITH c AS (SELECT 'r' || n_regionkey AS t, c_custkey AS k, c_mktsegment AS seg,
 
 
 def _tables(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
-    return P.profile_tables(by_region(spark, sf_dir), steps_of(spark, name))
+    return P.profile_cells(by_region(spark, sf_dir), steps_of(spark, name))
 
 
 def _profiled(name: str, shown: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
