@@ -352,3 +352,31 @@ def usable(cells: DataFrame, profiled: DataFrame, min_rows: int = 4) -> DataFram
     """table_id, usable: a key, enough rows and a metric."""
     per = profiled.groupBy("table_id").agg(F.count_if(F.col("kind") == "key").alias("k"), F.count_if(F.col("kind") == "metric").alias("m"), F.max("n").alias("n"))
     return per.select("table_id", ((F.col("k") > 0) & (F.col("m") > 0) & (F.col("n") >= min_rows)).alias("usable"))
+
+
+# ---------------------------------------------------------------- profiles kept by content
+
+
+def content_keys(cells: DataFrame) -> DataFrame:
+    """(table_id, content): what a table holds, whatever it is called: two independent sums of hashes over its cells, in place and header."""
+    parts = ["row_idx", "col_idx", "header", "raw"]
+    one, two = F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)
+    keys = cells.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.sum(one.cast("decimal(38,0)")).alias("a"), F.sum(two.cast("decimal(38,0)")).alias("b"))
+    return keys.select("table_id", F.concat_ws(":", "n", "a", "b").alias("content"))
+
+
+def stored_profile(cells: DataFrame, store: str, steps: Steps) -> DataFrame:
+    """The profile of raw cells from a store of profiles by content; tables that it lacks are profiled, and added to it.
+
+    ``known`` tells which tables the store had. Equal tables are profiled once. Runs that add to one store at a time keep it free of repeats.
+    """
+    spark = cells.sparkSession
+    keys = steps.table(content_keys(cells), "content")
+    at = spark._jvm.org.apache.hadoop.fs.Path(store)
+    exists = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    had = spark.read.parquet(store).select("content").distinct() if exists else keys.select("content").limit(0)
+    keys = steps.table(keys.join(had.withColumn("known", F.lit(True)), "content", "left").fillna(False, ["known"]), "known")
+    unseen = keys.where("NOT known").groupBy("content").agg(F.min("table_id").alias("table_id"))
+    fresh = profile_cells(cells.join(unseen.select("table_id"), "table_id", "left_semi"), steps)[1]
+    fresh.join(unseen, "table_id").drop("table_id").write.mode("append").parquet(store)
+    return keys.join(spark.read.parquet(store), "content").drop("content")

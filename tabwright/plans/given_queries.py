@@ -195,7 +195,16 @@ def prof_cell_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CELL_AT = "SELECT v.t AS table_id, i - 1 AS row_idx, col_idx, raw FROM v JOIN customer ON v.t = 'r' || c_custkey % 7 AND i - 1 = c_custkey AND col_idx = c_custkey % 18"
 
+def prof_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of the tables of all regions after those of three had been profiled: the store is read for these."""
+    steps, cells = steps_of(spark, "prof_store"), by_region(spark, sf_dir)
+    store = f"{steps.root}/store"
+    P.stored_profile(cells.where("table_id < 'r3'"), store, steps)
+    return P.stored_profile(cells, store, steps).select("table_id", "col_idx", "kind", "known")
+
+
 QUERIES = {n: _template(t, shown) for n, (t, shown, _) in CELLS.items()} | {n: _profiled(n, f) for n, (f, _) in PROFILES.items()}
-QUERIES |= {"prof_cell_at": prof_cell_at, "prof_lookup_loose": _lookup(True, False), "prof_lookup_unique": _lookup(False, True)}
+QUERIES |= {"prof_store": prof_store, "prof_cell_at": prof_cell_at, "prof_lookup_loose": _lookup(True, False), "prof_lookup_unique": _lookup(False, True)}
 ORACLES = {n: _template_sql(t, names) for n, (t, _, names) in CELLS.items()} | {n: _prelude() + sql for n, (_, sql) in PROFILES.items()}
+ORACLES["prof_store"] = _prelude() + "SELECT table_id, col_idx, kind, table_id < 'r3' AS known FROM p"
 ORACLES |= {"prof_cell_at": _prelude() + _CELL_AT, "prof_lookup_loose": _prelude() + _LOOKUP, "prof_lookup_unique": _prelude() + _LOOKUP + " WHERE a.k % 3 <> 0"}

@@ -60,3 +60,17 @@ def test_total_rows_by_both_rules(spark):
     left = {tuple(r) for r in profile.without_total_rows(df, "name", "place", by="g").collect()}
     assert left == {rows[0], rows[1], rows[2], rows[3], rows[5], rows[7], rows[8]}
     assert profile.without_total_rows(df.where(F.col("g") == "a"), "name").count() == 5
+
+
+def test_profiles_are_kept_by_content(spark):
+    rows = [["甲国", "1"], ["乙国", "2"], ["丙国", "5"]]
+    table = lambda name, body: (name, ["国家", "金牌"], body)
+    cells = lambda *t: profile.explode_tables(spark.createDataFrame(list(t), "table_id string, headers array<string>, rows array<array<string>>"))
+    with Steps(spark) as steps:
+        store = f"{steps.root}/store"
+        first = profile.stored_profile(cells(table("a", rows), table("b", rows)), store, steps).collect()
+        assert {(r["table_id"], r["known"]) for r in first} == {("a", False), ("b", False)} and len(first) == 4
+        assert spark.read.parquet(store).count() == 2
+        again = profile.stored_profile(cells(table("c", rows), table("d", rows[::-1])), store, steps).collect()
+        assert {(r["table_id"], r["known"]) for r in again} == {("c", True), ("d", False)}
+        assert {r["kind"] for r in again if r["col_idx"] == 0} == {"key"}
