@@ -45,9 +45,10 @@ def strip(raw: Column) -> Column:
 
 
 def without_parens(raw: Column) -> Column:
-    """Innermost parenthesised runs go until none is left; as many rounds as there are closing marks."""
+    """Innermost parenthesised runs go until none is left; as many rounds as there are closing marks, and none for text without one."""
     rounds = F.length(F.regexp_replace(raw, "[^）)]", "")) + 1
-    return F.aggregate(F.sequence(F.lit(1), rounds), raw, lambda x, _: F.regexp_replace(x, PAREN_RUN, ""))
+    cut = F.aggregate(F.sequence(F.lit(1), rounds), raw, lambda x, _: F.regexp_replace(x, PAREN_RUN, ""))
+    return F.when(raw.rlike("[）)]"), cut).otherwise(raw)
 
 
 def entity_key(raw: Column) -> Column:

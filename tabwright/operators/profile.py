@@ -40,13 +40,9 @@ def explode_tables(tables: DataFrame) -> DataFrame:
 
 
 def with_values(cells: DataFrame) -> DataFrame:
-    """Add number, unit, entity key and join key of each cell, computed once for all later steps.
-
-    They leave through a generator of one row: no later step can push their expressions into itself.
-    """
+    """Add number, unit, entity key and join key of each cell. A plain projection: what several of them need is worked out once a cell."""
     raw = F.col("raw")
-    values = F.struct(C.parse_number(raw).alias("num"), C.unit(raw).alias("_unit"), C.entity_key(raw).alias("ekey"), C.join_key(raw).alias("jkey"))
-    return cells.select("*", F.inline_outer(F.array(values)))
+    return cells.select("*", C.parse_number(raw).alias("num"), C.unit(raw).alias("_unit"), C.entity_key(raw).alias("ekey"), C.join_key(raw).alias("jkey"))
 
 
 def _share(hits: Column, of: Column) -> Column:
@@ -54,33 +50,42 @@ def _share(hits: Column, of: Column) -> Column:
 
 
 def profile(cells: DataFrame) -> DataFrame:
-    """One row per column: kind, reason, ratios, period, unit, is_rate. ``cells`` as of ``with_values``."""
-    full = F.coalesce(~F.col("raw").isin(*C.MISSING), F.lit(False))
-    value = lambda x: F.when(full, x)
-    num, key = value(F.col("num")), value(F.col("ekey"))
-    whole = F.col("num") == F.floor("num")
-    signed = F.substring(C.strip(F.col("raw")), 1, 1).isin("+", "−", "–", "-") & F.col("num").isNotNull() & (F.col("num") != 0)
-    sums = cells.groupBy("table_id", "col_idx", "header").agg(
-        F.count("row_idx").alias("n"),
-        F.count_if(full).alias("filled"),
-        F.count(num).alias("nums"),
-        F.count_distinct(key).alias("keys"),
-        F.count_distinct(num).alias("values"),
-        F.min(num).alias("least"),
-        F.max(num).alias("most"),
-        F.count_if(full & F.col("num").isNotNull() & ~whole).alias("fractions"),
-        F.count_if(full & whole & F.col("num").between(1800, 2100)).alias("years"),
-        F.count_if(full & signed).alias("signs"),
-        F.count_if(full & F.col("raw").contains("%")).alias("percents"),
-        F.array_sort(F.collect_set(value(F.col("_unit")))).alias("units"),
-        F.coalesce(F.avg(value(F.length("ekey"))), F.lit(0.0)).alias("mean_length"),
-        F.count_if(full & C.has_cjk(F.col("ekey"))).alias("cjk_keys"),
-        F.count_if(full & F.col("ekey").rlike(r"(?U)\d")).alias("digit_keys"),
-    )
-    repeated = (
-        cells.filter(full).groupBy("table_id", "col_idx", "ekey").count().groupBy("table_id", "col_idx").agg(F.count_if(F.col("count") >= 2).alias("repeated"))
+    """One row per column: kind, reason, ratios, period, unit, is_rate, from raw cells.
+
+    Values are worked out once for each distinct raw text of a column. All groupings but the last, which sees a row for each unit of a column, keep
+    numbers only, so that they hash and do not sort; columns of many rows are counted in the tasks that read them.
+    """
+    own = ["table_id", "col_idx", "header"]
+    raws = cells.groupBy(*own, "raw").agg(F.count("row_idx").alias("n"), F.count(F.lit(1)).alias("k"))
+    raw, num, ekey = F.col("raw"), F.col("num"), F.col("ekey")
+    raws = raws.select(*own, "n", "k", "raw", C.parse_number(raw).alias("num"), C.unit(raw).alias("unit"), C.entity_key(raw).alias("ekey"))
+    full = F.coalesce(~raw.isin(*C.MISSING), F.lit(False))
+    whole = num == F.floor("num")
+    signed = F.substring(C.strip(raw), 1, 1).isin("+", "−", "–", "-") & (num != 0)
+    hits = {
+        "filled": F.lit(True), "nums": num.isNotNull(), "fractions": num.isNotNull() & ~whole, "years": whole & num.between(1800, 2100), "signs": signed,
+        "percents": raw.contains("%"), "cjk_keys": C.has_cjk(ekey), "digit_keys": ekey.rlike(r"(?U)\d"),
+    }
+    sums = ["n", *hits, "length"]
+    counted = [F.when(full & hit, F.col("k")).otherwise(0).alias(name) for name, hit in hits.items()]
+    raws = raws.select(*own, "n", *counted, F.when(full, F.length("ekey") * F.col("k")).otherwise(0).alias("length"), *[F.when(full, F.col(x)).alias(x) for x in ("num", "unit", "ekey")])
+    # A row with the measures under its key, one with its number and one with its unit: each is then distinct in one grouping.
+    none = F.lit(None)
+    row = lambda what, text, number, carries: F.struct(
+        F.lit(what).alias("what"), text.cast("string").alias("text"), number.cast("double").alias("num"), *[(F.col(x) if carries else F.lit(0)).cast("long").alias(x) for x in sums]
     )
-    return typed(sums.join(repeated, ["table_id", "col_idx"], "left").fillna(0, ["repeated"]))
+    rows = raws.select(*own, F.inline(F.array(row("key", ekey, none, True), row("number", none, num, False), row("unit", F.col("unit"), none, False))))
+    rows = rows.where("what = 'key' OR text IS NOT NULL OR num IS NOT NULL")
+    rows = rows.groupBy(*own, "what", "text", "num").agg(*[F.sum(x).alias(x) for x in sums])
+    is_key = (F.col("what") == "key") & F.col("text").isNotNull()
+    per = rows.groupBy(*own, F.when(F.col("what") == "unit", F.col("text")).alias("unit")).agg(
+        *[F.sum(x).alias(x) for x in sums],
+        F.count_if(is_key).alias("keys"), F.count_if(is_key & (F.col("filled") >= 2)).alias("repeated"), F.count("num").alias("values"), F.min("num").alias("least"), F.max("num").alias("most"),
+    )
+    per = per.groupBy(*own).agg(
+        *[F.sum(x).alias(x) for x in (*sums, "keys", "repeated", "values")], F.min("least").alias("least"), F.max("most").alias("most"), F.array_sort(F.collect_set("unit")).alias("units"),
+    )
+    return typed(per.withColumn("mean_length", _share(F.col("length"), F.col("filled"))))
 
 
 def typed(sums: DataFrame) -> DataFrame:
@@ -148,34 +153,45 @@ def rank_columns(profiled: DataFrame) -> DataFrame:
     return profiled.filter("kind = 'rank'").groupBy("table_id").agg(F.min("col_idx").alias("rank"))
 
 
-def drop_total_rows(cells: DataFrame, profiled: DataFrame) -> DataFrame:
-    """Cells without total rows, in their original row numbers."""
+def row_marks(cells: DataFrame, profiled: DataFrame) -> DataFrame:
+    """(table_id, row_idx, labelled, ranked, has_rank): whether a row has a total label and a number in its table's rank column."""
     is_key, is_rank = F.col("kind") == "key", F.col("kind") == "rank"
     roles = profiled.groupBy("table_id").agg(
         F.min_by("col_idx", F.when(is_key, F.struct(~F.col("header").rlike(KEY_HINT), F.col("col_idx")))).alias("key"),
         F.min(F.when(is_rank, F.col("col_idx"))).alias("rank"),
     )
-    marked = cells.join(roles, "table_id")
-    first_cjk = F.min_by("ekey", F.when(F.coalesce(F.col("raw") != "", F.lit(False)) & C.has_cjk(F.col("raw")), F.col("col_idx")))
-    rows = marked.groupBy("table_id", "row_idx").agg(
-        F.coalesce(F.max(F.when(F.col("col_idx") == F.col("key"), F.col("ekey"))), F.when(F.max("key").isNull(), first_cjk), F.lit("")).alias("label"),
-        F.max(F.when(F.col("col_idx") == F.col("rank"), F.col("num"))).isNotNull().alias("ranked"),
-        F.max("rank").isNotNull().alias("has_rank"),
-    )
-    ranks = rows.groupBy("table_id").agg(F.count_if("ranked").alias("_ranked"), F.count(F.lit(1)).alias("_all"))
-    rows = rows.join(ranks, "table_id")
-    total = C.is_total_row(F.col("label")) | (F.col("has_rank") & (F.col("_ranked") >= 0.8 * F.col("_all")) & ~F.col("ranked"))
-    return cells.join(rows.filter(total).select("table_id", "row_idx"), ["table_id", "row_idx"], "left_anti")
+    raw, at, total = F.col("raw"), F.col("col_idx"), C.is_total_row(C.entity_key(F.col("raw")))
+    # without a key column the first cell with Chinese text labels a row; its place and its verdict are one number, the least of which is the first cell's
+    first = F.when(F.col("key").isNull() & F.coalesce(raw != "", F.lit(False)) & C.has_cjk(raw), at.cast("long") * 2 + total.cast("int"))
+    rows = cells.join(roles, "table_id").groupBy("table_id", "row_idx").agg(
+        F.max(F.when(at == F.col("key"), total)).alias("_own"), F.min(first).alias("_first"),
+        F.coalesce(F.max(F.when(at == F.col("rank"), C.parse_number(raw).isNotNull())), F.lit(False)).alias("ranked"), F.max("rank").isNotNull().alias("has_rank"),
+    )
+    return rows.select("table_id", "row_idx", F.coalesce("_own", F.pmod("_first", F.lit(2)) == 1, F.lit(False)).alias("labelled"), "ranked", "has_rank")
+
+
+def total_rows(marks: DataFrame) -> DataFrame:
+    """(table_id, row_idx) of total rows, from ``row_marks``: those with a total label, or without a rank where four fifths of a table's rows have one."""
+    ranks = marks.groupBy("table_id").agg(F.count_if("ranked").alias("_ranked"), F.count(F.lit(1)).alias("_all"))
+    total = F.col("labelled") | (F.col("has_rank") & (F.col("_ranked") >= 0.8 * F.col("_all")) & ~F.col("ranked"))
+    return marks.join(ranks, "table_id").filter(total).select("table_id", "row_idx")
+
+
+def drop_total_rows(cells: DataFrame, profiled: DataFrame) -> DataFrame:
+    """Cells without total rows, in their original row numbers."""
+    return cells.join(total_rows(row_marks(cells, profiled)), ["table_id", "row_idx"], "left_anti")
 
 
 def profile_cells(cells: DataFrame, steps: Steps | None = None) -> tuple[DataFrame, DataFrame]:
     """Surviving cells and the final column profile of raw cells (table_id, row_idx, col_idx, header, raw).
 
-    With ``steps`` values of cells and what survives are written once for all that reads them; without, both are plans that keep nothing.
+    With ``steps`` cells, the first profile and the total rows are written once for all that reads them; without, all are plans that keep nothing.
+    What survives is not written again: it is the cells without the few rows that go.
     """
     keep = steps.table if steps else lambda df, _: df
-    cells = keep(with_values(cells), "cells")
-    kept = keep(drop_total_rows(cells, keep(profile(cells), "first-profile")), "kept")
+    cells = keep(cells, "cells")
+    marks = keep(row_marks(cells, keep(profile(cells), "first-profile")), "marks")
+    kept = cells.join(keep(total_rows(marks), "totals"), ["table_id", "row_idx"], "left_anti")
     return kept, profile(kept)
 
 
@@ -194,7 +210,7 @@ def cached_profile(tables: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
         return df
 
     try:
-        cells = keep(with_values(explode_tables(tables)))
+        cells = keep(explode_tables(tables))
         kept = keep(drop_total_rows(cells, keep(profile(cells))))
         yield kept, keep(profile(kept))
     finally:
@@ -329,7 +345,7 @@ def column_by_header(profiled: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def key_values(cells: DataFrame, profiled: DataFrame) -> DataFrame:
     """table_id, row_idx and entity key of the key column's cells; tables without a key have none."""
-    return cells.join(key_columns(profiled), "table_id").filter("col_idx = key AND row_idx IS NOT NULL").select("table_id", "row_idx", "ekey")
+    return cells.join(key_columns(profiled), "table_id").filter("col_idx = key AND row_idx IS NOT NULL").select("table_id", "row_idx", C.entity_key(F.col("raw")).alias("ekey"))
 
 
 def cell_at(cells: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -339,8 +355,8 @@ def cell_at(cells: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def lookup(cells: DataFrame, profiled: DataFrame, wanted: DataFrame, loose: bool = False, unique: bool = False) -> DataFrame:
     """Rows whose key equals ``wanted`` (table_id, name); unique: only tables and names with a single hit."""
-    norm, own = (C.join_key, "jkey") if loose else (C.entity_key, "ekey")
-    keyed = cells.join(key_columns(profiled), "table_id").filter("col_idx = key").select("table_id", "row_idx", F.col(own).alias("_norm"))
+    norm = C.join_key if loose else C.entity_key
+    keyed = cells.join(key_columns(profiled), "table_id").filter("col_idx = key").select("table_id", "row_idx", norm(F.col("raw")).alias("_norm"))
     hits = wanted.withColumn("_norm", norm(F.col("name"))).join(keyed, ["table_id", "_norm"])
     if unique:
         single = hits.groupBy("table_id", "name").count().filter("count = 1").drop("count")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions import cells as C
@@ -98,18 +98,30 @@ COLUMNS = [
 ]
 
 
+#: Stretches of customers' keys that are numbered on their own.
+STRETCHES = 64
+
+
 def by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of a table for each region: its customers in the order of their keys, and a total row. No table is gathered in a row."""
-    for name in ("customer", "nation"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"given_{name}")
-    cells = ", ".join(f"CAST({x} AS STRING)" for _, x, _ in COLUMNS)
-    last = ", ".join(f"CAST({x} AS STRING)" for _, _, x in COLUMNS)
-    headers = ", ".join(f"'{h}'" for h, _, _ in COLUMNS)
-    return spark.sql(f"""
-      WITH c AS (SELECT concat('r', n_regionkey) AS t, c_custkey AS k, c_mktsegment AS seg, CAST(round(c_acctbal) AS BIGINT) AS v,
-        row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) AS i FROM given_customer JOIN given_nation ON c_nationkey = n_nationkey),
-      r AS (SELECT t, i - 1 AS row_idx, array({cells}) AS x FROM c UNION ALL SELECT t, CAST(count(*) AS INT), array({last}) FROM c GROUP BY t)
-      SELECT t AS table_id, row_idx, col_idx, array({headers})[col_idx] AS header, raw FROM r LATERAL VIEW posexplode(x) AS col_idx, raw""")
+    """Cells of a table for each region: its customers in the order of their keys, and a total row. No table is gathered in a row or a task.
+
+    Rows are numbered within stretches of keys that are cut at quantiles, and moved on by the rows of the stretches before.
+    """
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("customer", "nation"))
+    given = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.concat(F.lit("r"), "n_regionkey").alias("t"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), F.round("c_acctbal").cast("long").alias("v")
+    )
+    edges = sorted(set(given.agg(F.percentile_approx("k", [i / STRETCHES for i in range(1, STRETCHES)], 10 * STRETCHES)).first()[0] or []))  # fixed in number
+    given = given.withColumn("part", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("k"))) if edges else F.lit(0))
+    earlier = Window.partitionBy("t").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = given.groupBy("t", "part").agg(F.count(F.lit(1)).alias("n")).select("t", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    rows = given.withColumn("i", F.row_number().over(Window.partitionBy("t", "part").orderBy("k"))).join(F.broadcast(starts), ["t", "part"])
+    rows = rows.withColumn("i", (F.col("i") + F.col("start")).cast("int"))
+    array = lambda cells: F.array(*[F.expr(f"CAST({x} AS STRING)") for x in cells])
+    body = rows.select("t", (F.col("i") - 1).alias("row_idx"), array(x for _, x, _ in COLUMNS).alias("x"))
+    totals = given.groupBy("t").agg(F.count(F.lit(1)).cast("int").alias("row_idx"), array(x for _, _, x in COLUMNS).alias("x"))
+    out = body.unionByName(totals).select(F.col("t").alias("table_id"), "row_idx", F.posexplode("x").alias("col_idx", "raw"))
+    return out.select("table_id", "row_idx", "col_idx", F.get(F.array(*[F.lit(h) for h, _, _ in COLUMNS]), F.col("col_idx")).alias("header"), "raw")
 
 
 def _prelude() -> str:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.operators import profile, sqlsurface
+from tabwright.plans import given_queries
 from tabwright.plans.cell_queries import TABLES
 from tabwright.sources.scratch import Steps
 
@@ -74,3 +75,29 @@ def test_profiles_are_kept_by_content(spark):
         again = profile.stored_profile(cells(table("c", rows), table("d", rows[::-1])), store, steps).collect()
         assert {(r["table_id"], r["known"]) for r in again} == {("c", True), ("d", False)}
         assert {r["kind"] for r in again if r["col_idx"] == 0} == {"key"}
+
+
+def test_profiles_and_total_rows_hash_and_do_not_sort(spark):
+    """Cells meet in groupings that keep numbers only, and values are worked out for distinct texts: no grouping of all cells sorts them or holds their texts."""
+    cells = profile.explode_tables(spark.createDataFrame(TABLES, "table_id string, headers array<string>, rows array<array<string>>"))
+    with Steps(spark) as steps:
+        first = steps.table(profile.profile(cells), "first")
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan(profile.row_marks(cells, first)).splitlines() if "SortAggregate" in x and "row_idx" in x]
+        assert "SortAggregate" not in plan(profile.profile(cells)) and "Expand" not in plan(profile.profile(cells))
+
+
+def test_repeated_and_missing_values_count_as_often_as_they_stand(spark):
+    rows = [["甲国", "5"], ["甲国", "5"], ["乙国", "5.0"], ["丙国", "—"], ["乙国（注）", None], ["丁国", "7 km²"]]
+    found = profile.profile(profile.explode_tables(spark.createDataFrame([("t", ["国家", "数量"], rows)], "table_id string, headers array<string>, rows array<array<string>>")))
+    got = {r["col_idx"]: r for r in found.collect()}
+    assert (got[0]["n"], got[0]["unique_ratio"], got[0]["numeric_ratio"]) == (6, round(4 / 6, 3), 0.0)
+    assert (got[1]["n"], got[1]["unique_ratio"], got[1]["numeric_ratio"], got[1]["reason"]) == (6, 0.75, 1.0, "mixed_units")
+
+
+def test_rows_of_regions_are_numbered_in_stretches(spark):
+    found = given_queries.by_region(spark, "/root/testdata/sf0.001")
+    per = found.groupBy("table_id").agg(F.count_distinct("row_idx").alias("n"), F.max("row_idx").alias("last"), F.min("row_idx").alias("first"))
+    assert all(r["n"] == r["last"] + 1 and r["first"] == 0 for r in per.collect())
+    windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in x]
+    assert windows and all("part#" in x.split("windowspecdefinition(")[1].split(" ASC")[0] for x in windows)
