@@ -209,7 +209,8 @@ _CELL_AT = "SELECT v.t AS table_id, i - 1 AS row_idx, col_idx, raw FROM v JOIN c
 
 def prof_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of the tables of all regions after those of three had been profiled: the store is read for these."""
-    steps, cells = steps_of(spark, "prof_store"), by_region(spark, sf_dir)
+    steps = steps_of(spark, "prof_store")
+    cells = steps.table(by_region(spark, sf_dir), "given")
     store = f"{steps.root}/store"
     P.stored_profile(cells.where("table_id < 'r3'"), store, steps)
     return P.stored_profile(cells, store, steps).select("table_id", "col_idx", "kind", "known")
