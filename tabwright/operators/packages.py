@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.functions.cells import join_key
 from tabwright.operators import profile as P
 from tabwright.sources.scratch import Steps
 
@@ -25,12 +26,18 @@ from tabwright.sources.scratch import Steps
 LEAST_VALUES = 2
 
 
-def references(cells: DataFrame, profiled: DataFrame, packages: DataFrame) -> DataFrame:
+def column_values(cells: DataFrame) -> DataFrame:
+    """(table_id, col_idx, jkey): the distinct join keys of each column, worked out once for each distinct text. Blank ones refer to nothing."""
+    raws = cells.where("row_idx IS NOT NULL").select("table_id", "col_idx", "raw").distinct()
+    return raws.select("table_id", "col_idx", join_key(F.col("raw")).alias("jkey")).distinct().where("jkey <> ''")
+
+
+def references(values: DataFrame, profiled: DataFrame, packages: DataFrame) -> DataFrame:
     """(package_id, a, col, b, shared, size, of_key, b_size): columns of table a that share values with the key column of table b.
 
-    cells and profiled as of ``profile``, packages (package_id, table_id). Values are join keys, blank ones refer to nothing.
+    values as of ``column_values``, profiled as of ``profile``, packages (package_id, table_id).
     """
-    values = cells.where("row_idx IS NOT NULL AND jkey <> ''").select("table_id", "col_idx", "jkey").distinct().join(packages, "table_id")
+    values = values.join(packages, "table_id")
     sizes = values.groupBy("package_id", "table_id", "col_idx").agg(F.count(F.lit(1)).alias("size"))
     keys = P.key_columns(profiled)
     index = values.join(keys, "table_id").where("col_idx = key").select("package_id", "jkey", F.col("table_id").alias("b"))
@@ -61,11 +68,12 @@ def package_kinds(cells: DataFrame, packages: DataFrame, steps: Steps) -> DataFr
 
     A table may be in several packages.
     """
-    cells = steps.table(P.with_values(cells), "values")
+    cells = steps.table(cells, "cells")
+    values = steps.table(column_values(cells), "values")
     profiled = steps.table(P.profile(cells), "profile")
     traits = steps.table(_traits(profiled, packages), "traits")
     kinds = profiled.select(F.col("table_id").alias("a"), F.col("col_idx").alias("col"), F.col("kind").alias("col_kind"))
-    found = references(cells, profiled, packages.select("package_id", "table_id").distinct()).join(kinds, ["a", "col"])
+    found = references(values, profiled, packages.select("package_id", "table_id").distinct()).join(kinds, ["a", "col"])
     b = traits.select("package_id", F.col("table_id").alias("b"), F.col("ranked").alias("b_ranked"), F.col("divided").alias("b_divided"))
     found = steps.table(found.join(b, ["package_id", "b"]), "references")
     whole = (F.col("shared") == F.col("size")) & (F.col("size") >= LEAST_VALUES)

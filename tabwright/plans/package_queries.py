@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.operators import packages
-from tabwright.sources.scratch import steps_of
+from tabwright.sources.scratch import Steps, steps_of
 
 SHAPES = ("single", "divided", "years", "halves", "ranking", "classes", "segments", "chain", "hub")
 
 
-def cut(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Cells of all packages' tables, and (package_id, table_id, period)."""
+def cut(spark: SparkSession, sf_dir: str, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """Cells of all packages' tables, and (package_id, table_id, period). Orders are joined and counted once for the four tables of years."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     c = F.col
     nation = read("nation").select("n_nationkey", F.concat(F.lit("国"), "n_name").alias("nat"), c("n_regionkey").alias("r"))
@@ -24,6 +24,7 @@ def cut(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     customer = read("customer").join(nation, c("c_nationkey") == c("n_nationkey")).select("r", c("c_custkey").alias("k"), F.concat(F.lit("客"), "c_custkey").alias("name"), "nat", c("c_nationkey").alias("n"), F.concat(F.lit("类"), "c_mktsegment").alias("seg"), F.round(c("c_acctbal")).cast("long").alias("v"))
     size = customer.groupBy("r", c("n").alias("k"), "nat").agg(F.count(F.lit(1)).alias("v"))
     years = read("orders").join(customer, c("o_custkey") == c("k")).groupBy("r", c("n").alias("k"), "nat", F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("v"))
+    years = steps.table(years, "years")
     listed = nation.join(region, "r").select("r", c("n_nationkey").alias("k"), "nat", "reg", F.when(c("n_nationkey") % 2 == 0, "甲类").otherwise("乙类").alias("cls"))
     around = listed.withColumn("r", F.explode(F.array(c("r"), (c("r") + 4) % 5))).where((c("r") % 3 != 1) | (c("k") % 4 != 0))
     ranked = size.groupBy("r").agg(F.array_sort(F.collect_list(F.struct((-c("v")).alias("v"), "k", "nat"))).alias("s")).select("r", F.posexplode("s").alias("i", "x"))
@@ -57,8 +58,8 @@ def cut(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def pkg_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, tables = cut(spark, sf_dir)
-    return packages.package_kinds(cells, tables, steps_of(spark, "pkg_kinds"))
+    steps = steps_of(spark, "pkg_kinds")
+    return packages.package_kinds(*cut(spark, sf_dir, steps), steps)
 
 
 KINDS_SQL = """

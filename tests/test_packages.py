@@ -31,3 +31,10 @@ def test_kinds(spark, swapped):
         found = packages.package_kinds(cells, spark.createDataFrame(members, "package_id string, table_id string, period int"), steps).collect()
     assert {r["package_id"]: r["kind"] for r in found} == {k: k for k in SETS}
     assert {r["package_id"]: r["n_tables"] for r in found} == {k: len(v) for k, v in SETS.items()}
+
+
+def test_values_of_columns_are_of_distinct_texts(spark):
+    rows = [["挪威队", "1"], ["挪威队", "1"], ["挪威", " "], [" 挪威 ", None]] * 3
+    cells = profile.explode_tables(spark.createDataFrame([("t", ["国家", "金牌"], rows)], "table_id string, headers array<string>, rows array<array<string>>"))
+    assert {tuple(r) for r in packages.column_values(cells).collect()} == {("t", 0, "挪威"), ("t", 1, "1")}
+    assert packages.column_values(cells).count() == 2
