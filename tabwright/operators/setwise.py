@@ -182,11 +182,10 @@ def _results(good: DataFrame, rows: DataFrame) -> DataFrame:
     met = rows.join(good.where("op <> 'join'").select("claim_id", F.col("table").alias("name"), *kinds), ["claim_id", "name"])
     op, method = F.col("op"), F.col("method")
     one, two = F.get("cells", F.coalesce("column", "left").cast("int")), F.get("cells", F.col("right").cast("int"))
-    read = lambda x: F.coalesce(x["d"], parse_number(x["t"]))
     needed = ((op == "sort") & F.col("numeric")) | ((op == "aggregate") & (method != "count")) | (op == "derive")
-    # numbers leave through a generator of one row, so that no later step works them out again
-    values = F.struct(one.alias("one"), F.when(needed, read(one)).alias("x"), F.when(op == "derive", read(two)).alias("y"))
-    met = met.select("*", F.inline(F.array(values))).withColumn("needed", needed)
+    # A cell is computed or read, so of both numbers one is null. None of this is in a branch or a generator: what parsing repeats is then worked out once.
+    read = lambda c, asked: F.greatest(F.when(asked, c["d"]), parse_number(F.when(asked & c["d"].isNull(), c["t"])))
+    met = met.select("*", one.alias("one"), read(one, needed).alias("x"), read(two, op == "derive").alias("y"), needed.alias("needed"))
     x, y = F.col("x"), F.col("y")
     fails = F.when(F.col("needed") & (x.isNull() | ((op == "derive") & y.isNull())), "not_a_scalar_number").when((op == "derive") & (method == "ratio") & (y == 0), "division_by_zero")
     derived = F.when(method == "add", x + y).when(method == "subtract", x - y).otherwise(F.try_divide(x, y))
@@ -239,7 +238,9 @@ def run_chains(rows: DataFrame, headers: DataFrame, actions: DataFrame, steps: S
     """
     filled = F.transform("cells", lambda x: cell(F.coalesce(x, F.lit(""))))
     short = F.greatest(F.size("headers") - F.size("cells"), F.lit(0))
+    headers = steps.table(headers, "headers")
     rows = rows.join(headers, ["claim_id", "name"]).select("claim_id", "name", "row", F.concat(filled, F.array_repeat(cell(F.lit("")), short)).alias("cells"))
+    rows = steps.table(rows, "rows")  # each step reads them several times
     todo = steps.table(typed_actions(actions, max_operations), "actions")
     told = []
     for k in range(max_operations):

@@ -85,3 +85,12 @@ def test_what_fails(run):
 def test_how_chains_end(run):
     for i, (chain, label, status) in enumerate(OTHERS, len(CHAINS) + len(FAIL)):
         assert (run[0][str(i)]["label"], run[0][str(i)]["status"]) == (label, status), chain
+
+
+def test_given_rows_are_made_once(spark):
+    """Rows and headers that come from a plan are written before the first step: each step reads them several times."""
+    rows, headers = setwise.from_packages(spark.createDataFrame([("1", TABLES[:1])], "claim_id string, tables array<struct<headers:array<string>,rows:array<array<string>>>>"))
+    with Steps(spark) as steps:
+        out = setwise.run_chains(rows, headers, spark.createDataFrame([("1", ['{"op":"sort","table":"t0","column":1,"descending":true}', '{"label":"NEI"}'])], "claim_id string, actions array<string>"), steps)
+        plan = out.rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "LogicalRDD" not in plan and out.rows.where("name = 't0'").count() == 5
