@@ -49,16 +49,27 @@ def _share(hits: Column, of: Column) -> Column:
     return F.coalesce(F.try_divide(hits, of), F.lit(0.0))
 
 
+def valued(texts: DataFrame) -> DataFrame:
+    """Number, unit and entity key beside each raw text."""
+    raw = F.col("raw")
+    return texts.select("*", C.parse_number(raw).alias("num"), C.unit(raw).alias("unit"), C.entity_key(raw).alias("ekey"))
+
+
 def profile(cells: DataFrame) -> DataFrame:
     """One row per column: kind, reason, ratios, period, unit, is_rate, from raw cells.
 
-    Values are worked out once for each distinct raw text of a column. All groupings but the last, which sees a row for each unit of a column, keep
-    numbers only, so that they hash and do not sort; columns of many rows are counted in the tasks that read them.
+    Values are worked out once for each distinct raw text of a column; columns of many rows are counted in the tasks that read them.
     """
     own = ["table_id", "col_idx", "header"]
-    raws = cells.groupBy(*own, "raw").agg(F.count("row_idx").alias("n"), F.count(F.lit(1)).alias("k"))
+    return typed(_measures(valued(cells.groupBy(*own, "raw").agg(F.count("row_idx").alias("n"), F.count(F.lit(1)).alias("k"))), own))
+
+
+def _measures(raws: DataFrame, own: list[str]) -> DataFrame:
+    """What ``typed`` asks of each column, from its distinct raw texts (raw, n, k, num, unit, ekey): n rows and k cells hold a text.
+
+    All groupings but the last, which sees a row for each unit of a column, keep numbers only, so that they hash and do not sort.
+    """
     raw, num, ekey = F.col("raw"), F.col("num"), F.col("ekey")
-    raws = raws.select(*own, "n", "k", "raw", C.parse_number(raw).alias("num"), C.unit(raw).alias("unit"), C.entity_key(raw).alias("ekey"))
     full = F.coalesce(~raw.isin(*C.MISSING), F.lit(False))
     whole = num == F.floor("num")
     signed = F.substring(C.strip(raw), 1, 1).isin("+", "−", "–", "-") & (num != 0)
@@ -85,7 +96,7 @@ def profile(cells: DataFrame) -> DataFrame:
     per = per.groupBy(*own).agg(
         *[F.sum(x).alias(x) for x in (*sums, "keys", "repeated", "values")], F.min("least").alias("least"), F.max("most").alias("most"), F.array_sort(F.collect_set("unit")).alias("units"),
     )
-    return typed(per.withColumn("mean_length", _share(F.col("length"), F.col("filled"))))
+    return per.withColumn("mean_length", _share(F.col("length"), F.col("filled")))
 
 
 def typed(sums: DataFrame) -> DataFrame:
@@ -221,72 +232,27 @@ def cached_profile(tables: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
 # ---------------------------------------------------------------- wide tables
 
 
-def wide_values(df: DataFrame, steps: Steps) -> DataFrame:
-    """A wide table with number, unit and entity key beside the raw text of each cell, column i as struct ``c<i>``, written once for both passes."""
-    raws = [F.coalesce(df["`" + c.replace("`", "``") + "`"].cast("string"), F.lit("")) for c in df.columns]
+def _wide_raw(df: DataFrame) -> list[Column]:
+    return [F.coalesce(df["`" + c.replace("`", "``") + "`"].cast("string"), F.lit("")) for c in df.columns]
+
+
+def wide_values(df: DataFrame) -> DataFrame:
+    """A wide table with number, unit and entity key beside the raw text of each cell, column i as struct ``c<i>``. A plain projection."""
     one = lambda r: F.struct(r.alias("raw"), C.parse_number(r).alias("num"), C.unit(r).alias("unit"), C.entity_key(r).alias("ekey"))
-    return steps.table(df.select(*[one(r).alias(f"c{i}") for i, r in enumerate(raws)]), "values")
+    return df.select(*[one(r).alias(f"c{i}") for i, r in enumerate(_wide_raw(df))])
 
 
-def profile_wide(flat: DataFrame, names: list[str], table_id: str, exact_ratios: bool = True) -> DataFrame:
-    """The profile of one wide table of values (``wide_values``) under these headers, as ``profile`` gives it, without a row for each cell.
+def wide_texts(df: DataFrame) -> DataFrame:
+    """(col_idx, raw, k): how many cells of each column of a wide table hold each raw text; an empty table keeps its columns, with 0 empty texts."""
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("col_idx"), r.alias("raw"), F.lit(1).cast("long").alias("k")) for i, r in enumerate(_wide_raw(df))])))
+    columns = df.sparkSession.createDataFrame([(i, "", 0) for i in range(len(df.columns))], "col_idx int, raw string, k long")
+    return cells.unionByName(columns).groupBy("col_idx", "raw").agg(F.sum("k").alias("k"))
 
-    One aggregation takes all measures of all columns and a sketch of how many keys each has: its state does not grow with the table. What a
-    sketch cannot decide is counted exactly in a second pass: keys of text columns, unless their sketch is far from every limit, and numbers
-    that may be a sequence. With ``exact_ratios`` keys of all columns are counted, else unique ratios that no kind hangs on are estimates.
-    """
-    measures = []
-    for i in range(len(names)):
-        c = F.col(f"c{i}")
-        full = ~c["raw"].isin(*C.MISSING)
-        num, key = F.when(full, c["num"]), F.when(full, c["ekey"])
-        unit = F.when(full, c["unit"])
-        signed = full & F.substring(C.strip(c["raw"]), 1, 1).isin("+", "−", "–", "-") & (c["num"] != 0)
-        measures.append(F.struct(
-            F.lit(i).alias("col_idx"), F.lit(names[i]).alias("header"), F.count(F.lit(1)).alias("n"), F.count_if(full).alias("filled"), F.count(num).alias("nums"),
-            F.approx_count_distinct(key, 0.02).alias("about"), F.min(num).alias("least"), F.max(num).alias("most"),
-            F.count_if(full & (c["num"] != F.floor(c["num"]))).alias("fractions"),
-            F.count_if(full & (c["num"] == F.floor(c["num"])) & c["num"].between(1800, 2100)).alias("years"), F.count_if(signed).alias("signs"),
-            F.count_if(full & c["raw"].contains("%")).alias("percents"),
-            F.when(F.min(unit) == F.max(unit), F.array(F.min(unit))).when(F.min(unit).isNotNull(), F.array(F.min(unit), F.max(unit))).otherwise(F.array().cast("array<string>")).alias("units"),
-            F.coalesce(F.avg(F.when(full, F.length(c["ekey"]))), F.lit(0.0)).alias("mean_length"),
-            F.count_if(full & C.has_cjk(c["ekey"])).alias("cjk_keys"), F.count_if(full & c["ekey"].rlike(r"(?U)\d")).alias("digit_keys"),
-        ))
-    sums = flat.agg(F.array(*measures).alias("m")).select(F.lit(table_id).alias("table_id"), F.inline("m"))
-    measured = sums.collect()  # one row a column
-    sums = flat.sparkSession.createDataFrame(measured, sums.schema)
-    told = {r["col_idx"]: r for r in measured}
-
-    def sequence(r) -> bool:
-        """Whole numbers from 1 to their count: each once, or not."""
-        return r["nums"] > 0 and r["fractions"] == 0 and r["least"] == 1 and r["most"] == r["nums"]
-
-    def open_(r) -> bool:
-        """Text whose sketch, of an error of 2 percent, leaves open whether it is a key or a category."""
-        share = r["about"] / max(1, r["filled"])
-        return r["nums"] <= 0.2 * r["filled"] and not 0.6 < share < 0.8
-
-    wanted = [i for i, r in told.items() if exact_ratios or open_(r) or sequence(r)]
-    counts = _counted(flat, wanted, [i for i in wanted if sequence(told[i])])
-    rest = sums.join(counts, "col_idx", "left")
-    varied = F.when(F.col("least").isNull(), 0).when(F.col("least") == F.col("most"), 1).otherwise(2)  # all that is asked of numbers that are no sequence
-    return typed(rest.select(
-        "table_id", "col_idx", "header", "n", "filled", "nums", F.coalesce("keys", "about").alias("keys"), F.coalesce("values", varied).alias("values"),
-        F.coalesce("repeated", F.lit(0)).alias("repeated"), "least", "most", "fractions", "years", "signs", "percents", "units", "mean_length", "cjk_keys", "digit_keys",
-    ))
-
-
-def _counted(flat: DataFrame, columns: list[int], sequences: list[int]) -> DataFrame:
-    """(col_idx, keys, repeated, values) of some columns. Equal keys meet in the task that reads them before any moves."""
-    if not columns:
-        return flat.sparkSession.createDataFrame([], "col_idx int, keys bigint, repeated bigint, values bigint")
-    number = lambda i: F.col(f"c{i}.num") if i in sequences else F.lit(None)
-    cells = [F.struct(F.lit(i).alias("col_idx"), F.col(f"c{i}.raw").alias("raw"), F.col(f"c{i}.ekey").alias("ekey"), number(i).cast("double").alias("num")) for i in columns]
-    cells = flat.select(F.inline(F.array(*cells))).where(~F.col("raw").isin(*C.MISSING))
-    keys = cells.groupBy("col_idx", "ekey").agg(F.count(F.lit(1)).alias("k"))
-    per = keys.groupBy("col_idx").agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("k") >= 2).alias("repeated"))
-    values = cells.where("num IS NOT NULL").groupBy("col_idx", "num").agg(F.count(F.lit(1)).alias("k")).groupBy("col_idx").agg(F.count(F.lit(1)).alias("values"))
-    return per.join(values, "col_idx", "left").select(F.col("col_idx").cast("int").alias("col_idx"), "keys", "repeated", "values")
+
+def profile_wide(texts: DataFrame, names: list[str], table_id: str) -> DataFrame:
+    """The profile of one wide table under these headers, as ``profile`` gives it, from its distinct texts with their values (``valued``)."""
+    sums = _measures(texts.withColumn("n", F.col("k")), ["col_idx"])
+    return typed(sums.select(F.lit(table_id).alias("table_id"), F.get(F.array(*map(F.lit, names)), F.col("col_idx")).alias("header"), "*"))
 
 
 def key_and_rank(profiled: DataFrame) -> tuple[int | None, int | None]:
@@ -315,19 +281,45 @@ def without_total_rows(df: DataFrame, label: str, rank: str | None = None, by: s
     return found.where("_ranked OR NOT _mostly").drop("_ranked", "_g", "_own", "_mostly")
 
 
+def _split_rows(df: DataFrame, texts: DataFrame, key: int | None, rank: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of a wide table that stay, and its total rows; none at all if no text of the key and the rank column marks one.
+
+    Marks are told by the distinct texts of these columns; only without a key column is every row looked at.
+    """
+    at, raws, marks = F.col("col_idx"), _wide_raw(df), []
+    kept, gone = df, None
+    if key is not None:
+        marks.append((key, texts.where((at == key) & C.is_total_row(F.col("ekey")))))
+    else:
+        first = _total(F.coalesce(*[F.when(C.has_cjk(r), r) for r in raws], F.lit("")))
+        kept, gone = df.where(~first), df.where(first)
+    if rank is not None:
+        ranked = F.sum(F.when(F.col("num").isNotNull(), F.col("k")).otherwise(0)).alias("ranked")
+        share = texts.where(at == rank).agg(ranked, F.sum("k").alias("n")).first()
+        if share["n"] and share["ranked"] >= 0.8 * share["n"]:
+            marks.append((rank, texts.where((at == rank) & F.col("num").isNull())))
+    for column, found in marks:
+        found = found.where("k > 0").select(F.col("raw").alias("_mark"))
+        if not found.isEmpty():
+            hit = kept.join(found, raws[column] == F.col("_mark"), "left_semi")
+            kept, gone = kept.join(found, raws[column] == F.col("_mark"), "left_anti"), hit if gone is None else gone.union(hit)
+    return kept, gone
+
+
 def profile_wide_table(df: DataFrame, table_id: str, steps: Steps) -> tuple[DataFrame, DataFrame]:
     """Values of a wide table without its total rows, and the profile of those: the first pass finds key and rank column.
 
-    Without a key column the first cell with Chinese text labels a row.
+    Without a key column the first cell with Chinese text labels a row. Values are worked out, and written, once for each distinct text of a column, in the
+    tasks to which the texts were dealt and not in the few that read a small file. The second profile takes the texts of total rows off the first's.
     """
-    flat = wide_values(df, steps)
-    key, rank = key_and_rank(profile_wide(flat, df.columns, table_id, exact_ratios=False))
-    first = F.coalesce(*[F.when(C.has_cjk(F.col(f"c{i}.raw")), F.col(f"c{i}.ekey")) for i in range(len(df.columns))], F.lit(""))
-    kept = flat.where(~C.is_total_row(F.col(f"c{key}.ekey") if key is not None else first))
-    if rank is not None:
-        share = flat.agg(F.count_if(F.col(f"c{rank}.num").isNotNull()).alias("ranked"), F.count(F.lit(1)).alias("n")).first()
-        kept = kept.where(F.col(f"c{rank}.num").isNotNull()) if share["n"] and share["ranked"] >= 0.8 * share["n"] else kept
-    return kept, profile_wide(kept, df.columns, table_id)
+    texts = steps.table(valued(wide_texts(df)), "texts")
+    profiled = steps.table(profile_wide(texts, df.columns, table_id), "first-profile")
+    kept, gone = _split_rows(df, texts, *key_and_rank(profiled))
+    gone = gone if gone is None else steps.table(wide_texts(gone).where("k > 0"), "gone")
+    if gone is not None and not gone.isEmpty():
+        left = texts.join(gone.withColumnRenamed("k", "gone"), ["col_idx", "raw"], "left").withColumn("k", F.col("k") - F.coalesce("gone", F.lit(0)))
+        profiled = profile_wide(left.drop("gone").where("k > 0 OR raw = ''"), df.columns, table_id)
+    return wide_values(kept), profiled
 
 
 def metric_columns(profiled: DataFrame) -> DataFrame:

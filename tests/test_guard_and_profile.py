@@ -101,3 +101,22 @@ def test_rows_of_regions_are_numbered_in_stretches(spark):
     assert all(r["n"] == r["last"] + 1 and r["first"] == 0 for r in per.collect())
     windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in x]
     assert windows and all("part#" in x.split("windowspecdefinition(")[1].split(" ASC")[0] for x in windows)
+
+
+def test_wide_profiles_work_values_out_for_distinct_texts(spark):
+    """What a wide profile works out and writes is a row for each distinct text; its total rows go by label and by rank, as those of cells do."""
+    rows = [[f"甲{i % 7}国", str(i % 5), str(i + 1), "同"] for i in range(400)] + [["合计", "9 km²", "401", "同"], ["各地", "12.5", "", ""]]
+    headers = ["国家", "数量", "名次", "类别"]
+    rest = [["丙国", "3", "x", ""], ["合计", "4", "", ""], ["合计", "5", "7", ""]]
+    with Steps(spark) as steps:
+        for name, body in (("long", rows), ("rest", rest), ("none", rest[1:])):
+            kept, found = profile.profile_wide_table(spark.createDataFrame(body, ", ".join(f"`{h}` string" for h in headers)), name, steps)
+            cells = profile.profile_tables(spark.createDataFrame([(name, headers, body)], "table_id string, headers array<string>, rows array<array<string>>"))
+            fields = ["col_idx", "header", "kind", "reason", "numeric_ratio", "unique_ratio", "unit", "is_rate", "n"]
+            by_cells = {tuple(r[f] for f in fields) for r in cells[1].collect()}
+            wide = {tuple(r[f] for f in fields) for r in found.collect()}
+            assert wide == by_cells or (name == "none" and {r[2:4] + r[-1:] for r in wide} == {("other", "sparse", 0)})
+            assert kept.count() == {"long": 400, "rest": 1, "none": 0}[name]
+            if name == "long":
+                sizes = [spark.read.parquet(f"{steps.root}/{i}-{x}").count() for i, x in ((1, "texts"), (3, "gone"))]
+                assert sizes == [422, 8]  # 420 distinct texts, an empty one for each of two columns without any; the cells number 1,608
