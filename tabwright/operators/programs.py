@@ -111,14 +111,17 @@ def _specification(spark: SparkSession) -> DataFrame:
 
 
 def facts(cells: DataFrame, keys: DataFrame) -> DataFrame:
-    """(table_id, row_idx, entity, header, num, text) of all cells of tables with a key column; of equal headers the first counts.
+    """(table_id, row_idx, entity, facts) of each row of tables with a key column: facts are number and text by header; of equal headers the first counts.
 
-    cells as of ``profile.with_values``, keys (table_id, key).
+    cells as of ``profile.with_values``, keys (table_id, key). Cells are grouped once, into rows.
     """
     named = cells.join(keys, "table_id").where("row_idx IS NOT NULL")
-    entity = named.where("col_idx = key").select("table_id", "row_idx", F.col("ekey").alias("entity"))
-    first = named.groupBy("table_id", "row_idx", "header").agg(F.min_by(F.struct("num", "ekey"), "col_idx").alias("v"))
-    return first.join(entity, ["table_id", "row_idx"]).select("table_id", "row_idx", "entity", "header", F.col("v.num").alias("num"), F.col("v.ekey").alias("text"))
+    cell = F.struct("col_idx", "header", "num", F.col("ekey").alias("text"), (F.col("col_idx") == F.col("key")).alias("names"))
+    rows = named.groupBy("table_id", "row_idx").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    first = F.filter("c", lambda x, i: x["header"].isNotNull() & (F.array_position("c.header", x["header"]) == i + 1))
+    entry = lambda x: F.struct(x["header"].alias("header"), F.struct(x["num"].alias("num"), x["text"].alias("text")).alias("v"))
+    entity = F.get(F.filter("c", lambda x: x["names"]), F.lit(0))["text"]
+    return rows.select("table_id", "row_idx", entity.alias("entity"), F.map_from_entries(F.transform(first, entry)).alias("facts")).where("entity IS NOT NULL")
 
 
 def resolved(records: DataFrame) -> DataFrame:
@@ -135,9 +138,10 @@ def resolved(records: DataFrame) -> DataFrame:
     )
 
 
-def _facts_once(known: DataFrame) -> DataFrame:
-    """Facts of entities that are alone of their name in their table."""
-    per = known.groupBy("table_id", "entity", "header").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("num", "text")).alias("v"))
+def _facts_once(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """Facts of entities that are alone of their name in their table, under the asked (table_id, header)."""
+    under = known.select("table_id", "entity", F.explode("facts").alias("header", "v")).join(asked.select("table_id", "header"), ["table_id", "header"], "left_semi")
+    per = under.groupBy("table_id", "entity", "header").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
     return per.where("n = 1").select(F.col("table_id").alias("_t"), F.col("entity").alias("_e"), F.col("header").alias("_h"), "v")
 
 
@@ -146,62 +150,82 @@ def _at(rows: DataFrame, once: DataFrame, table: str, entity: str, header: str)
     return rows.join(once, (F.col(table) == F.col("_t")) & (F.col(entity) == F.col("_e")) & (F.col(header) == F.col("_h")), "left").drop("_t", "_e", "_h")
 
 
-def lookups(terms: DataFrame, known: DataFrame) -> DataFrame:
-    """(claim_id, form, term, num, text) of lookups: up to two bridges, then the cell."""
-    once = _facts_once(known)
+def lookups(terms: DataFrame, known: DataFrame, steps: Steps) -> DataFrame:
+    """(claim_id, form, term, num, text) of lookups: up to two bridges, then the cell. Only facts under headers that a hop asks for move."""
     here = terms.where("kind = 'look'").select("claim_id", "form", "term", "table", "entity", "by1", "table1", "by2", "table2", "column")
-    for by, to in (("by1", "table1"), ("by2", "table2")):
-        here = _at(here, once, "table", "entity", by)
+    second = F.when(F.col("by1").isNull(), F.col("table")).otherwise(F.col("table1"))
+    third = F.when(F.col("by2").isNull(), second).otherwise(F.col("table2"))
+    hops = [F.struct(F.lit(i).alias("hop"), t.alias("table_id"), F.col(h).alias("header")) for i, (t, h) in enumerate([(F.col("table"), "by1"), (second, "by2"), (third, "column")])]
+    asked = steps.table(here.select(F.inline(F.array(*hops))).where("table_id IS NOT NULL AND header IS NOT NULL").distinct(), "asked-facts")
+    once = [_facts_once(known, asked.where(F.col("hop") == i)) for i in range(3)]
+    for i, (by, to) in enumerate((("by1", "table1"), ("by2", "table2"))):
+        here = _at(here, once[i], "table", "entity", by)
         here = here.withColumn("entity", F.when(F.col(by).isNull(), F.col("entity")).otherwise(F.col("v.text"))).withColumn("table", F.when(F.col(by).isNull(), F.col("table")).otherwise(F.col(to))).drop("v")
-    return _at(here, once, "table", "entity", "column").select("claim_id", "form", "term", F.col("v.num").alias("num"), F.col("v.text").alias("text"))
+    return _at(here, once[2], "table", "entity", "column").select("claim_id", "form", "term", F.col("v.num").alias("num"), F.col("v.text").alias("text"))
 
 
-def questions(terms: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The distinct questions that folds and places ask, numbered by a hash, and the rows of each with metric, attribute and group."""
+def questions(terms: DataFrame, known: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """The distinct questions that folds and places ask, numbered by a hash, and the rows of each with metric, attribute and group.
+
+    A row answers a question by itself: it reads its own facts, so rows times questions are made in the tasks that read the rows and are never grouped into rows again.
+    """
     key = F.xxhash64(*[F.coalesce(F.col(x), F.lit("\0")) for x in QUESTION])
     asked = terms.where("kind <> 'look'").withColumn("question", key)
-    distinct = asked.select("question", *QUESTION).distinct()
-    of_rows = known.select(F.col("table_id").alias("table"), "row_idx", "entity", "header", "num", "text")
-    header, group_header = F.col("header"), F.coalesce("by", "where")
-    hits = distinct.join(of_rows, "table").where(F.col("column").isNull() | (header == F.col("column")) | (header == F.col("attribute")) | (header == group_header))
-    rows = hits.groupBy("question", "row_idx", "entity", "by", "table1", "where", "least").agg(
-        F.max(F.when(header == F.col("column"), F.col("num"))).alias("num"),
-        F.max(F.when(header == F.col("attribute"), F.col("text"))).alias("attribute"),
-        F.max(F.when(header == group_header, F.col("text"))).alias("link"),
+    distinct = steps.table(asked.select("question", *QUESTION).distinct(), "questions")
+    bridges = distinct.where("`by` IS NOT NULL AND table1 IS NOT NULL AND `where` IS NOT NULL").select(F.col("table1").alias("table_id"), F.col("where").alias("header")).distinct()
+    bridge = steps.table(_facts_once(known, bridges), "bridges")
+    rows = known.withColumnRenamed("table_id", "table").join(distinct, "table")
+    fact = lambda header: F.try_element_at("facts", header)
+    has = lambda header: F.coalesce(F.map_contains_key("facts", F.coalesce(header, F.lit(""))) & header.isNotNull(), F.lit(False))
+    column, attribute, link = F.col("column"), F.col("attribute"), F.coalesce("by", "where")
+    rows = rows.where(column.isNull() | has(column) | has(attribute) | has(link)).select(
+        "question", "entity", "by", "table1", "where", "least", fact(column)["num"].alias("num"), fact(attribute)["text"].alias("attribute"), fact(link)["text"].alias("link")
     )
-    rows = _at(rows, _facts_once(known), "table1", "link", "where")
+    rows = _at(rows, bridge, "table1", "link", "where")
     group = F.when(F.col("where").isNull(), "").when(F.col("by").isNull(), F.col("link")).otherwise(F.col("v.text"))
-    return asked, rows.select("question", "row_idx", "entity", "num", "attribute", "least", group.alias("equals"))
+    return asked, rows.select("question", "entity", "num", "attribute", "least", group.alias("equals"))
 
 
-def _above(asked: DataFrame, rows: DataFrame) -> DataFrame:
+def _above(asked: DataFrame, spread: DataFrame) -> DataFrame:
     """(question, equals, over, n_over): rows above each limit, by one pass over limits and metrics in falling order."""
-    limits = asked.where("how = 'n_over'").select("question", "equals", "over", parse_number(F.col("over")).alias("num"), F.lit(1).alias("limit")).distinct()
-    both = limits.unionByName(rows.where("num IS NOT NULL").select("question", "equals", F.lit(None).cast("string").alias("over"), "num", F.lit(0).alias("limit")))
+    limits = asked.where("how = 'n_over'").select("question", "equals", "over").distinct()
+    limits = limits.select("question", "equals", "over", parse_number(F.col("over")).alias("num"), F.lit(1).alias("limit"), F.lit(0).cast("long").alias("k"))
+    metrics = spread.where("num IS NOT NULL").groupBy("question", "equals", "num").agg(F.sum("k").alias("k"))
+    both = limits.unionByName(metrics.select("question", "equals", F.lit(None).cast("string").alias("over"), "num", F.lit(0).alias("limit"), "k"))
     order = Window.partitionBy("question", "equals").orderBy(F.col("num").desc(), F.col("limit").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("n_over", F.count_if(F.col("limit") == 0).over(order).cast("double")).where("limit = 1 AND num IS NOT NULL").select("question", "equals", "over", "n_over")
+    return both.withColumn("n_over", F.sum("k").over(order).cast("double")).where("limit = 1 AND num IS NOT NULL").select("question", "equals", "over", "n_over")
 
 
-def folds(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """Aggregates of each question's groups; of a group without rows nothing is known."""
-    sums = rows.groupBy("question", "equals").agg(
-        F.sum("num").alias("sum"), F.avg("num").alias("avg"), F.count(F.lit(1)).cast("double").alias("n"),
-        F.count_if(F.col("num").isNull()).cast("double").alias("n_no_number"), F.count_if(F.coalesce(F.col("attribute"), F.lit("")) == "").cast("double").alias("n_no_text"),
+def folds(asked: DataFrame, spread: DataFrame) -> DataFrame:
+    """Aggregates of each question's groups, from how many of their rows (k) have a metric and an attribute; of a group without rows nothing is known."""
+    k, num = F.col("k"), F.col("num")
+    count = lambda hit: F.sum(F.when(hit, k).otherwise(0)).cast("double")
+    sums = spread.groupBy("question", "equals").agg(
+        F.sum(num * k).alias("sum"), F.try_divide(F.sum(num * k), F.sum(F.when(num.isNotNull(), k))).alias("avg"), F.sum(k).cast("double").alias("n"),
+        count(num.isNull()).alias("n_no_number"), count(F.coalesce(F.col("attribute"), F.lit("")) == "").alias("n_no_text"),
     )
-    same = rows.groupBy("question", "equals", F.col("attribute").alias("wanted")).agg(F.count(F.lit(1)).cast("double").alias("n_is"))
+    same = spread.groupBy("question", "equals", F.col("attribute").alias("wanted")).agg(F.sum(k).cast("double").alias("n_is"))
     found = asked.where("kind = 'fold'").withColumn("wanted", entity_key(F.col("is"))).join(sums, ["question", "equals"], "left")
-    found = found.join(_above(asked, rows), ["question", "equals", "over"], "left").join(same, ["question", "equals", "wanted"], "left")
+    found = found.join(_above(asked, spread), ["question", "equals", "over"], "left").join(same, ["question", "equals", "wanted"], "left")
     found = found.withColumn("n_is", F.when(F.col("n").isNotNull(), F.coalesce("n_is", F.lit(0.0)))).withColumn("n_over", F.when(F.col("n").isNotNull(), F.col("n_over")))
     value = F.coalesce(*[F.when(F.col("how") == x, F.col(x)) for x in ("sum", "avg", "n", "n_over", "n_is", "n_no_number", "n_no_text")])
     return found.select("claim_id", "form", "term", value.alias("num"), F.lit(None).cast("string").alias("text"))
 
 
-def places(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """The row at a place of its group by the metric; ties stand in the order of their names."""
+def places(asked: DataFrame, rows: DataFrame, spread: DataFrame, steps: Steps) -> DataFrame:
+    """The row at a place of its group by the metric; ties stand in the order of their names.
+
+    Counts of metrics tell which of them reach down to the last place that is asked of a group; only rows with these are put in order.
+    """
     asked = asked.where("kind = 'place'")
-    wanted = rows.join(asked.select("question").distinct(), "question", "left_semi").where("num IS NOT NULL")
-    order = Window.partitionBy("question", "equals").orderBy(F.when(F.col("least") == "true", F.col("num")).otherwise(-F.col("num")), "entity")
-    ranked = wanted.withColumn("at", F.row_number().over(order)).select("question", "equals", "at", "num", "entity", F.col("attribute").alias("shown"))
+    wanted = asked.groupBy("question", "equals", "least").agg(F.max("at").alias("last"))
+    better = F.when(F.col("least") == "true", F.col("num")).otherwise(-F.col("num"))
+    group = Window.partitionBy("question", "equals").orderBy(better)
+    counts = spread.where("num IS NOT NULL").groupBy("question", "equals", "num").agg(F.sum("k").alias("k")).join(wanted, ["question", "equals"])
+    before = F.coalesce(F.sum("k").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = steps.table(counts.withColumn("before", before).where("before < last").select("question", "equals", "num", "last"), "metrics-near")
+    ranked = rows.join(near, ["question", "equals", "num"]).withColumn("at", F.row_number().over(group.orderBy(better, "entity"))).where("at <= last")
+    ranked = steps.table(ranked.select("question", "equals", "at", "num", "entity", F.col("attribute").alias("shown")), "ranked")
     found = asked.drop("entity").join(ranked, ["question", "equals", "at"], "left")
     return found.select("claim_id", "form", "term", "num", F.when(F.col("form") == "attribute", F.col("shown")).otherwise(F.col("entity")).alias("text"))
 
@@ -213,12 +237,12 @@ def decimals(stated: Column) -> Column:
 def run_programs(records: DataFrame, cells: DataFrame, keys: DataFrame, steps: Steps) -> DataFrame:
     """(claim_id, skeleton_id, value, entity, verdict) of all records (claim_id, skeleton_id, slots); an unknown skeleton is undecided.
 
-    Facts, terms and the rows of questions are written once, as each kind of term reads them.
+    Facts, terms and the counts of metrics and attributes by question are written once, as each kind of term reads them.
     """
     known, terms = steps.table(facts(cells, keys), "facts"), steps.table(resolved(records), "terms")
-    asked, rows = questions(terms, known)
-    rows = steps.table(rows, "rows")
-    got = lookups(terms, known).unionByName(folds(asked, rows)).unionByName(places(asked, rows))
+    asked, rows = questions(terms, known, steps)
+    spread = steps.table(rows.groupBy("question", "equals", "num", "attribute").agg(F.count(F.lit(1)).alias("k")), "spread")
+    got = lookups(terms, known, steps).unionByName(folds(asked, spread)).unionByName(places(asked, rows, spread, steps))
     term = lambda i, x: F.max(F.when(F.col("term") == i, F.col(x)))
     per = got.groupBy("claim_id", "form").agg(*[term(i, "num").alias(n) for i, n in enumerate("xyz")], term(0, "text").alias("s"), term(1, "text").alias("s2"))
     out = records.join(per, "claim_id", "left")

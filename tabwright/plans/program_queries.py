@@ -72,10 +72,10 @@ def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(claim_id, skeleton_id, slots) of a statement for each customer."""
+    """(claim_id, skeleton_id, slots) of a statement for each customer. Ids are dealt out first: a file of them is small, and one task would make all statements."""
     k = F.col("c_custkey")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") - 0).alias("_n"), "n_name")
-    claims = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    claims = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").repartition(spark.sparkContext.defaultParallelism, "c_custkey")
     claims = claims.join(nation, (k * 3) % 26 == F.col("_n"), "left")
     pick = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
     text = lambda x: x.cast("string")

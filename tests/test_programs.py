@@ -45,3 +45,20 @@ def test_no_records(spark, evidence):
         none = spark.createDataFrame([], "claim_id int, skeleton_id string, slots map<string,string>")
         assert programs.run_programs(none, *evidence, steps).count() == 0
     assert len(programs.SKELETONS) == 47
+
+
+def test_rows_answer_questions_without_being_gathered(spark):
+    """A table of 300 rows: what is written for its questions is counts of metrics by group, and only rows that reach an asked place are put in order."""
+    rows = [[f"队{i:03d}", "北" if i % 3 else "南", str(i % 5)] for i in range(300)]
+    tables = spark.createDataFrame([("long", ["球队", "联赛", "积分"], rows)], "table_id string, headers array<string>, rows array<array<string>>")
+    cells, keys = profile.with_values(profile.explode_tables(tables)), spark.createDataFrame([("long", 0)], "table_id string, key int")
+    slots = {"table": "long", "column": "积分", "where": "联赛", "equals": "北"}
+    tops = [r[0] for r in sorted(rows, key=lambda r: (-int(r[2]), r[0])) if r[1] == "北"]
+    cases = [("CAT_SUM", {"value": "400"}), ("CAT_AVG", {"value": "2.0"}), ("CAT_COUNT_GT", {"over": "2", "value": "80"}), ("CAT_COUNT_GT", {"over": "1.5", "value": "120"}), ("UV_ALL_GT", {"over": "-1"}),
+             ("NT_NTH_IN", {"n": "3", "value": tops[2]}), ("NT_NTH_IN", {"n": "41", "value": tops[40]}), ("NT_NTH_IN", {"n": "2", "least": "true", "value": tops[161]})]
+    records = spark.createDataFrame([(i, s, {**slots, **x}) for i, (s, x) in enumerate(cases)], "claim_id int, skeleton_id string, slots map<string,string>")
+    with Steps(spark) as steps:
+        found = {r["claim_id"]: r["verdict"] for r in programs.run_programs(records, cells, keys, steps).collect()}
+        written = lambda name: spark.read.parquet(f"{steps.root}/*-{name}").count()
+        assert (written("facts"), written("spread"), written("ranked")) == (300, 20, 43)
+    assert found == dict.fromkeys(range(len(cases)), "SUPPORTS")
